@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice, pairwise
@@ -28,9 +29,11 @@ from pyspark.sql import types as T
 from spanmill.llm.common import drop_clashing
 
 #: States, compatible pairs and pre-tokens kept per Python worker; beyond, the tables start anew.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 250_000, 400_000, 300_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 400_000, 200_000
 #: Rank of a pair that never merges.
 NONE = 1 << 60
+#: Live places where nothing is undecided.
+ROOT = ((0, ()),)
 #: Rows a returned Arrow batch holds at most, and characters after which one is sent earlier.
 OUT_ROWS, OUT_CHARS = 1_000, 8_000_000
 #: Pre-tokens, and ids, handled at a time within one text.
@@ -51,7 +54,7 @@ class State:
 
     def __init__(self, prev: int, live: tuple):
         self.prev, self.live = prev, live
-        self.next: dict[int, tuple[State, bytes]] = {}
+        self.next: dict[int, tuple[State, bytes]] | None = None
 
 
 class Transducer:
@@ -82,8 +85,7 @@ class Transducer:
         self.states: dict[tuple, State] = {}
         self.start = None
         gc.collect()
-        live = ((0, ()),)
-        self.start = self.states[-1, live] = State(-1, live)
+        self.start = self.states[-1, ROOT] = State(-1, ROOT)
 
     def merge(self, data: bytes) -> list[bytes]:
         """Plain BPE: merge the adjacent pair of lowest rank, leftmost first, while there is one."""
@@ -111,34 +113,46 @@ class Transducer:
 
     def step(self, s: State, byte: int) -> tuple[State, bytes]:
         live, here, prev = [], None, s.prev
+        child, token_at, inner, pairs = self.trie.get, self.token_at, self.inner, self.pairs
         for place in s.live:  # earliest first, so the longest token comes first
-            node = self.trie.get(place[0] << 8 | byte)
+            node = child(place[0] << 8 | byte)
             if node is None:
                 continue
-            chain = place[1]
-            if here is None and (token := self.token_at[node]) >= 0:
+            if here is None and (token := token_at[node]) >= 0:
+                chain = place[1]
                 before = chain[-1] if chain else prev
-                if before < 0 or self.compatible(before, token):
+                if before < 0:
                     here = (*chain, token)
-            if self.inner[node]:
-                live.append((node, chain))
-        live.append((0, here))
-        first, out = live[0][1], b""
-        if first:
+                else:
+                    ok = pairs.get(before << 32 | token)
+                    if ok or ok is None and self.compatible(before, token):
+                        here = (*chain, token)
+            if inner[node]:
+                live.append((node, place[1]))
+        out = b""
+        if not live:  # only this place is left: all up to here is decided
+            out = b"".join(map(self.packed.__getitem__, here))
+            prev, key = here[-1], (here[-1], ROOT)
+        else:
+            live.append((0, here))
+            first = live[0][1]
             same = len(first)
-            for _, chain in live[1:]:
-                k = 0
-                while k < same and k < len(chain) and chain[k] == first[k]:
-                    k += 1
-                same = k
             if same:
-                out = b"".join(map(self.packed.__getitem__, first[:same]))
-                prev = first[same - 1]
-                live = [(node, chain[same:]) for node, chain in live]
-        key = (prev, tuple(live))
+                for _, chain in live[1:]:
+                    k = 0
+                    while k < same and k < len(chain) and chain[k] == first[k]:
+                        k += 1
+                    same = k
+                if same:
+                    out = b"".join(map(self.packed.__getitem__, first[:same]))
+                    prev = first[same - 1]
+                    live = [(node, chain[same:]) for node, chain in live]
+            key = (prev, tuple(live))
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = State(*key)
+        if s.next is None:
+            s.next = {}
         s.next[byte] = done = (found, out)
         return done
 
@@ -150,9 +164,8 @@ class Transducer:
             self.reset()
         s, out = self.start, []
         for b in data:
-            t = s.next.get(b)
-            if t is None:
-                t = self.step(s, b)
+            near = s.next
+            t = near and near.get(b) or self.step(s, b)
             s, emitted = t
             if emitted:
                 out.append(emitted)
@@ -164,39 +177,62 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Pre-token -> packed ids, filled through the transducer."""
+    """Pre-token -> packed ids, filled through the transducer. When full it becomes the elder table, from
+    which pieces that are still in use come back."""
 
     def __init__(self, fst: Transducer):
         super().__init__()
-        self.fst = fst
+        self.fst, self.elder = fst, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.fst.encode(piece.encode("utf-8", "replace"))
+        ids = self.elder.get(piece)
+        if ids is None:
+            ids = self.fst.encode(piece.encode("utf-8", "replace"))
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def turn(self) -> None:
+        if len(self) > MAX_PIECES:
+            self.elder = dict(self)
+            self.clear()
+
+
+def narrow(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts of code points below 256, for the standard library's faster engine."""
+    sets = {name: "".join(re.escape(c) for c in map(chr, range(256)) if regex.fullmatch(rx, c)) for name, rx in (("L", r"\p{L}"), ("N", r"\p{N}"), ("s", r"\s"))}
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{sets['s']}{sets['L']}{sets['N']}]")
+    out = out.replace(r"\p{L}", f"[{sets['L']}]").replace(r"\p{N}", f"[{sets['N']}]").replace(r"\s", f"[{sets['s']}]").replace(r"\S", f"[^{sets['s']}]")
+    return None if re.search(r"\\[pPwWdDbBhX]", out) else re.compile(out)
+
 
 class Codec:
-    """Encoder and decoder of one rank file and split pattern."""
+    """Encoder of one rank file and split pattern."""
 
     def __init__(self, path: str, pattern: str):
-        ranks = read_ranks(path)
-        self.pattern = regex.compile(pattern)
-        self.fst = Transducer(ranks)
+        self.wide, self.narrow = regex.compile(pattern), narrow(pattern)
+        self.fst = Transducer(read_ranks(path))
         self.pieces = Pieces(self.fst)
 
+    def pattern(self, text: str):
+        """The splitter for a text; both give the same pieces."""
+        if self.narrow is None:
+            return self.wide
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.wide
+        return self.narrow
+
     def encode(self, text: str) -> bytes:
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
-        look = self.pieces.__getitem__
+        self.pieces.turn()
+        look, split = self.pieces.__getitem__, self.pattern(text)
         if len(text) <= CHUNK:
-            return b"".join(map(look, self.pattern.findall(text)))
-        found, out = (m.group() for m in self.pattern.finditer(text)), []
+            return b"".join(map(look, split.findall(text)))
+        found, out = (m.group() for m in split.finditer(text)), []
         while part := list(islice(found, CHUNK)):
             out.append(b"".join(map(look, part)))
-            if len(self.pieces) > MAX_PIECES:
-                self.pieces.clear()
+            self.pieces.turn()
         return b"".join(out)
 
 
@@ -303,14 +339,16 @@ def _slices(batch: pa.RecordBatch, sizes) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", n: str = "n_tokens") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", n: str = "n_tokens", decoded: str | None = None) -> DataFrame:
     """All columns of df, with `ids` (packed little-endian uint32) and `n` (their number, long).
 
+    With `decoded`, the ids are decoded again in the same pass, into a column of that name.
     A null or empty text has no tokens. Columns of df named like a result column give way to it.
     Rows are independent: repeated rows stay, an empty table stays empty, nothing is shuffled.
     """
-    df = drop_clashing(df, ids, n)
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(n, T.LongType())])
+    df = drop_clashing(df, ids, n, *([decoded] if decoded else []))
+    extra = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(n, T.LongType()), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -319,7 +357,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             for batch in _slices(whole, pc.utf8_length(col).to_pylist()):
                 texts = batch.column(batch.schema.names.index(text)).to_pylist()
                 out = [c.encode(t) if t else b"" for t in texts]
-                yield _with_columns(batch, **{ids: pa.array(out, pa.binary()), n: pa.array([len(x) // 4 for x in out], pa.int64())})
+                new = {ids: pa.array(out, pa.binary()), n: pa.array([len(x) // 4 for x in out], pa.int64())}
+                if decoded:
+                    new[decoded] = pa.array([decode_ids(x, c.fst.tokens) for x in out], pa.string())
+                yield _with_columns(batch, **new)
 
     return df.mapInArrow(run, schema)
 
@@ -341,8 +382,8 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "dec
 
 
 def digest(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts, through encode() and decode()."""
-    done = decode(encode(df.select("doc_id", "text"), path, pattern).drop("text"), path)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts: encoded, and decoded from the ids."""
+    done = encode(df.select("doc_id", "text"), path, pattern, decoded="decoded").drop("text")
     return done.select(
         "doc_id",
         "n_tokens",
