@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, decontam, langid, linededup, minhash, quality
+from spanmill.llm import bpe, chat, decontam, langid, linededup, minhash, quality, secrets
 from spanmill.llm.common import table
 
 
@@ -20,10 +20,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,11 +47,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_line_dedup": op2_line_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_chat_format": op7_chat_format,
     "op8_bag_minhash": op8_bag_minhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
+    "op7_chat_format": chat.ORACLE_SQL,
     "op9_decontaminate": decontam.ORACLE_SQL,
 }
