@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, chat, decontam, langid, linededup, minhash, quality, secrets
+from spanmill.llm import bpe, chat, decontam, htmltext, langid, linededup, minhash, quality, secrets, warc
 from spanmill.llm.common import table
 
 
@@ -20,10 +20,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark, sf_dir)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.report(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,17 +52,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_line_dedup": op2_line_dedup,
+    "op3_arc_to_warc": op3_arc_to_warc,
     "op4_secret_scan": op4_secret_scan,
+    "op5_html_text": op5_html_text,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
     "op8_bag_minhash": op8_bag_minhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
+    "op3_arc_to_warc": warc.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op9_decontaminate": decontam.ORACLE_SQL,
 }
