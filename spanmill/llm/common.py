@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +49,47 @@ def drop_clashing(df: DataFrame, *names: str) -> DataFrame:
 
 def hex_sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
+
+
+#: Slices in which summed() adds up its tables.
+SLICES = 64
+
+
+def summed(df: DataFrame, column: str, bits: int, places, marks: bool = False) -> np.ndarray:
+    """How often places(arrow column) names each of 2^bits places over all rows, at most 2^32 - 1; or, as marks, whether.
+
+    Every task keeps one table of that size; slices of the tables are then added up, one group a slice.
+    """
+    size = 1 << bits
+    part = size // SLICES
+    pack = (lambda x: np.packbits(x).tobytes()) if marks else (lambda x: np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes())
+
+    def unpack(x) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) if marks else np.frombuffer(x, "<u4").astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, bool if marks else np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                p = places(b.column(0).slice(at, 2000))
+                if marks:
+                    total[p] = True
+                elif len(p):
+                    total += np.bincount(p, minlength=size)
+        rows = [(i, x) for i in range(SLICES) if (x := total[i * part : (i + 1) * part]).any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([pack(x) for _, x in rows], pa.binary())], names=["slice", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total[i] = total[i] + unpack(x.as_buffer()) if i in total else unpack(x.as_buffer())
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pack(x) for x in total.values()], pa.binary())], names=["slice", "sums"])
+
+    schema = "slice int, sums binary"
+    out = np.zeros(size, bool if marks else np.int64)
+    for i, x in df.select(column).mapInArrow(count, schema).repartition(SLICES // 4, "slice").mapInArrow(add, schema).collect():
+        out[i * part : (i + 1) * part] += unpack(x)
+    return np.packbits(out) if marks else np.minimum(out, 0xFFFFFFFF).astype(np.uint32)

@@ -8,9 +8,10 @@ with the probability of their weighted Jaccard similarity. Points are drawn in o
 they can still be earlier than the latest place, so a signature costs little more than one point a shingle.
 
 Signatures are banded. Documents of one text are one node; each node of a bucket is verified against the
-bucket's first node, connected components are built, and nodes of one bucket that are still in different
-components are then verified with each other. So no link between different components is missed in a bucket,
-and nodes that are joined already are never paired.
+bucket's first node, connected components are built, and nodes of buckets that still hold different components are then verified with each
+other, as far as they share one of their rarest shingles - which nodes of the least similarity always do. So no
+link between different components of a bucket is missed, nodes that are joined already are never paired, and
+neither are those that merely share a common passage.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import cut
+from spanmill.llm.common import cut, summed
 
 #: Words of a shingle; least similarity; bands and places of a band (a pair of similarity 0.8 is missed with 7e-5).
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 M = BANDS * ROWS
-#: Words whose hashes a worker keeps.
-MAX_WORDS = 400_000
+#: Words whose hashes a worker keeps; size of the table of shingle counts, as a power of two.
+MAX_WORDS, SKETCH_BITS = 400_000, 20
 U = np.uint64
 GAMMA, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -148,6 +149,52 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a string, b string")
 
 
+def occurrences(bag: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a set: the k-th copy of an item becomes an item of its own."""
+    if not len(bag):
+        return bag
+    fresh = np.concatenate([[True], bag[1:] != bag[:-1]])
+    starts = np.flatnonzero(fresh)
+    return mix(bag + GAMMA * (np.arange(len(bag)) - np.repeat(starts, np.diff(np.append(starts, len(bag))))).astype(U))
+
+
+def _bag_places(bags: pa.Array) -> np.ndarray:
+    parts = [occurrences(np.frombuffer(b.as_buffer(), U)) for b in bags]
+    return (np.concatenate(parts) & U((1 << SKETCH_BITS) - 1)).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+
+def rare_pairs(own: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels that may be similar: those that share one of their rarest
+    shingles, under the prefix, length and positional filters of an exact similarity join. A pair of the least
+    similarity is never lost; texts that only have a common passage in common rarely meet."""
+    counts = own.sparkSession.sparkContext.broadcast(summed(own, "bag", SKETCH_BITS, _bag_places))  # 2^SKETCH_BITS numbers
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list = [[], [], [], [], []]
+            for node, label, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                items = occurrences(np.frombuffer(raw.as_buffer(), U))
+                c = counts.value[(items & U((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+                order = np.lexsort((items, c))
+                n = len(items)
+                for i, at in enumerate(order[: n - ceil(least * n - 1e-9) + 1].tolist()):
+                    if c[at] > 1:
+                        for column, value in zip(out, (int(items[at]) - (1 << 63), node, label, n, i), strict=True):
+                            column.append(value)
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["item", "node", "label", "n", "i"])
+
+    posting = cut(own.select("node", "label", "bag").mapInArrow(prefixes, "item long, node string, label string, n int, i int"), "prefixes")
+    kinds = posting.select("item", "label").distinct()
+    two = kinds.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1").select("item")
+    kinds = kinds.join(two, "item", "left_semi")
+    pairs = kinds.alias("x").join(kinds.alias("y"), F.expr("x.item = y.item and x.label < y.label")).select("x.item", F.col("x.label").alias("l1"), F.col("y.label").alias("l2"))
+    one = pairs.join(posting.select("item", F.col("label").alias("l1"), F.col("node").alias("n1"), F.col("n").alias("na"), F.col("i").alias("ia")), ["item", "l1"])
+    both = one.join(posting.select("item", F.col("label").alias("l2"), F.col("node").alias("n2"), F.col("n").alias("nb"), F.col("i").alias("ib")), ["item", "l2"])
+    fits = f"least(na, nb) >= {least} * greatest(na, nb) - 1e-9 and least(na - ia, nb - ib) >= {least} / {1 + least} * (na + nb) - 1e-9"
+    return both.filter(fits).select(F.greatest("n1", "n2").alias("a"), F.least("n1", "n2").alias("b")).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label: the smallest node of its component, for all nodes of edges (a, b).
 
@@ -198,11 +245,10 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
     label = components(edges)
     # what one bucket holds of different components
     placed = cut(member.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "placed")
-    kinds = placed.select("bucket", "label").distinct()
-    other = kinds.alias("x").join(kinds.alias("y"), F.expr("x.bucket = y.bucket and x.label < y.label")).select("x.bucket", F.col("x.label").alias("l1"), F.col("y.label").alias("l2"))
-    one = other.join(placed.select("bucket", F.col("label").alias("l1"), F.col("node").alias("n1")), ["bucket", "l1"])
-    two = one.join(placed.select("bucket", F.col("label").alias("l2"), F.col("node").alias("n2")), ["bucket", "l2"])
-    cross = two.select(F.greatest("n1", "n2").alias("a"), F.least("n1", "n2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("bucket")
+    doubtful = placed.join(mixed, "bucket", "left_semi").select("node", "label").distinct()
+    own = cut(bags.join(doubtful, "node").select("node", "label", "bag"), "doubtful")
+    cross = cut(rare_pairs(own, least).join(stars, ["a", "b"], "left_anti"), "cross")
     more = cut(verified(cross, bags, least), "links")
     if more.limit(1).count():
         label = components(edges.unionByName(more))
