@@ -6,7 +6,8 @@ encoding of its bytes exactly if every two neighbours are themselves encoded as
 and the bytes after it that are still undecided; an unfinished token can only start where the rest
 of the input so far is a proper prefix of some vocabulary entry. What the chains to all such places
 share can no longer change and is emitted: the lookahead is bounded by the longest entry. States
-and transitions are made when first met and kept, up to a limit after which the tables start anew.
+and transitions are made when first met and kept, up to a limit; what goes beyond the kept states
+is decided by a search over the same trie and the same compatible pairs, with the same result.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import types as T
 
 from spanmill.llm.common import drop_clashing
 
-#: States, compatible pairs and pre-tokens kept per Python worker; beyond, the tables start anew.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 400_000, 200_000
+#: States, compatible pairs and pre-tokens kept per Python worker.
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 400_000, 300_000
+#: Bytes of a short pre-token.
+SHORT = 64
 #: Rank of a pair that never merges.
 NONE = 1 << 60
 #: Live places where nothing is undecided.
@@ -54,7 +57,7 @@ class State:
 
     def __init__(self, prev: int, live: tuple):
         self.prev, self.live = prev, live
-        self.next: dict[int, tuple[State, bytes]] | None = None
+        self.next: dict[int, tuple[State, bytes, int]] | None = None
 
 
 class Transducer:
@@ -111,7 +114,7 @@ class Transducer:
             ok = self.pairs[key] = self.merge(x + y) == [x, y]
         return ok
 
-    def step(self, s: State, byte: int) -> tuple[State, bytes]:
+    def step(self, s: State, byte: int) -> tuple[State, bytes, int]:
         live, here, prev = [], None, s.prev
         child, token_at, inner, pairs = self.trie.get, self.token_at, self.inner, self.pairs
         for place in s.live:  # earliest first, so the longest token comes first
@@ -129,10 +132,9 @@ class Transducer:
                         here = (*chain, token)
             if inner[node]:
                 live.append((node, place[1]))
-        out = b""
+        gone: tuple = ()
         if not live:  # only this place is left: all up to here is decided
-            out = b"".join(map(self.packed.__getitem__, here))
-            prev, key = here[-1], (here[-1], ROOT)
+            gone, key = here, (here[-1], ROOT)
         else:
             live.append((0, here))
             first = live[0][1]
@@ -144,34 +146,80 @@ class Transducer:
                         k += 1
                     same = k
                 if same:
-                    out = b"".join(map(self.packed.__getitem__, first[:same]))
-                    prev = first[same - 1]
+                    gone, prev = first[:same], first[same - 1]
                     live = [(node, chain[same:]) for node, chain in live]
             key = (prev, tuple(live))
+        out = b"".join(map(self.packed.__getitem__, gone))
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = State(*key)
         if s.next is None:
             s.next = {}
-        s.next[byte] = done = (found, out)
+        s.next[byte] = done = (found, out, sum(len(self.tokens[i]) for i in gone))
         return done
 
     def finish(self, s: State) -> bytes:
         return b"".join(map(self.packed.__getitem__, s.live[-1][1]))
 
+    def search(self, prev: int, data: bytes) -> bytes:
+        """The chain of compatible tokens that follows prev over all of data, without making states.
+
+        The next token is the longest compatible one; where the lookahead shows that it leads nowhere it is
+        undone. Only one chain leads to any place, so a place that was given up is not tried again.
+        """
+        child, token_at, pairs, end = self.trie.get, self.token_at, self.pairs, len(data)
+        tried, out, open_, at, before = bytearray(end + 1), [], [], 0, prev
+        while at < end:
+            options, node = [], 0
+            for k in range(at, end):
+                node = child(node << 8 | data[k])
+                if node is None:
+                    break
+                if token_at[node] >= 0:
+                    options.append((token_at[node], k + 1))
+            while True:
+                if not options:  # undo the last token
+                    options = open_.pop()
+                    out.pop()
+                    before = out[-1] if out else prev
+                    continue
+                token, stop = options.pop()
+                if tried[stop]:
+                    continue
+                if before < 0:
+                    break
+                ok = pairs.get(before << 32 | token)
+                if ok or ok is None and self.compatible(before, token):
+                    break
+            open_.append(options)
+            out.append(token)
+            tried[stop] = 1
+            at, before = stop, token
+        return b"".join(map(self.packed.__getitem__, out))
+
     def encode(self, data: bytes) -> bytes:
-        if len(self.states) > MAX_STATES:
-            self.reset()
-        s, out = self.start, []
+        """Ids of one pre-token. A short one adds one transition at most, as long as there is room for states,
+        so that states are made where pre-tokens meet; a long one is read through kept states all along."""
+        s, out, at, short = self.start, [], 0, len(data) <= SHORT
         for b in data:
             near = s.next
-            t = near and near.get(b) or self.step(s, b)
-            s, emitted = t
-            if emitted:
-                out.append(emitted)
-                if len(self.states) > MAX_STATES:
+            t = near and near.get(b)
+            if not t:
+                if short:
+                    if len(self.states) < MAX_STATES:
+                        s, emitted, length = self.step(s, b)
+                        out.append(emitted)
+                        at += length
+                    out.append(self.search(s.prev, data[at:]))
+                    return b"".join(out)
+                if len(self.states) >= MAX_STATES:
                     self.reset()
                     s = State(s.prev, s.live)
+                t = self.step(s, b)
+            s, emitted, length = t
+            if length:
+                out.append(emitted)
+                at += length
         out.append(self.finish(s))
         return b"".join(out)
 
