@@ -150,10 +150,16 @@ def detect(text: Column, kinds: dict | None = None) -> Column:
     """Detections in order of start. Kinds come by priority; overlaps with an earlier kind are dropped."""
     out = F.array().cast(FOUND)
     for name, (pattern, confidence, risk) in (kinds or DETECTORS).items():
-        found = F.transform(
-            matches(text, pattern),
-            lambda m, name=name, c=confidence, r=risk: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.lit(name).alias("type"), m["text"].alias("text"), F.lit(r).alias("risk_level"), F.lit(c / 100).alias("confidence")),
-        )
-        free = F.filter(found, lambda m, out=out: ~F.exists(out, lambda o: (o["start"] < m["stop"]) & (m["start"] < o["stop"])))
-        out = F.concat(out, free)
+        out = F.concat(out, _free(_found(text, name, pattern, confidence, risk), out))
     return F.array_sort(out)
+
+
+def _found(text: Column, name: str, pattern: str, confidence: int, risk: int) -> Column:
+    return F.transform(
+        matches(text, pattern),
+        lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.lit(name).alias("type"), m["text"].alias("text"), F.lit(risk).alias("risk_level"), F.lit(confidence / 100).alias("confidence")),
+    )
+
+
+def _free(found: Column, taken: Column) -> Column:
+    return F.filter(found, lambda m: ~F.exists(taken, lambda o: (o["start"] < m["stop"]) & (m["start"] < o["stop"])))

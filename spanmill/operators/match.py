@@ -96,7 +96,11 @@ def true_funnel(records: DataFrame, how: str = "full") -> DataFrame:
     step = records.withColumns({"__p": normalised(F.col("preds"), how), "__g": F.filter(normalised(F.col("gold"), how), lambda g: spans.has_span(g["start"], g["stop"]))})
     v = lambda p, g: spans.iou(p["start"], p["stop"], g["start"], g["stop"])
     tests = {"named": lambda p, g: F.lit(True), "overlapped": lambda p, g: v(p, g) > 0, "located": lambda p, g: v(p, g) >= LEAST_IOU, "exact": lambda p, g: (p["start"] == g["start"]) & (p["stop"] == g["stop"])}
-    many = {n: F.size(F.filter("__g", lambda g, t=t: F.exists("__p", lambda p: (p["type"] == g["type"]) & t(p, g)))).cast("long") for n, t in tests.items()}
+
+    def passing(test):
+        return F.size(F.filter("__g", lambda g: F.exists("__p", lambda p: (p["type"] == g["type"]) & test(p, g)))).cast("long")
+
+    many = {n: passing(t) for n, t in tests.items()}
     return step.withColumns({"gold_spans": F.size("__g").cast("long"), **many}).drop("__p", "__g")
 
 

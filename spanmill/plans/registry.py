@@ -22,4 +22,5 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Rounded to six places; a negative zero becomes zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
