@@ -32,12 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/spanmill-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, lost executors recompute nothing."""
+    """Write df to the shared folder and read it back: lineage ends there, lost executors recompute nothing.
+
+    The shuffle files behind it go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{re.sub(r'[^A-Za-z0-9_]', '_', name)}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what cut() wrote; nothing that is still to be computed may read it."""
+    for df in frames:
+        if path := getattr(df, "cut_path", None):
+            jvm, spark = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sessionState().newHadoopConf()).delete(where.getParent(), True)
 
 
 def drop_clashing(df: DataFrame, *names: str) -> DataFrame:

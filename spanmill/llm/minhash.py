@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import cut, summed
+from spanmill.llm.common import cut, discard, summed
 
 #: Words of a shingle; least similarity; bands and places of a band (a pair of similarity 0.8 is missed with 7e-5).
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
@@ -209,7 +209,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = cut(small.filter("u <> v").distinct(), "edges")
+        last, now = now, cut(small.filter("u <> v").distinct(), "edges")
+        discard(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if tuple(seen) == mark:
             break
@@ -227,9 +228,10 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
     """
     rows = cut(signed(docs, text, list(others), k), "signatures")
     nodes = rows.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
-    member = cut(nodes.select("node", F.explode("bands").alias("bucket")), "buckets")
-    shared = member.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("bucket", "first")
-    member = cut(member.join(shared, "bucket"), "members")
+    every = cut(nodes.select("node", F.explode("bands").alias("bucket")), "buckets")
+    shared = every.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("bucket", "first")
+    member = cut(every.join(shared, "bucket"), "members")
+    discard(every)
     stars = cut(member.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
 
@@ -252,14 +254,15 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
     more = cut(verified(cross, bags, least), "links")
     if more.limit(1).count():
         label = components(edges.unionByName(more))
-    label = cut(label, "labels")
-    own = F.when(F.size("bands") > 0, F.coalesce("label", "node"))
-    return rows.join(label, "node", "left").select(*others, "node", own.alias("label"))
+    alone = F.when(F.size("bands") > 0, F.coalesce("label", "node"))
+    out = cut(rows.join(label, "node", "left").select(*others, "node", alone.alias("label")), "classes")
+    discard(rows, member, stars, bags, edges, placed, own, cross, more)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), class_size, of every document."""
-    rows = cut(classes(docs.select("doc_id", "text")), "classes")
+    rows = classes(docs.select("doc_id", "text"))
     sizes = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     out = rows.join(sizes, "label", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
@@ -268,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row of smallest doc_id, of equal rows one."""
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = cut(classes(docs.select("doc_id", "text")), "classes")
+    rows = classes(docs.select("doc_id", "text"))
     first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("m"))
     one = first.select(F.col("m.node").alias("__node"), F.col("m.doc_id").alias("__id"), F.lit(False).alias("__any"))
     blank = rows.filter("label is null").select(F.col("node").alias("__node")).distinct().select("__node", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("__id"), F.lit(True).alias("__any"))
