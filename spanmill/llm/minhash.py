@@ -7,8 +7,8 @@ sees the points below w only. For each place the earliest point is kept, so two
 with the probability of their weighted Jaccard similarity. Points are drawn in order of time and only while
 they can still be earlier than the latest place, so a signature costs little more than one point a shingle.
 
-Signatures are banded. Documents of one text are one node; each node of a bucket is verified against the
-bucket's first node, connected components are built, and nodes of buckets that still hold different components are then verified with each
+Signatures are banded. Documents of one text are one node; each node of a bucket is verified against a pivot of
+the bucket, connected components are built, some turns with other pivots follow, and nodes of buckets that still hold different components are then verified with each
 other, as far as they share one of their rarest shingles - which nodes of the least similarity always do. So no
 link between different components of a bucket is missed, nodes that are joined already are never paired, and
 neither are those that merely share a common passage.
@@ -30,6 +30,8 @@ from spanmill.llm.common import cut, discard, summed
 #: Words of a shingle; least similarity; bands and places of a band (a pair of similarity 0.8 is missed with 7e-5).
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 M = BANDS * ROWS
+#: Turns of pivots before what is left of a bucket is paired.
+PIVOTS = 3
 #: Words whose hashes a worker keeps; size of the table of shingle counts, as a power of two.
 MAX_WORDS, SKETCH_BITS = 400_000, 20
 U = np.uint64
@@ -137,16 +139,15 @@ def signed(docs: DataFrame, text: str, others: list[str], k: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b) whose multisets are similar enough."""
+    """Those rows of pairs (a, b, la, lb: labels) whose multisets are similar enough; their labels, once each."""
     both = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = b.column(2), b.column(3)
-            good = [similarity(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)) >= least for x, y in zip(a, c, strict=True)]
+            good = [similarity(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a string, b string")
+    return both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "bag_a", "bag_b").mapInArrow(run, "a string, b string").distinct()
 
 
 def occurrences(bag: np.ndarray) -> np.ndarray:
@@ -185,14 +186,14 @@ def rare_pairs(own: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["item", "node", "label", "n", "i"])
 
     posting = cut(own.select("node", "label", "bag").mapInArrow(prefixes, "item long, node string, label string, n int, i int"), "prefixes")
-    kinds = posting.select("item", "label").distinct()
-    two = kinds.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1").select("item")
-    kinds = kinds.join(two, "item", "left_semi")
-    pairs = kinds.alias("x").join(kinds.alias("y"), F.expr("x.item = y.item and x.label < y.label")).select("x.item", F.col("x.label").alias("l1"), F.col("y.label").alias("l2"))
-    one = pairs.join(posting.select("item", F.col("label").alias("l1"), F.col("node").alias("n1"), F.col("n").alias("na"), F.col("i").alias("ia")), ["item", "l1"])
-    both = one.join(posting.select("item", F.col("label").alias("l2"), F.col("node").alias("n2"), F.col("n").alias("nb"), F.col("i").alias("ib")), ["item", "l2"])
-    fits = f"least(na, nb) >= {least} * greatest(na, nb) - 1e-9 and least(na - ia, nb - ib) >= {least} / {1 + least} * (na + nb) - 1e-9"
-    return both.filter(fits).select(F.greatest("n1", "n2").alias("a"), F.least("n1", "n2").alias("b")).distinct()
+    mixed = posting.groupBy("item").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("item")
+    posting = posting.join(mixed, "item", "left_semi")
+    fits = (
+        f"least(x.n, y.n) >= {least} * greatest(x.n, y.n) - 1e-9"
+        f" and least(x.n - x.i, y.n - y.i) >= {least} / {1 + least} * (x.n + y.n) - 1e-9"
+    )
+    both = posting.alias("x").join(posting.alias("y"), F.expr(f"x.item = y.item and x.label < y.label and {fits}"))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -220,6 +221,32 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def mixed_members(member: DataFrame) -> DataFrame:
+    """Members (bucket, node, label) of buckets that hold different labels."""
+    mixed = member.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("bucket")
+    return member.join(mixed, "bucket", "left_semi")
+
+
+def pivot_pairs(member: DataFrame, turn: int) -> DataFrame:
+    """Each member of a mixed bucket with the bucket's pivot, if their labels differ. The first pivot is the
+    smallest node, so that groups of copies meet in few nodes; later ones differ by bucket, so that each node is
+    compared with up to as many others as it has bands."""
+    mixed = mixed_members(member)
+    order = F.lit(0) if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
+    pivot = mixed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("p")).select("bucket", F.col("p.node").alias("b"), F.col("p.label").alias("lb"))
+    return mixed.join(pivot, "bucket").filter("label <> lb").select(F.col("node").alias("a"), "b", F.col("label").alias("la"), "lb").distinct()
+
+
+def relabelled(member: DataFrame, links: DataFrame) -> DataFrame:
+    """member with labels that links (a, b) join made one: the smallest of them."""
+    if not links.limit(1).count():
+        return member
+    one = components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    out = cut(member.join(one, "label", "left").select("bucket", "node", F.coalesce("new", "label").alias("label")), "members")
+    discard(member, links)
+    return out
+
+
 def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), least: float = SIMILARITY, k: int = WORDS) -> DataFrame:
     """`others`, node and label of every row of docs; rows of one label are near-duplicates of each other.
 
@@ -229,11 +256,10 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
     rows = cut(signed(docs, text, list(others), k), "signatures")
     nodes = rows.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
     every = cut(nodes.select("node", F.explode("bands").alias("bucket")), "buckets")
-    shared = every.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("bucket", "first")
-    member = cut(every.join(shared, "bucket"), "members")
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    member = cut(every.join(shared, "bucket", "left_semi").withColumn("label", F.col("node")), "members")
     discard(every)
-    stars = cut(member.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    wanted = member.select("node").distinct()
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -243,20 +269,18 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
 
     texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("node"), F.col(text).alias("t"))
     bags = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(bag, "node string, bag binary"), "bags")
-    edges = cut(verified(stars, bags, least), "links")
-    label = components(edges)
-    # what one bucket holds of different components
-    placed = cut(member.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("bucket")
-    doubtful = placed.join(mixed, "bucket", "left_semi").select("node", "label").distinct()
+    for turn in range(PIVOTS):
+        pairs = cut(pivot_pairs(member, turn), "pivots")
+        member = relabelled(member, cut(verified(pairs, bags, least), "links"))
+        discard(pairs)
+    doubtful = mixed_members(member).select("node", "label").distinct()
     own = cut(bags.join(doubtful, "node").select("node", "label", "bag"), "doubtful")
-    cross = cut(rare_pairs(own, least).join(stars, ["a", "b"], "left_anti"), "cross")
-    more = cut(verified(cross, bags, least), "links")
-    if more.limit(1).count():
-        label = components(edges.unionByName(more))
+    pairs = cut(rare_pairs(own, least), "cross")
+    member = relabelled(member, cut(verified(pairs, bags, least), "links"))
+    label = member.select("node", "label").distinct()
     alone = F.when(F.size("bands") > 0, F.coalesce("label", "node"))
     out = cut(rows.join(label, "node", "left").select(*others, "node", alone.alias("label")), "classes")
-    discard(rows, member, stars, bags, edges, placed, own, cross, more)
+    discard(rows, member, bags, own, pairs)
     return out
 
 
