@@ -45,20 +45,20 @@ def _letters() -> np.ndarray:
 
 
 def presence(text: str | None, piece: int = 1 << 20) -> np.ndarray | None:
-    """phi(text) as booleans, None for a text without letters. Long texts are read in overlapping pieces."""
+    """phi(text) as booleans, None for a text without letters. Long texts are read in pieces."""
     marks, seen = np.zeros(FEATURES, bool), False
     low = (text or "").lower()
+    carry, blank = np.zeros(1, np.uint32), np.zeros(1, np.uint32)
     for at in range(0, len(low), piece):
-        codes = np.frombuffer(low[max(0, at - 2 * max(GRAMS)) : at + piece].encode("utf-32-le", "surrogatepass"), "<u4")
-        a = _letters()[np.minimum(codes, 0x10FFFF)]
-        if not a.any():
-            continue
-        seen = True
-        a = np.concatenate([np.zeros(1, np.uint32), a, np.zeros(1, np.uint32)])
+        codes = np.frombuffer(low[at : at + piece].encode("utf-32-le", "surrogatepass"), "<u4")
+        own = _letters()[np.minimum(codes, 0x10FFFF)]
+        seen = seen or bool(own.any())
+        a = np.concatenate([carry, own, blank] if at + piece >= len(low) else [carry, own])
         keep = a != 0
         keep[1:] |= a[:-1] != 0
         keep[0] = True
         a = a[keep]
+        carry = a[-(max(GRAMS) - 1) :]
         h = np.zeros(len(a), np.uint32)
         for n in range(1, max(GRAMS) + 1):
             h = h[: len(a) - n + 1] * np.uint32(ODD[0]) + a[n - 1 :] * np.uint32(ODD[1])
