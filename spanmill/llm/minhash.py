@@ -31,7 +31,7 @@ from spanmill.llm.common import cut, discard, summed
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 M = BANDS * ROWS
 #: Turns of pivots before what is left of a bucket is paired.
-PIVOTS = 3
+PIVOTS = 2
 #: Words whose hashes a worker keeps; size of the table of shingle counts, as a power of two.
 MAX_WORDS, SKETCH_BITS = 400_000, 20
 U = np.uint64
@@ -200,11 +200,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label: the smallest node of its component, for all nodes of edges (a, b).
 
     Alternating large-star and small-star steps (Kiveris and others, 2014), as joins with minima, so
-    that no list of neighbours meets in one task; each round is written out.
+    that no list of neighbours meets in one task; each round is written out. It ends when every edge leads to
+    a node from which none leads on.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
     for _ in range(rounds):
+        # once every node has one edge, down to a node that has none, all is done
+        ways = now.groupBy("u").agg(F.count("*").alias("n"))
+        if not now.select(F.col("v").alias("u"), F.lit(1).cast("long").alias("n")).join(ways.select("u"), "u", "left_semi").unionByName(ways.filter("n > 1")).limit(1).count():
+            break
         near = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -212,35 +216,29 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         last, now = now, cut(small.filter("u <> v").distinct(), "edges")
         discard(last)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def mixed_members(member: DataFrame) -> DataFrame:
-    """Members (bucket, node, label) of buckets that hold different labels."""
-    mixed = member.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("bucket")
-    return member.join(mixed, "bucket", "left_semi")
+def mixed_members(member: DataFrame, turn: int = 0) -> DataFrame:
+    """Members (bucket, node, label) of buckets that hold different labels, with the bucket's pivot (b, lb).
+
+    The pivot of turn 0 is the smallest node, so that groups of copies meet in few nodes; later ones differ by
+    bucket, so that each node is compared with up to as many others as it has bands.
+    """
+    order = F.lit(0).cast("long") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
+    held = member.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min(F.struct(order.alias("o"), "node", "label")).alias("p"))
+    return member.join(held.filter("l1 <> l2").select("bucket", F.col("p.node").alias("b"), F.col("p.label").alias("lb")), "bucket")
 
 
 def pivot_pairs(member: DataFrame, turn: int) -> DataFrame:
-    """Each member of a mixed bucket with the bucket's pivot, if their labels differ. The first pivot is the
-    smallest node, so that groups of copies meet in few nodes; later ones differ by bucket, so that each node is
-    compared with up to as many others as it has bands."""
-    mixed = mixed_members(member)
-    order = F.lit(0) if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
-    pivot = mixed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("p")).select("bucket", F.col("p.node").alias("b"), F.col("p.label").alias("lb"))
-    return mixed.join(pivot, "bucket").filter("label <> lb").select(F.col("node").alias("a"), "b", F.col("label").alias("la"), "lb").distinct()
+    """Members of mixed buckets with their pivot, where the labels differ."""
+    return mixed_members(member, turn).filter("label <> lb").select(F.col("node").alias("a"), "b", F.col("label").alias("la"), "lb").distinct()
 
 
 def relabelled(member: DataFrame, links: DataFrame) -> DataFrame:
     """member with labels that links (a, b) join made one: the smallest of them."""
-    if not links.limit(1).count():
-        return member
     one = components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
     out = cut(member.join(one, "label", "left").select("bucket", "node", F.coalesce("new", "label").alias("label")), "members")
     discard(member, links)
@@ -255,10 +253,9 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
     """
     rows = cut(signed(docs, text, list(others), k), "signatures")
     nodes = rows.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
-    every = cut(nodes.select("node", F.explode("bands").alias("bucket")), "buckets")
+    every = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     member = cut(every.join(shared, "bucket", "left_semi").withColumn("label", F.col("node")), "members")
-    discard(every)
     wanted = member.select("node").distinct()
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
