@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": linededup.ORACLE_SQL,
     "op3_arc_to_warc": warc.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op9_decontaminate": decontam.ORACLE_SQL,
