@@ -155,20 +155,20 @@ def _order(seed: int, key: str) -> str:
     return f"md5('{seed}|' || {key})"
 
 
-def _sample_sql(n: int, src: str, strata: str, key: str, cols: str) -> str:
+def sample_sql(n: int, src: str, strata: str, key: str, cols: str) -> str:
     return (
         f"s AS (SELECT *, {strata} AS st, {_order(42, key)} AS o FROM {src}), z AS (SELECT *, count(*) OVER (PARTITION BY st) AS size, count(*) OVER () AS total, row_number() OVER (PARTITION BY st ORDER BY o, {key}) AS rn FROM s) "
         f"SELECT {cols} FROM z ORDER BY rn > least(size, greatest(1, floor({n} * size / total))), o, {key} LIMIT {n}"
     )
 
 
-@query("e1_stratified_sample", f"WITH {CORPUS_SQL}, {_sample_sql(200, 'corpus', f'{BIN} || {chr(39)}_{chr(39)} || {SIG}', 'key', 'key')}")
+@query("e1_stratified_sample", f"WITH {CORPUS_SQL}, {sample_sql(200, 'corpus', f'{BIN} || {chr(39)}_{chr(39)} || {SIG}', 'key', 'key')}")
 def _(spark, d):
     strata = [F.concat_ws("_", spans.length_bin(F.col("text")), spans.type_signature(F.col("types")))]
     return corpus.stratified_sample(typed(spark, d), 200, strata, "key").select("key")
 
 
-@query("e1b_stratified_by_source", f"WITH {_sample_sql(150, 'documents', f'source || {BIN}', 'doc_id', 'doc_id, source')}")
+@query("e1b_stratified_by_source", f"WITH {sample_sql(150, 'documents', f'source || {BIN}', 'doc_id', 'doc_id, source')}")
 def _(spark, d):
     return corpus.stratified_sample(docs(spark, d).select("doc_id", "source", "text"), 150, [F.col("source"), spans.length_bin(F.col("text"))], "doc_id").select("doc_id", "source")
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanmill.functions import spans, text
+from spanmill.functions import labels, spans, text
 from spanmill.operators import conversation as C
 from spanmill.operators import corpus, match, runner
-from spanmill.plans.corpus_queries import CORPUS_SQL, STRICT_SQL, typed
+from spanmill.plans.corpus_queries import BIN, CORPUS_SQL, STRICT_SQL, sample_sql, typed
 from spanmill.plans.fixtures import CARDS_SQL, RECORDS_SQL, cards, records, table
 from spanmill.plans.registry import query, r6
 from spanmill.sources import results
@@ -290,3 +290,31 @@ def _(spark, d):
 def _(spark, d):
     missing = [shared_dir(spark) + "/none.json", shared_dir(spark) + "/none"]
     return results.read_first(spark, missing, results.RUN).agg(F.count("*").alias("n"))
+
+
+@query("a14_uniform_schema", f"WITH {RECORDS_SQL} SELECT count(*) FILTER (key % 4 = 0 OR len(preds) = 0) AS empty_lists, count(*) AS clean_errors FROM records WHERE model = 'm0'")
+def _(spark, d):
+    own = records(spark, d).filter("model = 'm0'").withColumns({"preds": F.when(F.col("key") % 4 != 0, F.col("preds")), "error": F.lit(None).cast("string")})
+    return results.published(own).agg(F.count_if(F.col("predictions") == "[]").alias("empty_lists"), F.count_if(F.col("error") == "").alias("clean_errors"))
+
+
+@query("a8_label_map", "SELECT 136::BIGINT AS n_keys, 24::BIGINT AS n_null, 29::BIGINT AS n_targets")
+def _(spark, d):
+    return spark.createDataFrame([(len(labels.BASE), sum(v is None for v in labels.BASE.values()), len(labels.CANON))], "n_keys long, n_null long, n_targets long")
+
+
+@query("a16_samples_builder", f"SELECT source, count(*) AS n FROM (WITH {sample_sql(100, 'documents', f'source || {BIN}', 'doc_id', 'doc_id, source')}) GROUP BY source")
+def _(spark, d):
+    path = shared_dir(spark) + "/samples"
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    some = corpus.stratified_sample(docs, 100, [F.col("source"), spans.length_bin(F.col("text"))], "doc_id")
+    found = F.transform(text.detect(F.col("text")), lambda s: F.struct(s["type"].alias("type"), s["text"].alias("text"), s["start"].alias("start"), s["stop"].alias("stop")))
+    results.write_samples(some.withColumns({"id": F.col("doc_id").cast("string"), "gold": found}), path)
+    return spark.read.schema(results.SAMPLES).json(path).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("j14_condition_kinds", "SELECT * FROM (VALUES ('zero_shot', true), ('with_docs', true), ('with_tools', false), ('with_skills', false), ('few_shot', true), ('cot', true)) t(condition, single_turn)")
+def _(spark, d):
+    from spanmill.plans.fixtures import CONDITIONS
+
+    return spark.createDataFrame([(c,) for c in CONDITIONS], "condition string").select("condition", F.col("condition").isin(*runner.SINGLE_TURN).alias("single_turn"))
