@@ -30,6 +30,8 @@ from spanmill.llm.common import cut, discard, summed
 #: Words of a shingle; least similarity; bands and places of a band (a pair of similarity 0.8 is missed with 7e-5).
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 M = BANDS * ROWS
+#: Earlier shingles of a prefix that a posting remembers.
+NEAREST = 8
 #: Turns of pivots before what is left of a bucket is paired.
 PIVOTS = 2
 #: Words whose hashes a worker keeps; size of the table of shingle counts, as a power of two.
@@ -171,28 +173,31 @@ def rare_pairs(own: DataFrame, least: float) -> DataFrame:
     counts = own.sparkSession.sparkContext.broadcast(summed(own, "bag", SKETCH_BITS, _bag_places))  # 2^SKETCH_BITS numbers
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list = [[], [], [], [], []]
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            out: list = [[], [], [], [], [], []]
             for node, label, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 items = occurrences(np.frombuffer(raw.as_buffer(), U))
                 c = counts.value[(items & U((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                 order = np.lexsort((items, c))
-                n = len(items)
+                n, before = len(items), []
                 for i, at in enumerate(order[: n - ceil(least * n - 1e-9) + 1].tolist()):
                     if c[at] > 1:
-                        for column, value in zip(out, (int(items[at]) - (1 << 63), node, label, n, i), strict=True):
+                        item = int(items[at]) - (1 << 63)
+                        for column, value in zip(out, (item, node, label, n, i, before[-NEAREST:]), strict=True):
                             column.append(value)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["item", "node", "label", "n", "i"])
+                        before.append(item)
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["item", "node", "label", "n", "i", "before"])
 
-    posting = cut(own.select("node", "label", "bag").mapInArrow(prefixes, "item long, node string, label string, n int, i int"), "prefixes")
+    posting = cut(own.select("node", "label", "bag").mapInArrow(prefixes, "item long, node string, label string, n int, i int, before array<long>"), "prefixes")
     mixed = posting.groupBy("item").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("item")
     posting = posting.join(mixed, "item", "left_semi")
     fits = (
         f"least(x.n, y.n) >= {least} * greatest(x.n, y.n) - 1e-9"
         f" and least(x.n - x.i, y.n - y.i) >= {least} / {1 + least} * (x.n + y.n) - 1e-9"
     )
-    both = posting.alias("x").join(posting.alias("y"), F.expr(f"x.item = y.item and x.label < y.label and {fits}"))
+    # a pair that has just met in an earlier item, which passed the filters too, need not meet again
+    both = posting.alias("x").join(posting.alias("y"), F.expr(f"x.item = y.item and x.label < y.label and {fits} and not arrays_overlap(x.before, y.before)"))
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
 
 
