@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from spanmill.llm.common import drop_clashing
 
 #: States, compatible pairs and pre-tokens kept per Python worker.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 400_000, 300_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 60_000, 200_000, 120_000
 #: Bytes of a short pre-token.
 SHORT = 64
 #: Rank of a pair that never merges.

@@ -35,7 +35,7 @@ NEAREST = 8
 #: Turns of pivots before what is left of a bucket is paired.
 PIVOTS = 2
 #: Words whose hashes a worker keeps; size of the table of shingle counts, as a power of two.
-MAX_WORDS, SKETCH_BITS = 400_000, 20
+MAX_WORDS, SKETCH_BITS = 100_000, 20
 U = np.uint64
 GAMMA, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
