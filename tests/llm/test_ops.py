@@ -240,6 +240,23 @@ def test_quality_verdicts(spark, sf):
     assert bare.filter("not base_failed and not kept").count() == 0 and quality.rate(docs.limit(0), labels).count() == 0
 
 
+def test_quality_rejects_labelled_junk(spark):
+    base = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    kept = quality.rate(spark.read.parquet(f"{base}/documents.parquet"), labels).filter("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    good, bad = ([r["kept"] for r in kept if r["quality"] == q] for q in (1, 0))
+    assert len(bad) > 20 and sum(bad) <= 0.25 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
+def test_threshold_uses_both_labels():
+    scores, good = np.array([*np.linspace(0, 0.5, 100), 0.6, 0.7]), np.arange(102) < 100
+    assert quality.threshold(scores, good, ~good) == 0.5
+    assert quality.threshold(scores, good, good & False) == 0.5 and quality.threshold(scores, good & False, good) == float("inf")
+    mixed = np.array([*np.linspace(0, 0.5, 100), *np.linspace(0.3, 0.7, 50)])
+    limit = quality.threshold(mixed, np.arange(150) < 100, np.arange(150) >= 100)
+    assert (mixed[:100] <= limit).mean() >= 0.98 and (mixed[100:] > limit).mean() >= 0.5
+
+
 def test_forest_finds_outliers():
     x = np.random.default_rng(0).normal(size=(2000, 3))
     f = quality.Forest(x)
