@@ -66,8 +66,8 @@ def _(spark, d):
 
 @query("h19_prompt_render", "SELECT doc_id, replace('Find {text} in {{x}}: {text}', '{text}', left(coalesce(text, ''), 40)) AS prompt FROM documents")
 def _(spark, d):
-    short = table(spark, d, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("text"))
-    return runner.prompts(short, {"zero_shot": "Find {text} in {{x}}: {text}"}, ["m0"]).select("doc_id", "prompt")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return runner.prompts(docs, {"zero_shot": "Find {text} in {{x}}: {text}"}, ["m0"]).select("doc_id", "prompt")
 
 
 @query("h20_follow_up", "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'You called list_skills. Here are the results:' || chr(10) || chr(10) || '```json' || chr(10) || 'x' || chr(10) || '```' || chr(10) || chr(10) || 'Your next reply must be exactly: [TOOL_CALL: view_skill pii-detection]' WHEN conv_id % 3 = 1 THEN '[user]' || chr(10) || 'u' || chr(10) || chr(10) || '[system]' || chr(10) || 's' ELSE 'u' END AS prompt FROM (SELECT DISTINCT conv_id FROM conversations)")
