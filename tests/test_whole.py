@@ -3,6 +3,7 @@
 import duckdb
 
 from spanmill.plans import catalog
+from spanmill.plans.fixtures import records
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +12,13 @@ def test_prompts_hold_whole_texts(spark):
     texts = dict(duckdb.sql(f"select doc_id, coalesce(text, '') from '{SF}/documents.parquet'").fetchall())
     got = {r["doc_id"]: r["prompt"] for r in catalog.QUERIES["h19_prompt_render"](spark, SF).collect()}
     assert got == {i: "Find " + t + " in {{x}}: " + t for i, t in texts.items()}
+
+
+def test_offline_scorer_reads_unparseable_answers(spark):
+    expected: dict = {}
+    for r in records(spark, SF).select("key", "model", "condition", "preds", "gold").collect():
+        n = expected.setdefault((r["model"], r["condition"]), [0, 0])
+        n[0] += 0 if r["key"] % 5 == 3 else len(r["preds"])  # responses() breaks the JSON of these
+        n[1] += len(r["gold"])
+    got = catalog.QUERIES["j10_offline_scorer"](spark, SF).collect()
+    assert {(r["model"], r["condition"]): [r["n_pred"], r["n_gold"]] for r in got} == expected
