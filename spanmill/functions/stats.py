@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def t_statistic(d: Column) -> Column:
@@ -118,20 +121,68 @@ def confidence(df: DataFrame, by: list[str], value: str, margin_wanted: float =
     return out.withColumns({"required_if_short": F.when(F.col("enough"), F.col("n")).otherwise(need), "required_always": F.when(F.col("enough"), need).otherwise(F.greatest(F.col("n") + 1, need))})
 
 
+#: Poisson(1) below these limits of a uniform number is 0, 1, ... 6; from the last one on it is 7.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(7)])
+#: Rows read at once, and groups whose sums a task holds before it passes them on.
+CHUNK, HELD = 2048, 500
+
+
+def weights(keys: np.ndarray, draws: int) -> np.ndarray:
+    """Poisson(1) weights of 64-bit hashes of keys (rows) in each draw (columns), by the finalizer of SplitMix64."""
+    z = keys.astype(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(24)).astype(float) / float(1 << 40)
+    return np.searchsorted(POISSON, u, "right").astype(float)
+
+
 def bootstrap(df: DataFrame, by: list[str], value: str, key: str, draws: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean over seeded resamples.
 
     A resample gives each row a Poisson(1) weight that a hash of (seed, draw, key) decides: the usual bootstrap
-    for large tables, without collecting a group anywhere. Per draw only sums are shuffled.
+    for large tables, without collecting a group anywhere. Tasks sum per group and draw in one pass; only sums are
+    shuffled. Null values have no weight.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(key).cast("string")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps, total, term = [], 0.0, math.exp(-1)
-    for k in range(1, 8):
-        total += term
-        steps.append(total)
-        term /= k
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = df.select(*by, value, key).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = drawn.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("mean"))
+    rows = df.select(*by, F.col(value).cast("double").alias("__v"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("__h"))
+    schema = T.StructType([*rows.schema.fields[: len(by)], T.StructField("__w", T.ArrayType(T.DoubleType())), T.StructField("__s", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        kinds: list = []
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)] if by else []
+            sums = [pa.array([x[i] for x in held.values()], pa.list_(pa.float64())) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*cols, *sums], names=[*by, "__w", "__s"])
+
+        for whole in batches:
+            kinds = [whole.schema.field(i).type for i in range(len(by))]
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                groups = list(zip(*(b.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * b.num_rows
+                place: dict = {}
+                g = np.array([place.setdefault(x, len(place)) for x in groups])
+                v = b.column(len(by)).to_numpy(zero_copy_only=False).astype(float)
+                there = np.asarray(b.column(len(by)).is_valid())
+                keys, k = np.unique(b.column(len(by) + 1).to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+                # group x key tables, so that a key's weights are made once for all its groups
+                n, total = np.zeros((2, len(place), len(keys)))
+                np.add.at(n, (g[there], k[there]), 1)
+                np.add.at(total, (g[there], k[there]), v[there])
+                w = weights(keys, draws)
+                for x, n_w, n_s in zip(place, n @ w, total @ w, strict=True):
+                    if x in held:
+                        held[x][0] += n_w
+                        held[x][1] += n_s
+                    else:
+                        held[x] = [n_w.copy(), n_s.copy()]
+                if len(held) > HELD:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    each = rows.mapInArrow(run, schema).select(*by, F.posexplode(F.arrays_zip("__w", "__s")).alias("draw", "__x"))
+    means = each.groupBy(*by, "draw").agg(F.try_divide(F.sum("__x.__s"), F.sum("__x.__w")).alias("mean"))
     low = (1 - level) / 2
     return means.groupBy(*by).agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(1 - low)).alias("high"))

@@ -479,7 +479,7 @@ def _(spark, d):
 @query("i3_bootstrap")
 def _(spark, d):
     s = match.scored(records(spark, d), (("span", "full", "fs"),))
-    return rounded(stats.bootstrap(s, ["model", "condition"], "fs", "key", 100))
+    return rounded(stats.bootstrap(s, ["model", "condition"], "fs", "key"))
 
 
 @query("h22_p_value", "SELECT p, CASE WHEN p < 0.001 THEN '< 0.001' ELSE printf('%.3f', p) END AS shown FROM (SELECT unnest([0.0005, 0.001, 0.0421, 0.5, 1.0]::DOUBLE[]) AS p)")
