@@ -40,9 +40,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    bad = cut(found.filter(decontam.contaminated()).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, F.expr("doc_id <=> __bad"), "left_anti")
+    # ids may be null or repeated: a verdict belongs to an id and its text
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    keyed = docs.select(F.struct("doc_id", digest.alias("digest")).alias("__key"), "text")
+    found = decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), key="__key")
+    bad = cut(found.filter(decontam.contaminated()).select(F.col("__key.doc_id").alias("__id"), F.col("__key.digest").alias("__bad")).distinct(), "contaminated")
+    return docs.withColumn("__digest", digest).join(bad, F.expr("doc_id <=> __id and __digest = __bad"), "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,14 @@ def test_stages_take_odd_rows(spark, sf):
             assert out.columns[:6] == docs.columns and out.count() <= docs.count()
 
 
+def test_decontaminate_judges_rows_not_ids(spark, sf):
+    passage = duckdb.sql(f"select text from '{sf}/benchmark.parquet' order by item_id limit 1").fetchall()[0][0]
+    clean = [(None, "a clean text without an id"), (None, None), (1, "a clean text of a repeated id"), (2, "another clean text"), (2, "another clean text")]
+    docs = spark.createDataFrame([*clean, (None, passage), (1, passage), (3, passage)], "doc_id long, text string")
+    out = corpus_pipeline.decontaminate(spark, docs, sf)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=repr) == sorted(clean, key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_twin(spark, sf, name):
     c = duckdb.connect()
