@@ -80,3 +80,13 @@ def test_registered_bootstrap_has_the_draws_of_the_operator(spark):
     assert len(got) == 30 and all(np.allclose(got[g], expected[g], rtol=0, atol=1e-6) for g in expected)
     w = stats.weights(np.arange(2000, dtype=np.uint64) * np.uint64(2654435761), 1000)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01
+
+
+def test_top_up_fills_from_all_documents(spark):
+    for sf in (SF, "/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        docs = duckdb.sql(f"select doc_id, source from '{sf}/documents.parquet'").fetchall()
+        have = [r for r in docs if r[0] % 10 == 0]
+        rest = sorted((r for r in docs if r[0] % 10), key=lambda r: (r[1], r[0]))
+        need = len(docs) * 15 // 100 - len(have)
+        got = catalog.QUERIES["c4_top_up"](spark, sf).collect()
+        assert need > 0 and sorted(map(tuple, got)) == sorted(have + rest[:need])
