@@ -26,6 +26,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    if not model.langs:  # nothing to learn from: a text with letters is no worse for it
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     told = langid.predict(docs, model, lang_pred="__lang", score="__score")
     return told.filter(F.col("__lang") != langid.UND).select(*docs.columns)
 

@@ -50,6 +50,12 @@ def test_stages_take_odd_rows(spark, sf):
             assert out.columns[:6] == docs.columns and out.count() <= docs.count()
 
 
+def test_language_stage_without_languages(spark, sf):
+    kept = [(1, "some text", None), (2, "\u0416", None)]
+    docs = spark.createDataFrame([*kept, (3, "12 !?_", None), (4, "", None), (5, None, None)], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, corpus_pipeline.language_id(spark, docs, sf).collect())) == kept
+
+
 def test_decontaminate_judges_rows_not_ids(spark, sf):
     passage = duckdb.sql(f"select text from '{sf}/benchmark.parquet' order by item_id limit 1").fetchall()[0][0]
     clean = [(None, "a clean text without an id"), (None, None), (1, "a clean text of a repeated id"), (2, "another clean text"), (2, "another clean text")]
