@@ -1,18 +1,21 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and a streaming decoder.
 
 The transducer reads the bytes of one pre-token from left to right. A chain of tokens is the BPE
-encoding of its bytes exactly if every two neighbours are themselves encoded as those two tokens
-("compatible"), so for every prefix the last token is unique. A state holds the token emitted last
-and the bytes after it that are still undecided; an unfinished token can only start where the rest
-of the input so far is a proper prefix of some vocabulary entry. What the chains to all such places
-share can no longer change and is emitted: the lookahead is bounded by the longest entry. States
-and transitions are made when first met and kept, up to a limit; what goes beyond the kept states
-is decided by a search over the same trie and the same compatible pairs, with the same result.
+encoding of its bytes exactly if every two neighbours are "compatible", that is if no merge ever
+crosses the seam between them, so for every prefix the last token is unique. A state holds the places
+where an unfinished token may have started - the place in the trie of the vocabulary, and the token
+before it - and the last token of the prefix read so far, which is what the state puts out. States and
+transitions are made when first met; when MAX_STATES are kept all are forgotten and made anew as
+needed, whatever the pre-token. Tokens are emitted as soon as the chains to all places that are still
+open share them: the lookahead is bounded by the longest entries.
+
+The decoder runs a UTF-8 state machine over all bytes, in lockstep from every lead byte.
 """
 
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 import re
 from collections.abc import Iterator
@@ -29,14 +32,14 @@ from pyspark.sql import types as T
 
 from spanmill.llm.common import drop_clashing
 
-#: States, compatible pairs and pre-tokens kept per Python worker.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 60_000, 200_000, 120_000
-#: Bytes of a short pre-token.
-SHORT = 64
+#: States, compatible pairs and pre-tokens kept per Python worker while a task runs.
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 100_000, 100_000, 120_000
+#: Bytes of one pre-token after which what is decided is emitted.
+FLUSH = 4096
 #: Rank of a pair that never merges.
 NONE = 1 << 60
-#: Live places where nothing is undecided.
-ROOT = ((0, ()),)
+#: In place of a token: nothing before (at the start), no chain ends here.
+START, OPEN = -1, -2
 #: Rows a returned Arrow batch holds at most, and characters after which one is sent earlier.
 OUT_ROWS, OUT_CHARS = 1_000, 8_000_000
 #: Pre-tokens, and ids, handled at a time within one text.
@@ -48,18 +51,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-class State:
-    """What is undecided: the id emitted last (-1 at the start) and the places where an unfinished
-    token may start, earliest first: its node in the trie of the vocabulary so far, and the ids of
-    the chain that leads from the token emitted last to that place. The last place is here."""
-
-    __slots__ = ("live", "next", "prev")
-
-    def __init__(self, prev: int, live: tuple):
-        self.prev, self.live = prev, live
-        self.next: dict[int, tuple[State, bytes, int]] | None = None
-
-
 class Transducer:
     """BPE of one pre-token at a time; ids come packed as little-endian unsigned 32-bit integers."""
 
@@ -67,11 +58,27 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.tokens}
+        self.pairs: dict[int, bool] = {}
+        self.steps = 0
+        top = max(self.tokens, default=0) + 1
+        self.left, self.right, self.length = [-1] * top, [-1] * top, [0] * top
+        self.ordered, reached = True, []
+        for i in sorted(self.tokens):
+            token = self.tokens[i]
+            self.length[i] = len(token)
+            if len(token) == 1 or self._split(i, token):
+                reached.append(token)
+            elif self.merge(token) == [token]:  # made of tokens of a higher rank: seams can't be told by ranks
+                self.ordered = False
+                reached.append(token)
+        if not self.ordered:
+            reached = [t for t in ranks if self.merge(t) == [t]]
+        self.pairs.clear()
         self.trie: dict[int, int] = {}  # node << 8 | byte -> node; the root is 0
-        self.token_at, self.inner = [-1], bytearray(1)
-        for token, i in ranks.items():
+        self.token_at, self.inner, self.depth = [-1], bytearray(1), [0]
+        for token in reached:
             node = 0
-            for b in token:
+            for d, b in enumerate(token, 1):
                 self.inner[node] = 1
                 key = node << 8 | b
                 node = self.trie.get(key, 0)
@@ -79,16 +86,26 @@ class Transducer:
                     node = self.trie[key] = len(self.token_at)
                     self.token_at.append(-1)
                     self.inner.append(0)
-            self.token_at[node] = i
-        self.pairs: dict[int, bool] = {}
+                    self.depth.append(d)
+            self.token_at[node] = ranks[token]
         self.reset()
 
+    def _split(self, i: int, token: bytes) -> bool:
+        """Finds the two tokens of lower rank that the merge of rank i joins."""
+        rank = self.ranks.get
+        for k in range(1, len(token)):
+            a, b = rank(token[:k], NONE), rank(token[k:], NONE)
+            if a < i and b < i and self._seam(a, b, i):
+                self.left[i], self.right[i] = a, b
+                return True
+        return False
+
     def reset(self) -> None:
-        """Forget all states. They refer to each other, so the garbage collector has to free them."""
-        self.states: dict[tuple, State] = {}
-        self.start = None
-        gc.collect()
-        self.start = self.states[-1, ROOT] = State(-1, ROOT)
+        """Forget all states but the start, which is 0."""
+        self.ids: dict[tuple, int] = {(START,): 0}
+        self.keys: list[tuple] = [(START,)]  # the last token, then node and token before it of every open place
+        self.last: list[int] = [START]
+        self.goto: dict[int, int] = {}  # state << 8 | byte -> state
 
     def merge(self, data: bytes) -> list[bytes]:
         """Plain BPE: merge the adjacent pair of lowest rank, leftmost first, while there is one."""
@@ -104,6 +121,25 @@ class Transducer:
                 ranks[i] = rank(parts[i] + parts[i + 1], NONE)
         return parts
 
+    def _seam(self, a: int, b: int, below: int = NONE) -> bool:
+        """Whether no merge of a rank lower than `below` ever joins what stands on both sides of the seam of a and b.
+
+        Merges happen in the order of rank. Going back in time, a falls apart to its right part and b to its left one;
+        neighbours x, y join if their merge comes before those that took x and y away. Of equal ranks the left goes first.
+        """
+        rank, tokens, left, right = self.ranks.get, self.tokens, self.left, self.right
+        end_a = end_b = below
+        while True:
+            m = rank(tokens[a] + tokens[b], NONE)
+            if m < end_a and (m < end_b or m == end_b != below):
+                return False
+            if a > b and right[a] >= 0 or left[b] < 0:
+                if right[a] < 0:
+                    return True
+                end_a, a = a, right[a]
+            else:
+                end_b, b = b, left[b]
+
     def compatible(self, a: int, b: int) -> bool:
         key = a << 32 | b
         ok = self.pairs.get(key)
@@ -111,116 +147,100 @@ class Transducer:
             if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
             x, y = self.tokens[a], self.tokens[b]
-            ok = self.pairs[key] = self.merge(x + y) == [x, y]
+            ok = self.pairs[key] = self._seam(a, b) if self.ordered else self.merge(x + y) == [x, y]
         return ok
 
-    def step(self, s: State, byte: int) -> tuple[State, bytes, int]:
-        live, here, prev = [], None, s.prev
-        child, token_at, inner, pairs = self.trie.get, self.token_at, self.inner, self.pairs
-        for place in s.live:  # earliest first, so the longest token comes first
-            node = child(place[0] << 8 | byte)
-            if node is None:
-                continue
-            if here is None and (token := token_at[node]) >= 0:
-                chain = place[1]
-                before = chain[-1] if chain else prev
-                if before < 0:
-                    here = (*chain, token)
-                else:
-                    ok = pairs.get(before << 32 | token)
+    def step(self, s: int, byte: int) -> int:
+        """Makes the transition from state s on byte, and its state if that is new."""
+        self.steps += 1
+        key = self.keys[s]
+        child, token_at, inner, pairs = self.trie.get, self.token_at, self.inner, self.pairs.get
+        here, live = OPEN, []
+        for k in range(1, len(key), 2):
+            node = child(key[k] << 8 | byte)
+            if node is not None:
+                before = key[k + 1]
+                if here == OPEN and (token := token_at[node]) >= 0:
+                    ok = True if before < 0 else pairs(before << 32 | token)
                     if ok or ok is None and self.compatible(before, token):
-                        here = (*chain, token)
+                        here = token
+                if inner[node]:
+                    live += (node, before)
+        if key[0] != OPEN and (node := child(byte)) is not None:  # a token may start here
+            before = key[0]
+            if here == OPEN and (token := token_at[node]) >= 0:
+                ok = True if before < 0 else pairs(before << 32 | token)
+                if ok or ok is None and self.compatible(before, token):
+                    here = token
             if inner[node]:
-                live.append((node, place[1]))
-        gone: tuple = ()
-        if not live:  # only this place is left: all up to here is decided
-            gone, key = here, (here[-1], ROOT)
-        else:
-            live.append((0, here))
-            first = live[0][1]
-            same = len(first)
-            if same:
-                for _, chain in live[1:]:
-                    k = 0
-                    while k < same and k < len(chain) and chain[k] == first[k]:
-                        k += 1
-                    same = k
-                if same:
-                    gone, prev = first[:same], first[same - 1]
-                    live = [(node, chain[same:]) for node, chain in live]
-            key = (prev, tuple(live))
-        out = b"".join(map(self.packed.__getitem__, gone))
-        found = self.states.get(key)
-        if found is None:
-            found = self.states[key] = State(*key)
-        if s.next is None:
-            s.next = {}
-        s.next[byte] = done = (found, out, sum(len(self.tokens[i]) for i in gone))
-        return done
-
-    def finish(self, s: State) -> bytes:
-        return b"".join(map(self.packed.__getitem__, s.live[-1][1]))
-
-    def search(self, prev: int, data: bytes) -> bytes:
-        """The chain of compatible tokens that follows prev over all of data, without making states.
+                live += (node, before)
+        key = (here, *live)
+        found = self.goto[s << 8 | byte] = self.state(key)
+        return found
 
-        The next token is the longest compatible one; where the lookahead shows that it leads nowhere it is
-        undone. Only one chain leads to any place, so a place that was given up is not tried again.
-        """
-        child, token_at, pairs, end = self.trie.get, self.token_at, self.pairs, len(data)
-        tried, out, open_, at, before = bytearray(end + 1), [], [], 0, prev
-        while at < end:
-            options, node = [], 0
-            for k in range(at, end):
-                node = child(node << 8 | data[k])
-                if node is None:
-                    break
-                if token_at[node] >= 0:
-                    options.append((token_at[node], k + 1))
-            while True:
-                if not options:  # undo the last token
-                    options = open_.pop()
-                    out.pop()
-                    before = out[-1] if out else prev
-                    continue
-                token, stop = options.pop()
-                if tried[stop]:
-                    continue
-                if before < 0:
-                    break
-                ok = pairs.get(before << 32 | token)
-                if ok or ok is None and self.compatible(before, token):
-                    break
-            open_.append(options)
-            out.append(token)
-            tried[stop] = 1
-            at, before = stop, token
-        return b"".join(map(self.packed.__getitem__, out))
+    def state(self, key: tuple) -> int:
+        found = self.ids.get(key)
+        if found is None:
+            found = self.ids[key] = len(self.keys)
+            self.keys.append(key)
+            self.last.append(key[0])
+        return found
+
+    def decided(self, s: int, labels: list[int]) -> int:
+        """The place up to which the chains to all open places of state s agree; labels are the last tokens so far."""
+        key, end, length = self.keys[s], len(labels), self.length
+        open_ = {end - self.depth[n] for n in key[1::2]}
+        if key[0] != OPEN:
+            open_.add(end)
+        while len(open_) > 1:
+            far = max(open_)
+            open_.remove(far)
+            open_.add(far - length[labels[far - 1]])
+        return open_.pop()
+
+    def chain(self, labels: list[int], end: int) -> bytes:
+        """The tokens up to a place, packed."""
+        out, length, packed = [], self.length, self.packed
+        while end:
+            token = labels[end - 1]
+            out.append(packed[token])
+            end -= length[token]
+        out.reverse()
+        return b"".join(out)
 
     def encode(self, data: bytes) -> bytes:
-        """Ids of one pre-token. A short one adds one transition at most, as long as there is room for states,
-        so that states are made where pre-tokens meet; a long one is read through kept states all along."""
-        s, out, at, short = self.start, [], 0, len(data) <= SHORT
+        """Ids of one pre-token of any length. States are forgotten between pre-tokens, and within long ones."""
+        if len(self.keys) > MAX_STATES:
+            self.reset()
+        if len(data) > FLUSH:
+            return self._encode_long(data)
+        s, states, goto = 0, [], self.goto.get
         for b in data:
-            near = s.next
-            t = near and near.get(b)
-            if not t:
-                if short:
-                    if len(self.states) < MAX_STATES:
-                        s, emitted, length = self.step(s, b)
-                        out.append(emitted)
-                        at += length
-                    out.append(self.search(s.prev, data[at:]))
-                    return b"".join(out)
-                if len(self.states) >= MAX_STATES:
-                    self.reset()
-                    s = State(s.prev, s.live)
-                t = self.step(s, b)
-            s, emitted, length = t
-            if length:
-                out.append(emitted)
-                at += length
-        out.append(self.finish(s))
+            n = goto(s << 8 | b)
+            s = self.step(s, b) if n is None else n
+            states.append(s)
+        out, end, last, length, packed = [], len(states), self.last, self.length, self.packed
+        while end:
+            token = last[states[end - 1]]
+            out.append(packed[token])
+            end -= length[token]
+        out.reverse()
+        return b"".join(out)
+
+    def _encode_long(self, data: bytes) -> bytes:
+        s, labels, out = 0, [], []
+        for b in data:
+            n = self.goto.get(s << 8 | b)
+            s = self.step(s, b) if n is None else n
+            labels.append(self.last[s])
+            if len(labels) >= FLUSH and (cut := self.decided(s, labels)) > FLUSH // 2:
+                out.append(self.chain(labels, cut))
+                del labels[:cut]
+            if len(self.keys) > MAX_STATES:
+                key = self.keys[s]
+                self.reset()
+                s = self.state(key)
+        out.append(self.chain(labels, len(labels)))
         return b"".join(out)
 
 
@@ -230,11 +250,12 @@ class Pieces(dict):
 
     def __init__(self, fst: Transducer):
         super().__init__()
-        self.fst, self.elder = fst, {}
+        self.fst, self.elder, self.cold = fst, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.elder.get(piece)
         if ids is None:
+            self.cold += 1
             ids = self.fst.encode(piece.encode("utf-8", "replace"))
         if len(piece) <= 64:
             self[piece] = ids
@@ -328,37 +349,71 @@ MOVES = {
 
 
 @lru_cache(1)
-def _class_of() -> list[int]:
-    out = [-1] * 256
+def _machine() -> tuple[np.ndarray, np.ndarray]:
+    """Class of every byte, and the next state by state and class; state 8 is an error, class 11 no byte of UTF-8."""
+    kinds, moves = np.full(256, 11, np.uint8), np.full((9, 12), 8, np.uint8)
     for low, high, kind in BYTE_CLASSES:
-        out[low : high + 1] = [kind] * (high + 1 - low)
-    return out
+        kinds[low : high + 1] = kind
+    for state, ways in MOVES.items():
+        for kind, to in ways.items():
+            moves[state, kind] = to
+    return kinds, moves
 
 
 class Utf8Stream:
-    """Incremental UTF-8: what a chunk leaves unfinished (three bytes at most) waits for the next one."""
+    """Incremental UTF-8: what a chunk leaves unfinished (three bytes at most) waits for the next one.
+
+    The machine is started at every byte that no character before it has taken and run in lockstep, which takes as many
+    steps as a character has bytes. An error puts out U+FFFD for the longest start of a character and goes on behind it.
+    """
 
     def __init__(self):
         self.rest = b""
 
-    def feed(self, chunk: bytes) -> str:
+    def feed(self, chunk: bytes, last: bool = False) -> str:
         data = self.rest + chunk
-        cut, kinds = len(data), _class_of()
-        for at in range(len(data) - 1, max(-1, len(data) - 4), -1):
-            if kinds[data[at]] >= 4:  # a lead byte: run the machine from here to the end
-                state: int | None = 0
-                for b in data[at:]:
-                    state = MOVES[state].get(kinds[b]) if state is not None else None
-                cut = at if state else len(data)
-                break
-            if kinds[data[at]] in (0, -1):
-                break
-        self.rest = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        self.rest = b""
+        if data.isascii():  # the machine stays in state 0
+            return data.decode("ascii")
+        kinds, moves = _machine()
+        raw = np.frombuffer(data, np.uint8)
+        kind = kinds[raw]
+        starts = np.flatnonzero((kind == 0) | (kind >= 4))
+        state = moves[0, kind[starts]]
+        code = np.where(kind[starts] == 0, raw[starts], raw[starts] & np.array([0] * 4 + [0x1F] + [0xF] * 3 + [7] * 3 + [0], np.uint8)[kind[starts]]).astype(np.uint32)
+        size = np.ones(len(starts), np.int64)
+        going = np.flatnonzero((state != 0) & (state != 8))
+        for k in range(1, 4):
+            at = starts[going] + k
+            inside = at < len(raw)
+            going, at = going[inside], at[inside]
+            to = moves[state[going], kind[at]]
+            good = to != 8
+            state[going[~good]] = 8
+            going, at, to = going[good], at[good], to[good]
+            code[going] = code[going] << 6 | raw[at] & 0x3F
+            size[going] += 1
+            state[going] = to
+            going = going[to != 0]
+        if len(starts) and not last and 0 < state[-1] < 8:  # unfinished at the end
+            cut = int(starts[-1])
+            self.rest = data[cut:]
+            starts, state, code, size, end = starts[:-1], state[:-1], code[:-1], size[:-1], cut
+        else:
+            end = len(raw)
+        code = np.where(state == 0, code, 0xFFFD)
+        gaps = np.diff(np.append(starts, end)) - size  # bytes that nothing has taken: an error each
+        if len(starts) == 0 or starts[0] > 0 or gaps.any():
+            first = int(starts[0]) if len(starts) else end
+            code = np.concatenate([np.full(first, 0xFFFD, np.uint32), np.repeat(code, 1 + gaps)])
+            heads = np.concatenate([np.arange(first), first + np.cumsum(np.append(0, 1 + gaps))[:-1]]).astype(np.int64)
+            own = np.zeros(len(code), bool)
+            own[heads[first:]] = True
+            code[~own] = 0xFFFD
+        return code.astype("<u4").tobytes().decode("utf-32-le")
 
     def close(self) -> str:
-        out, self.rest = self.rest.decode("utf-8", "replace"), b""
-        return out
+        return self.feed(b"", last=True)
 
 
 @lru_cache(2)
@@ -372,6 +427,18 @@ def bytes_of(path: str) -> dict[int, bytes]:
     return {i: t for t, i in read_ranks(path).items()}
 
 
+def release() -> None:
+    """At the end of a task: a worker that goes on to other work keeps no tables, and gives its memory back."""
+    codec.cache_clear()
+    bytes_of.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def _with_columns(batch: pa.RecordBatch, **new) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
@@ -400,15 +467,19 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for whole in batches:
-            col = whole.column(whole.schema.names.index(text))
-            for batch in _slices(whole, pc.utf8_length(col).to_pylist()):
-                texts = batch.column(batch.schema.names.index(text)).to_pylist()
-                out = [c.encode(t) if t else b"" for t in texts]
-                new = {ids: pa.array(out, pa.binary()), n: pa.array([len(x) // 4 for x in out], pa.int64())}
-                if decoded:
-                    new[decoded] = pa.array([decode_ids(x, c.fst.tokens) for x in out], pa.string())
-                yield _with_columns(batch, **new)
+        try:
+            for whole in batches:
+                col = whole.column(whole.schema.names.index(text))
+                for batch in _slices(whole, pc.utf8_length(col).to_pylist()):
+                    texts = batch.column(batch.schema.names.index(text)).to_pylist()
+                    out = [c.encode(t) if t else b"" for t in texts]
+                    new = {ids: pa.array(out, pa.binary()), n: pa.array([len(x) // 4 for x in out], pa.int64())}
+                    if decoded:
+                        new[decoded] = pa.array([decode_ids(x, c.fst.tokens) for x in out], pa.string())
+                    yield _with_columns(batch, **new)
+        finally:
+            del c
+            release()
 
     return df.mapInArrow(run, schema)
 
@@ -420,11 +491,15 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bytes_of(path)
-        for whole in batches:
-            col = whole.column(whole.schema.names.index(ids))
-            for batch in _slices(whole, pc.binary_length(col).to_pylist()):
-                packed = batch.column(batch.schema.names.index(ids)).to_pylist()
-                yield _with_columns(batch, **{decoded: pa.array([decode_ids(x, table) if x else "" for x in packed], pa.string())})
+        try:
+            for whole in batches:
+                col = whole.column(whole.schema.names.index(ids))
+                for batch in _slices(whole, pc.binary_length(col).to_pylist()):
+                    packed = batch.column(batch.schema.names.index(ids)).to_pylist()
+                    yield _with_columns(batch, **{decoded: pa.array([decode_ids(x, table) if x else "" for x in packed], pa.string())})
+        finally:
+            del table
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -60,6 +60,35 @@ def test_bpe_without_room_for_states(reference, monkeypatch):
         assert np.frombuffer(c.encode(t), "<u4").tolist() == reference.encode_ordinary(t)
 
 
+def test_all_pieces_go_through_the_transducer(reference, documents, monkeypatch):
+    monkeypatch.setattr(bpe, "FLUSH", 32)
+    c = bpe.Codec(PATH, P.PATTERN)
+    read = []
+    step = c.fst.step
+    monkeypatch.setattr(c.fst, "step", lambda s, b: read.append(b) or step(s, b))
+    monkeypatch.setattr(c.fst, "merge", None)  # plain BPE is not called once the tables are made
+    for t in [*documents.values(), "a" * 5000, "ab" * 900, "é" * 999, "x" * 33, "=" * 300 + "é" * 70]:
+        assert np.frombuffer(c.encode(t), "<u4").tolist() == reference.encode_ordinary(t)
+    assert c.pieces.cold > 1000 and c.fst.steps == len(read) == len(c.fst.goto)
+
+
+def test_seams_equal_plain_merging(codec):
+    rng = random.Random(3)
+    ids = list(codec.fst.tokens)
+    for _ in range(20_000):
+        a, b = rng.choice(ids), rng.choice(ids)
+        x, y = codec.fst.tokens[a], codec.fst.tokens[b]
+        assert codec.fst.compatible(a, b) == (codec.fst.merge(x + y) == [x, y])
+
+
+def test_utf8_errors_equal_the_library():
+    rng, pool = random.Random(9), [0x41, 0x80, 0x90, 0xA0, 0xBF, 0xC0, 0xC2, 0xE0, 0xE2, 0xED, 0xEF, 0xF0, 0xF1, 0xF4, 0xF5, 0xFF]
+    for _ in range(5000):
+        data = bytes(rng.choice(pool) for _ in range(rng.randint(0, 9)))
+        s, i = bpe.Utf8Stream(), rng.randint(0, len(data))
+        assert s.feed(data[:i]) + s.feed(data[i:]) + s.close() == data.decode("utf-8", "replace")
+
+
 def test_utf8_stream_at_every_cut():
     data = "aé€😀\U0010ffffz".encode()
     for i in range(len(data) + 1):
