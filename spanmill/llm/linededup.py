@@ -1,41 +1,57 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by a set-similarity join.
 
 A line is the set of its lower-cased words. A line is removed if an earlier one - by doc_id, then by its place
 - has a Jaccard similarity of LEAST or more with it, whether or not the earlier one stays itself.
 
-1. Counts of all words in a sketch of fixed size (a hash table of 2^BITS sums) give the global order of tokens,
-   rarest first (by classes of an eighth of an octave, then by hash). Any fixed order gives exact results; the counts only make the lists short.
-2. One pass writes for each line its tokens, their digest and its prefix n - ceil(LEAST n) + 1 in that order.
-   Lines with equal sets meet by digest; all but the first are removed, and only first ones go on.
-3. Pairs pass the length, the positional and a bitmap filter before they are verified on their whole sets.
-   Heads first: each line is verified against the first line of the lists of its two rarest shared tokens. Within a group
-   of copies that settles almost every line without pairing the group's members.
-4. The others are joined with all lines on their prefix tokens.
+1. One pass reads the texts and writes for each line its tokens and their digest. Equal lines of one block of documents
+   are told apart there, before anything is shuffled.
+2. Counts of the tokens of these lines, in a sketch of fixed size (a hash table of 2^BITS sums), give the global order,
+   rarest first (by classes of an eighth of an octave, then by hash). Any fixed order gives the same result; the counts
+   only make the lists short. Cells that hold a frequent word stand out at any size of the corpus. Each line has its
+   prefix n - ceil(LEAST n) + 1 in that order. Lines with equal sets meet by digest, sorted, so that no group has to fit
+   into memory; all but the first are removed.
+3. The prefixes of first lines are dealt by token in packed form. The list of a token that occurs more than HOT times is
+   dealt in as many parts. Pairs in a list pass the length, the positional and a bitmap filter. Each list gives every
+   line with its head, the earliest line of the list, to verify on their whole sets; and the postings that have any other
+   partner. Within a group of copies the heads settle almost every line without pairing the group's members.
+4. Postings with partners are joined by token, for pairs whose later line no head has settled. What a wider bitmap does
+   not tell apart is verified.
+
+Words are compared by 40 bits of their hash: two different words are taken for one with a chance of 1e-12.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanmill.llm.common import cut, discard, drop_clashing, summed
+from spanmill.llm.common import cut, discard, drop_clashing, summed, trimmed
 
 #: Least similarity, as a fraction; size of the table of word counts, as a power of two.
 LEAST_NUM, LEAST_DEN, BITS = 4, 5, 20
-#: Bits of the filter that picks lines to verify; lines sorted at a time, as a power of two.
-FILTER_BITS, LINE_BITS = 23, 18
-#: A token in the global order: its count's class (eighths of an octave), then its hash. WIDTH bytes of it are stored.
+#: Bits of the filter that picks lines to verify, for each of them, and at most; lines sorted at a time, as a power of two.
+FILTER_EACH, FILTER_BITS, LINE_BITS = 16, 27, 18
+#: Bits of the class of a token's count; bytes of its hash that are stored.
 CLASS_BITS, WIDTH = 8, 5
-HASH_BITS = 64 - LINE_BITS - CLASS_BITS
+#: Postings of a list, or of a part of a hot one.
+HOT = 4096
+#: First lines whose postings are packed at a time, and packs of postings for each shuffle partition.
+PACK, PACKS, PREFIXED = 40_000, 4, 5_000
 U = np.uint64
-MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
+GAMMA, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
+#: A posting: token, part of a hot list (0: of none), words, place in the prefix; the line: order of its document, row,
+#: number, bitmap. Packs hold byte by byte of all postings, as most bytes are 0 or alike.
+POSTING = np.dtype([("token", "<u4"), ("part", "<u4"), ("n", "<u4"), ("i", "<u4"), ("line", "<i4"), ("ord", "<i8"), ("row", "<i8"), ("bits", "<u8")])
+#: Most postings compared at a time.
+STEP = 4_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,25 +62,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hashes(words, n: int) -> np.ndarray:
-    """64-bit hashes, the same in all workers: Python's own where Spark has fixed its seed, else XXH64."""
-    if os.environ.get("PYTHONHASHSEED", "random").isdigit():
-        return np.fromiter(map(hash, words), np.int64, n).view(U)
+    """XXH64, the same on every machine."""
     return np.fromiter(map(xxhash.xxh64_intdigest, words), U, n)
 
 
-def word_places(texts: pa.Array) -> np.ndarray:
-    parts = [t.lower().split() for t in texts.to_pylist() if t]
-    h = hashes(chain.from_iterable(parts), sum(map(len, parts)))
-    return (mix(h) & U((1 << BITS) - 1)).astype(np.int64)
-
-
 def prefix_size(n):
     """n - ceil(4 n / 5) + 1, exactly."""
     return n - (LEAST_NUM * n + LEAST_DEN - 1) // LEAST_DEN + 1
 
 
-def _lines(texts: list, classes: np.ndarray) -> Iterator[tuple]:
-    """Blocks of non-blank lines: text's number, line number, size, digests, prefix tokens and places, whole tokens."""
+def _lines(texts: list) -> Iterator[tuple]:
+    """Blocks of non-blank lines: text's number, line number, size, digests, bitmap, tokens; and texts without any."""
     owner, number, parts = [], [], []
     for i, t in enumerate(texts):
         for j, line in enumerate((t or "").lower().split("\n")):
@@ -74,146 +82,415 @@ def _lines(texts: list, classes: np.ndarray) -> Iterator[tuple]:
                 number.append(j)
                 parts.append(ws)
                 if len(parts) == 1 << LINE_BITS:
-                    yield owner, number, *_block(parts, classes)
+                    yield np.array(owner), np.array(number), *_block(parts)
                     owner, number, parts = [], [], []
     if parts:
-        yield owner, number, *_block(parts, classes)
+        yield np.array(owner), np.array(number), *_block(parts)
+
+
+def _binaries(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes cut into values of the given sizes."""
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def _stored(tokens: np.ndarray) -> np.ndarray:
+    """The WIDTH bytes of each token."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
 
 
-def _block(parts: list, classes: np.ndarray) -> tuple:
+def _loaded(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens, and all tokens, of a column of them."""
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) // WIDTH
+    raw = np.zeros((int(sizes.sum()), 8), np.uint8)
+    raw[:, :WIDTH] = np.frombuffer(b"".join(x.as_buffer() for x in col if x.is_valid), np.uint8).reshape(-1, WIDTH)
+    return sizes, raw.view("<u8")[:, 0].astype(U)
+
+
+def _block(parts: list) -> tuple:
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     h = mix(hashes(chain.from_iterable(parts), int(sizes.sum())))
-    kind = classes[(h & U((1 << BITS) - 1)).astype(np.int64)]
-    key = np.repeat(np.arange(len(parts), dtype=U), sizes) << U(64 - LINE_BITS) | kind << U(HASH_BITS) | h >> U(64 - HASH_BITS)
-    key.sort()
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    key = key[first]
-    line = (key >> U(64 - LINE_BITS)).astype(np.int64)
-    tokens = key & U((1 << (64 - LINE_BITS)) - 1)
+    line, tokens = _distinct(np.repeat(np.arange(len(parts), dtype=U), sizes), h >> U(64 - 8 * WIDTH))
     starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     n = np.diff(np.append(starts, len(line)))
     mixed = mix(tokens)
     d1, d2 = np.add.reduceat(mixed, starts), np.add.reduceat(mix(mixed ^ MIX1), starts)
     bits = np.bitwise_xor.reduceat(U(1) << (mixed & U(63)), starts)
-    place = np.arange(len(line)) - np.repeat(starts, n)
-    # class 0: the word occurs once; and sets of up to three words are only similar to equal ones
-    shared = (place < np.repeat(np.where(n > 3, prefix_size(n), 0), n)) & (tokens >> U(HASH_BITS) > 0)
-    ends = np.cumsum(np.add.reduceat(shared.astype(np.int64), starts))
-    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-    short = (mixed[shared] >> U(32)).astype(np.uint32).view(np.int32)
-    prefix = pa.ListArray.from_arrays(offsets, pa.array(short))
-    places = pa.ListArray.from_arrays(offsets, pa.array(place[shared].astype(np.int32)))
-    raw = np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
-    cuts = np.concatenate([[0], np.cumsum(n * WIDTH)]).astype(np.int32)
-    whole = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(raw.tobytes())])
-    return n, d1.view(np.int64), d2.view(np.int64), bits.view(np.int64), prefix, places, whole
-
-
-def lines(docs: DataFrame, classes, key: str, text: str) -> DataFrame:
-    """doc (key), node (digest of the text), row, line, n, d1, d2, bits, prefix, places and tokens of non-blank lines.
+    return n, d1.view(np.int64), d2.view(np.int64), bits.view(np.int64), _binaries(_stored(tokens), n * WIDTH)
+
+
+def _distinct(line: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = line << U(64 - LINE_BITS) | tokens
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return (key >> U(64 - LINE_BITS)).astype(np.int64), key & U((1 << (64 - LINE_BITS)) - 1)
+
+
+def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Non-blank lines: doc (key), node (digest of the text), ord (place of the key in their order), row, line; and n, d1, d2,
+    bits and tokens, but for those (dup) that equal an earlier line of the same block of documents. A text without words
+    has one row, whose line is null.
 
     bits has one bit a word, added up modulo 2: two lines differ in at least as many words as their bits do.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("doc"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("node"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("t"))
-    names = ["doc", "node", "row", "line", "n", "d1", "d2", "bits", "prefix", "places", "tokens"]
+    rows = docs.select(F.col(key).alias("doc"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("node"), F.col("__ord").alias("ord"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("t"))
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["doc", "node", "ord", "row", "line", "dup", "n", "d1", "d2", "bits", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                for owner, number, n, d1, d2, bits, prefix, places, tokens in _lines(b.column(3).to_pylist(), classes.value):
-                    take = pa.array(owner, pa.int64())
-                    yield pa.RecordBatch.from_arrays([*[b.column(i).take(take) for i in range(3)], pa.array(number, pa.int32()), pa.array(n.astype(np.int32)), pa.array(d1), pa.array(d2), pa.array(bits), prefix, places, tokens], names=names)
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                order, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+                blank = np.ones(b.num_rows, bool)
+                for owner, number, n, d1, d2, bits, tokens in _lines(b.column(4).to_pylist()):
+                    blank[owner] = False
+                    by = np.lexsort((number, row[owner], order[owner], d2, d1))
+                    dup = np.zeros(len(by), bool)
+                    dup[by[1:]] = (d1[by[1:]] == d1[by[:-1]]) & (d2[by[1:]] == d2[by[:-1]])
+                    take, gone = pa.array(owner), pa.array(dup)
+                    own = [pa.array(n.astype(np.int32)), pa.array(d1), pa.array(d2), pa.array(bits), tokens]
+                    own = [pc.if_else(gone, pa.nulls(len(by), t), c) for c, t in zip(own, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*[b.column(i).take(take) for i in range(4)], pa.array(number.astype(np.int32)), gone, *own], names=names)
+                if blank.any():
+                    few, k = pa.array(np.flatnonzero(blank)), int(blank.sum())
+                    yield pa.RecordBatch.from_arrays([*[b.column(i).take(few) for i in range(4)], pa.nulls(k, pa.int32()), pa.array(np.ones(k, bool)), *[pa.nulls(k, t) for t in kinds]], names=names)
+
+    return rows.mapInArrow(trimmed(run), f"doc {kind}, node string, ord long, row long, line int, dup boolean, n int, d1 long, d2 long, bits long, tokens binary")
+
+
+def token_places(col: pa.Array) -> np.ndarray:
+    return (mix(_loaded(col)[1]) & U((1 << BITS) - 1)).astype(np.int64)
+
+
+def parts_of(kind: np.ndarray, hot: int) -> np.ndarray:
+    """Parts in which the lists of tokens of these classes are dealt."""
+    return np.ceil(2.0 ** (kind / 8) / hot).astype(U)
+
+
+def prefixes(col: pa.Array, classes: np.ndarray, hot: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """For lines given by their tokens: how many tokens of class 0 come first, which occur once; the rest of the prefix, four
+    bytes of each token's hash; and the classes of its hot tokens, which are the last ones. Sets of up to three words are only
+    similar to equal ones: they have none."""
+    n, tokens = _loaded(col)
+    line = np.repeat(np.arange(len(n)), n)
+    mixed = mix(tokens)
+    kind = classes[(mixed & U((1 << BITS) - 1)).astype(np.int64)]
+    short = (mixed >> U(32)).astype(np.uint32)
+    by = np.argsort(line.astype(U) << U(40) | kind.astype(U) << U(32) | short, kind="stable")
+    starts = np.cumsum(n) - n
+    inside = np.arange(len(line)) - starts[line] < np.where(n > 3, prefix_size(n), 0)[line]
+    kind, short = kind[by], short[by]
+    shared = inside & (kind > 0)
+    many = shared & (parts_of(kind, hot) > 1)
+    skip, few, last = (np.bincount(line[m], minlength=len(n)) for m in (inside & (kind == 0), shared, many))
+    return pa.array(skip.astype(np.int32)), _binaries(short[shared].astype("<u4"), few * 4), _binaries(kind[many].astype(np.uint8), last)
+
+
+def _packed(b: pa.RecordBatch, packs: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of first lines (ord, row, line, n, bits, skip, prefix, hot) and the packs they go to, in order of the packs."""
+    order, row, line, n, bits, skip = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+    sizes, last = (pc.binary_length(b.column(i)).to_numpy(zero_copy_only=False).astype(np.int64) for i in (6, 7))
+    sizes //= 4
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros(len(own), POSTING)
+    out["token"] = np.frombuffer(b"".join(x.as_buffer() for x in b.column(6)), "<u4")
+    for name, x in (("n", n), ("line", line), ("ord", order), ("row", row), ("bits", bits.view(U))):
+        out[name] = x[own]
+    place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out["i"] = skip[own] + place
+    many = place >= (sizes - last)[own]
+    parts = parts_of(np.frombuffer(b"".join(x.as_buffer() for x in b.column(7)), np.uint8), hot)
+    out["part"][many] = 1 + mix(out["row"][many].view(U) * GAMMA + out["line"][many].astype(U)) % parts
+    pack = (mix(out["token"].astype(U) + out["part"].astype(U) * GAMMA) % U(packs)).astype(np.int32)
+    by = np.lexsort((out["row"], out["ord"], pack))
+    return out[by], pack[by]
+
+
+def _planes(p: np.ndarray) -> bytes:
+    """p, in order of ord and row, byte by byte; of these the differences."""
+    p = p.copy()
+    for name in ("ord", "row"):
+        p[name][1:] = np.diff(p[name])
+    return np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes()
+
+
+def _unplaned(raw) -> np.ndarray:
+    p = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(POSTING.itemsize, -1).T).view(POSTING)[:, 0].copy()
+    for name in ("ord", "row"):
+        p[name] = np.cumsum(p[name])
+    return p
+
+
+def _fits(n, i, bits, m, j, others) -> np.ndarray:
+    """Length, positional and bitmap filter, exact in whole numbers; equal sets have been merged, so of equal sizes one word differs."""
+    both = n + m
+    ok = (LEAST_DEN * n >= LEAST_NUM * m) & (LEAST_DEN * m >= LEAST_NUM * n) & ((LEAST_NUM + LEAST_DEN) * np.minimum(n - i, m - j) >= LEAST_NUM * both)
+    ok &= (LEAST_NUM + LEAST_DEN) * np.bitwise_count(bits ^ others).astype(np.int64) <= (LEAST_DEN - LEAST_NUM) * both
+    return ok & ((n != m) | ((LEAST_NUM + LEAST_DEN) * (n - 1) >= 2 * LEAST_NUM * n))
+
+
+#: The same as SQL, of postings x and y.
+FITS = (
+    f"{LEAST_DEN} * x.n >= {LEAST_NUM} * y.n and {LEAST_DEN} * y.n >= {LEAST_NUM} * x.n"
+    f" and {LEAST_NUM + LEAST_DEN} * least(x.n - x.i, y.n - y.i) >= {LEAST_NUM} * (x.n + y.n)"
+    f" and {LEAST_NUM + LEAST_DEN} * bit_count(x.bits ^ y.bits) <= {LEAST_DEN - LEAST_NUM} * (x.n + y.n)"
+    f" and (x.n <> y.n or {LEAST_NUM + LEAST_DEN} * (x.n - 1) >= {2 * LEAST_NUM} * x.n)"
+)
+EARLIER = "struct(x.ord, x.row, x.line) < struct(y.ord, y.row, y.line)"
+
+
+def partners(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the postings of whole lists: numbers of heads and lines that pass the filters together, and of postings with a partner
+    other than the head.
+
+    All postings of hot lists count as having one, as it may be in another part.
+    """
+    p = p[np.lexsort((p["n"], p["part"], p["token"]))]
+    key = p["token"].astype(U) << U(32) | p["part"].astype(U)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(p) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(p)))
+    which = np.repeat(np.arange(len(starts)), sizes)
+    n, i, bits = p["n"].astype(np.int64), p["i"].astype(np.int64), p["bits"]
+    by = np.lexsort((p["line"], p["row"], p["ord"], which))
+    head = by[starts][which] if len(p) else which
+    tried = np.flatnonzero((head != np.arange(len(p))) & _fits(n, i, bits, n[head], i[head], bits[head]))
+    live = p["part"] > 0
+    end = (starts + sizes)[which] if len(p) else which
+    for at in range(0, len(p), STEP):
+        j, k = np.arange(at, min(len(p), at + STEP)), 1
+        j = j[~live[j]]
+        while len(j):
+            j = j[j + k < end[j]]
+            j = j[LEAST_DEN * n[j] >= LEAST_NUM * n[j + k]]  # sizes ascend: no later one fits either
+            good = j[_fits(n[j], i[j], bits[j], n[j + k], i[j + k], bits[j + k]) & (head[j] != j) & (head[j] != j + k)]
+            live[good] = live[good + k] = True
+            k += 1
+    return p, np.column_stack([head[tried], tried]), np.flatnonzero(live)
+
+
+#: What the lists give: kind 0: pairs of head (x) and line (y); 1: lines that equal an earlier one; 2: postings with another partner.
+FOUND = "kind int, token long, n int, i int, bits long, ord long, row long, line int, x_ord long, x_row long, x_line int"
+
+
+def found(stored: DataFrame, classes) -> DataFrame:
+    spark = stored.sparkSession
+    packs, hot = PACKS * int(spark.conf.get("spark.sql.shuffle.partitions")), HOT
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    names = [x.split()[0] for x in FOUND.split(", ")]
+
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PREFIXED):
+                b = whole.slice(at, PREFIXED)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *prefixes(b.column(b.num_columns - 1), classes.value, hot)], names=[*b.schema.names[:-1], "skip", "prefix", "hot"])
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, n = None, [], 0
 
-    return rows.mapInArrow(run, f"doc {kind}, node string, row long, line int, n int, d1 long, d2 long, bits long, prefix array<int>, places array<int>, tokens binary")
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            p, pack = _packed(t, packs, hot)
+            at = np.flatnonzero(np.concatenate([[True], pack[1:] != pack[:-1]])) if len(p) else np.zeros(0, int)
+            planes = pa.array([_planes(p[i:j]) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(p)], strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(pack[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), planes], names=["pack", "row", "line", "postings"])
 
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            same = np.zeros(len(d), bool)
+            same[1:] = (d[1:] == d[:-1]).all(1)
+            same[0] = last is not None and (d[0] == last).all()
+            last = d[-1].copy()
+            gone = b.filter(pa.array(same))
+            if gone.num_rows:
+                row = gone.column(3).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array((mix(row.view(U)) % U(packs)).astype(np.int32)), gone.column(3), gone.column(4), pa.nulls(gone.num_rows, pa.binary())], names=["pack", "row", "line", "postings"])
+            held.append(b.filter(pa.array(~same)).select(["ord", "row", "line", "n", "bits", "skip", "prefix", "hot"]))
+            n += held[-1].num_rows
+            if n >= PACK:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list) -> Iterator[pa.RecordBatch]:
+            p, pairs, live = partners(np.concatenate(held))
+            for a, x in ((p[pairs[:, 1]], p[pairs[:, 0]]), (p[live], None)):
+                if len(a):
+                    cols = [np.full(len(a), 0 if x is not None else 2), a["token"], a["n"], a["i"], a["bits"].view(np.int64), a["ord"], a["row"], a["line"]]
+                    more = [x[k] for k in ("ord", "row", "line")] if x is not None else [None] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(t.to_pandas_dtype())) if c is not None else pa.nulls(len(a), t) for c, t in zip([*cols, *more], kinds, strict=True)], names=names)
+
+        pack, held = None, []
+        for b in batches:
+            same = b.filter(pc.is_null(b.column(3)))
+            if same.num_rows:
+                k = same.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), *[pa.nulls(k, t) for t in kinds[1:6]], same.column(1), same.column(2), *[pa.nulls(k, t) for t in kinds[8:]]], names=names)
+            b = b.filter(pc.is_valid(b.column(3)))
+            for own, raw in zip(b.column(0).to_pylist(), b.column(3), strict=True):
+                if own != pack and held:
+                    yield from out(held)
+                    held = []
+                pack = own
+                held.append(_unplaned(raw.as_buffer()))
+        if held:
+            yield from out(held)
 
-def _lid_places(ids: pa.Array) -> np.ndarray:
-    return (mix(ids.to_numpy(zero_copy_only=False).view(U)) & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+    own = stored.filter("not dup").select("d1", "d2", "ord", "row", "line", "n", "bits", "tokens")
+    own = own.mapInArrow(trimmed(prefixed), "d1 long, d2 long, ord long, row long, line int, n int, bits long, skip int, prefix binary, hot binary")
+    dealt = own.repartition("d1").sortWithinPartitions("d1", "d2", "ord", "row", "line").mapInArrow(trimmed(firsts), "pack int, row long, line int, postings binary")
+    return dealt.repartition("pack").sortWithinPartitions("pack").mapInArrow(trimmed(match), FOUND)
 
 
-def _similar(pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Those pairs (x, y) of line numbers whose sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("y", "x")).alias("lid"))
-    marks = pairs.sparkSession.sparkContext.broadcast(summed(wanted, "lid", FILTER_BITS, _lid_places, marks=True))  # 2^FILTER_BITS bits
+def _places(bits: int):
+    def of(ids: pa.Array) -> np.ndarray:
+        return (mix(ids.to_numpy(zero_copy_only=False).view(U)) & U((1 << bits) - 1)).astype(np.int64)
+
+    return of
+
+
+def wide(col: pa.Array) -> list[pa.Array]:
+    """Number of tokens, and a bitmap of 256 bits in four numbers, of lines given by their tokens."""
+    n, tokens = _loaded(col)
+    spot = np.repeat(np.arange(len(n)), n) * 256 + ((mix(tokens) >> U(8)) & U(255)).astype(np.int64)
+    bits = np.packbits((np.bincount(spot, minlength=256 * len(n)) & 1).astype(np.uint8)).view("<i8").reshape(-1, 4)
+    return [pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]]
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = _lid_places(b.column(0))
-            yield b.filter(pa.array((marks.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)))
 
-    few = stored.select("lid", "tokens").mapInArrow(pick, "lid long, tokens binary")
-    both = pairs.join(few.select(F.col("lid").alias("y"), F.col("tokens").alias("ty")), "y").join(few.select(F.col("lid").alias("x"), F.col("tokens").alias("tx")), "x").select("x", "y", "ty", "tx")
+class Marks:
+    """Marks of FILTER_EACH bits for each of the spots (row, line), at most 2^FILTER_BITS; of more spots they leave out fewer."""
+
+    def __init__(self, spots: DataFrame):
+        ids = spots.select(F.xxhash64("row", "line").alias("__id"))
+        many = ids.agg(F.approx_count_distinct("__id")).head()[0]
+        self.bits = min(FILTER_BITS, max(10, (FILTER_EACH * many).bit_length()))
+        table = summed(ids, "__id", self.bits, _places(self.bits), marks=True)
+        self.table = spots.sparkSession.sparkContext.broadcast(table)
+
+    def picked(self, df: DataFrame, inside: bool = True) -> DataFrame:
+        """The rows of df whose row and line are among the spots, and some others; or else all the rest."""
+        places, table = _places(self.bits), self.table
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = places(b.column(b.num_columns - 1))
+                met = (table.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
+                yield b.select(range(b.num_columns - 1)).filter(pa.array(met == inside))
+
+        return df.select("*", F.xxhash64("row", "line").alias("__id")).mapInArrow(pick, df.schema)
+
+
+def _sides(pairs: DataFrame, few: DataFrame, *columns: str) -> DataFrame:
+    """pairs with the columns of few for both lines, those of x as x_*."""
+    x = pairs.select(F.col("x_row").alias("row"), F.col("x_line").alias("line"))
+    few = few.select("row", "line", *columns)
+    other = Marks(x).picked(few).select(*[F.col(c).alias(f"x_{c}") for c in few.columns])
+    return pairs.join(Marks(pairs.select("row", "line")).picked(few), ["row", "line"]).join(other, ["x_row", "x_line"])
+
+
+def with_wide(df: DataFrame) -> DataFrame:
+    """row, line and tokens with n and the wide bitmap w0 to w3."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 5000):
+                b = whole.slice(at, 5000)
+                yield pa.RecordBatch.from_arrays([*b.columns, *wide(b.column(2))], names=["row", "line", "tokens", "n", "w0", "w1", "w2", "w3"])
+
+    return df.select("row", "line", "tokens").mapInArrow(run, "row long, line int, tokens binary, n int, w0 long, w1 long, w2 long, w3 long")
+
+
+def _near(pairs: DataFrame, few: DataFrame) -> DataFrame:
+    """Those pairs that the wide bitmaps do not tell apart."""
+    differ = " + ".join(f"bit_count(w{i} ^ x_w{i})" for i in range(4))
+    both = _sides(pairs, few, "n", "w0", "w1", "w2", "w3")
+    return both.filter(f"{LEAST_NUM + LEAST_DEN} * ({differ}) <= {LEAST_DEN - LEAST_NUM} * (n + x_n)").select("x_row", "x_line", "row", "line")
+
+
+def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether the sets of tokens in two columns are similar enough, row by row."""
+
+    def keys(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        sizes, tokens = _loaded(col)
+        return sizes, tokens | np.repeat(np.arange(len(sizes), dtype=U), sizes) << U(8 * WIDTH)
+
+    (n, x), (m, y) = keys(a), keys(b)
+    both = np.sort(np.concatenate([x, y]))
+    shared = np.bincount((both[1:][both[1:] == both[:-1]] >> U(8 * WIDTH)).astype(np.int64), minlength=len(n))
+    return LEAST_DEN * shared >= LEAST_NUM * (n + m - shared)
+
+
+def _similar(pairs: DataFrame, few: DataFrame) -> DataFrame:
+    """row and line of those lines y of pairs (x_row, x_line, row, line) whose sets are similar enough to that of x."""
+    both = _sides(pairs, few, "tokens").select("row", "line", "tokens", "x_tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for p, q in zip(b.column(2), b.column(3), strict=True):
-                p, q = p.as_py(), q.as_py()
-                x = {p[i : i + WIDTH] for i in range(0, len(p), WIDTH)}
-                n, m = len(p) // WIDTH, len(q) // WIDTH
-                both = sum(q[i : i + WIDTH] in x for i in range(0, len(q), WIDTH))
-                good.append(LEAST_DEN * both >= LEAST_NUM * (n + m - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                yield b.select(["row", "line"]).filter(pa.array(alike(b.column(2), b.column(3))))
 
-    return both.mapInArrow(verify, "x long, y long")
+    return both.mapInArrow(trimmed(verify), "row long, line int").distinct()
 
 
-def _later(similar: DataFrame, order: DataFrame) -> DataFrame:
-    """lid of the later line of each pair; order has lid and doc."""
-    both = similar.join(order.select(F.col("lid").alias("x"), F.col("doc").alias("dx")), "x").join(order.select(F.col("lid").alias("y"), F.col("doc").alias("dy")), "y")
-    return both.select(F.when(F.struct("dx", "x") < F.struct("dy", "y"), F.col("y")).otherwise(F.col("x")).alias("lid")).distinct()
+def _ordered(docs: DataFrame, key: str) -> DataFrame:
+    """docs with __ord, a number in the order of the key, null first."""
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        return docs.withColumn("__ord", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
+    keys = docs.select(F.col(key).alias("__key")).distinct().orderBy("__key").withColumn("__ord", F.monotonically_increasing_id())
+    return docs.join(cut(keys, "keys"), F.col(key).eqNullSafe(F.col("__key")))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, node, row, n_lines (with a word) and the sorted numbers of removed lines, for documents with a word.
+    """doc, node, row, n_lines (with a word) and the sorted numbers of removed lines, for every document.
 
-    Order is by the key (null first), then by place. Blank lines have no words and always stay.
+    Order is by the key (null first), then by place. Blank lines have no words and always stay; null, empty and blank texts
+    have no lines. An empty table gives none.
     """
     spark = docs.sparkSession
-    counts = summed(docs, text, BITS, word_places)
+    docs = _ordered(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key)
+    stored = cut(lines(docs, key, text), "lines")
+    counts = summed(stored, "tokens", BITS, token_places)
     octaves = np.log2(np.maximum(counts, 1)) * 8
-    classes = spark.sparkContext.broadcast(np.minimum(np.where(counts > 1, octaves, 0), (1 << CLASS_BITS) - 1).astype(np.uint8).astype(U))  # 2^BITS numbers
-    stored = cut(lines(docs, classes, key, text).withColumn("lid", F.monotonically_increasing_id()), "lines")
-    first = stored.groupBy("d1", "d2").agg(F.min(F.struct("doc", "lid")).alias("f")).select(F.col("f.lid").alias("lid"))
-    firsts = cut(stored.select("lid", "doc", "n", "bits", "prefix", "places").join(first, "lid"), "firsts")
-
-    def postings(df: DataFrame, *more) -> DataFrame:
-        zipped = F.arrays_zip("prefix", "places")
-        return df.select("lid", "n", "bits", *more, F.explode(zipped).alias("p")).select("lid", "n", "bits", *more, F.col("p.prefix").alias("token"), F.col("p.places").alias("i"))
-
-    # length, positional and bitmap filter, exact in whole numbers; equal sets have been merged, so of equal sizes one word differs
-    fits = (
-        f"{LEAST_DEN} * x.n >= {LEAST_NUM} * y.n and {LEAST_DEN} * y.n >= {LEAST_NUM} * x.n"
-        f" and {LEAST_NUM + LEAST_DEN} * least(x.n - x.i, y.n - y.i) >= {LEAST_NUM} * (x.n + y.n)"
-        f" and {LEAST_NUM + LEAST_DEN} * bit_count(x.bits ^ y.bits) <= {LEAST_DEN - LEAST_NUM} * (x.n + y.n)"
-        f" and (x.n <> y.n or {LEAST_NUM + LEAST_DEN} * (x.n - 1) >= {2 * LEAST_NUM} * x.n)"
-    )
-    # heads: the first line of each list of the two rarest shared tokens
-    top = postings(firsts.withColumns({"prefix": F.slice("prefix", 1, 2), "places": F.slice("places", 1, 2)}), "doc")
-    head = top.groupBy("token").agg(F.min(F.struct("doc", "lid", "n", "i", "bits")).alias("h"), F.count("*").alias("c")).filter("c > 1").select("token", "h.lid", "h.n", "h.i", "h.bits")
-    tries = cut(top.alias("y").join(head.alias("x"), F.expr(f"y.token = x.token and y.lid <> x.lid and {fits}")).select(F.col("y.lid").alias("y"), F.col("x.lid").alias("x")).distinct(), "heads")
-    early = cut(_similar(tries, stored).select(F.col("y").alias("lid")).distinct(), "early")
-    # the rest against all: a pair of which not both are settled
-    settled = firsts.join(early.withColumn("settled", F.lit(True)), "lid", "left")
-    posting = postings(settled.withColumn("ns", F.col("n") * F.when(F.col("settled"), -1).otherwise(1)).drop("n").withColumnRenamed("ns", "n"))
-    sized = fits.replace("x.n", "abs(x.n)").replace("y.n", "abs(y.n)")
-    pairs = cut(posting.alias("x").join(posting.alias("y"), F.expr(f"x.token = y.token and x.lid < y.lid and (x.n > 0 or y.n > 0) and {sized}")).select(F.col("y.lid").alias("y"), F.col("x.lid").alias("x")).distinct(), "pairs")
-    late = cut(_later(_similar(pairs, stored), firsts), "late")
-    keep = firsts.select("lid").join(early.unionByName(late), "lid", "left_anti").withColumn("keep", F.lit(True))
-    marked = stored.select("doc", "node", "row", "line", "lid").join(keep, "lid", "left")
-    out = cut(marked.groupBy("row").agg(F.first("doc").alias("doc"), F.first("node").alias("node"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("keep").isNull(), F.col("line")))).alias("removed")), "removed")
-    discard(stored, firsts, tries, early, pairs, late)
+    classes = spark.sparkContext.broadcast(np.minimum(np.where(counts > 1, octaves, 0), (1 << CLASS_BITS) - 1).astype(np.uint8))  # 2^BITS bytes
+    lists = cut(found(stored, classes), "lists")
+    head, live = lists.filter("kind = 0"), lists.filter("kind = 2")
+    spots = head.select("row", "line").unionByName(head.select(F.col("x_row").alias("row"), F.col("x_line").alias("line"))).unionByName(live.select("row", "line"))
+    few = cut(with_wide(Marks(spots).picked(stored.filter("not dup").select("row", "line", "tokens"))), "few")
+    tries = cut(head.select("x_row", "x_line", "row", "line").distinct(), "tries")
+    early = cut(_similar(tries, few), "early")
+    # the rest against all: pairs whose later line is not settled
+    settled = Marks(early)
+    maybe = settled.picked(live).join(early.withColumn("m", F.lit(-1)), ["row", "line"], "left")
+    told = settled.picked(live, False).withColumn("m", F.col("n")).unionByName(maybe.withColumn("m", F.coalesce("m", "n")))
+    open_ = cut(told.select("token", "n", "i", "bits", "ord", "row", "line", "m"), "open")
+    # m: -1 for settled lines. The condition names both sides, so that both read one exchange
+    met = open_.alias("y").join(open_.alias("x"), F.expr(f"x.token = y.token and y.m + 0 * x.m > 0 and {EARLIER} and {FITS}"))
+    pairs = cut(met.select(F.col("y.row").alias("row"), F.col("y.line").alias("line"), F.col("x.row").alias("x_row"), F.col("x.line").alias("x_line")).distinct(), "pairs")
+    near = cut(_near(pairs, few), "near")
+    late = cut(_similar(near, few), "late")
+    gone = lists.filter("kind = 1").select("row", "line").unionByName(early).unionByName(late)
+    every = stored.groupBy("row").agg(F.first("doc").alias("doc"), F.first("node").alias("node"), F.count("line").alias("n_lines"), F.collect_list(F.when(F.col("dup"), F.col("line"))).alias("d"))
+    more = gone.groupBy("row").agg(F.collect_list("line").alias("g"))
+    none = F.array().cast("array<int>")
+    out = cut(every.join(more, "row", "left").select("row", "doc", "node", "n_lines", F.array_sort(F.concat("d", F.coalesce("g", none))).alias("removed")), "removed")
+    classes.unpersist()
+    discard(stored, lists, few, tries, early, open_, pairs, near, late)
     return out
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines (lines with a word), n_removed, removed_lines (numbers from 0, comma-joined) of every document."""
-    out = removed(docs.select("doc_id", "text")).select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
-    blank = docs.filter(F.coalesce(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]", ""), F.lit("")) == "")
-    return out.unionByName(blank.select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed_lines")))
+    """doc_id, n_lines (lines with a word), n_removed, removed_lines (numbers from 0, comma-joined) of every document.
+
+    Null, empty and blank texts have none of them; repeated rows are judged each by itself; an empty table gives no rows.
+    """
+    out = removed(docs.select("doc_id", "text"))
+    return out.select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -144,6 +144,44 @@ def test_line_dedup_equals_brute_force(spark, documents):
     assert got == {i: ",".join(map(str, expected[i])) for i, _ in rows}
 
 
+@pytest.mark.parametrize("hot", [4096, 8])
+def test_line_dedup_of_a_large_group(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT", hot)  # 8: the lists of the group's words are dealt in parts
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(900):  # one group, whose members differ in up to four words, in no order of ids
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(30)] = f"x{rng.randint(0, 10**6)}"
+        rows.append((rng.randint(0, 10**6) * 1000 + i, " ".join(w) + "\n\nevery text has this line"))
+    expected = plain_removed(sorted(rows))
+    got = {r["doc_id"]: r["removed_lines"] for r in linededup.report(table(spark, rows)).collect()}
+    assert got == {i: ",".join(map(str, expected[i])) for i, _ in rows}
+
+
+def test_line_dedup_by_other_keys(spark):
+    rows = [("b", "one two three four five"), ("a", "one two three four five"), (None, "six seven eight nine ten"), ("c", "Six seven eight NINE ten")]
+    df = spark.createDataFrame(rows, "name string, text string").withColumns({"node": F.lit(1), "ROW": F.lit(2), "__ord": F.lit(3), "line": F.lit(4)})
+    got = {r["name"]: r["text"] for r in linededup.dedup(df, "name").collect()}
+    assert got == {"b": "", "a": rows[1][1], None: rows[2][1], "c": ""}
+
+
+def test_line_partners_equal_all_pairs():
+    rng = np.random.default_rng(6)
+    p = np.zeros(400, linededup.POSTING)
+    p["token"], p["n"], p["ord"], p["row"] = rng.integers(0, 12, 400), rng.integers(4, 30, 400), rng.permutation(400), np.arange(400)
+    p["i"] = rng.integers(0, 6, 400) % linededup.prefix_size(p["n"].astype(int))
+    p["bits"] = rng.integers(0, 4, 400)
+    p, pairs, live = linededup.partners(p)
+    n, i = p["n"].astype(int), p["i"].astype(int)
+    meet = {(a, b) for a in range(400) for b in range(400) if a != b and p["token"][a] == p["token"][b] and linededup._fits(n[[a]], i[[a]], p["bits"][[a]], n[[b]], i[[b]], p["bits"][[b]])[0]}
+    heads = {t: min((x for x in range(400) if p["token"][x] == t), key=lambda x: p["ord"][x]) for t in set(p["token"].tolist())}
+    first = set(heads.values())
+    assert set(map(tuple, pairs.tolist())) == {(a, b) for a, b in meet if a in first}
+    assert set(live.tolist()) == {a for a, b in meet if a not in first and b not in first}
+
+
 def test_line_dedup_rebuilds_texts(spark):
     rows = [(1, "a b c d e\n\nsame line here"), (2, "same line here\nother"), (3, "A B c d e x"), (4, None), (5, ""), (6, "q q\nq"), (6, "q q\nq")]
     out = sorted(((r["doc_id"], r["text"]) for r in linededup.dedup(table(spark, rows, extra=True)).collect()), key=repr)
@@ -411,9 +449,9 @@ def plain_hits(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 0])
-def test_decontamination_equals_brute_force(spark, documents, sf, monkeypatch, limit):
-    monkeypatch.setattr(decontam, "VOCABULARY_WORDS", limit)  # 0: the index holds all words
+@pytest.mark.parametrize("bits", [28, 10])
+def test_decontamination_equals_brute_force(spark, documents, sf, monkeypatch, bits):
+    monkeypatch.setattr(decontam, "BLOOM_BITS", bits)  # 10: the filter lets nearly all through
     items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall() + [(900, "short item Ünï"), (900, "short item ünï"), (901, None), (902, "..."), (903, "a a a a a a a a a a a a a a a")]
     long = items[0][1]
     docs = [*documents.items(), (90_000, None), (90_001, ""), (90_002, "x " + long + " y " + long), (90_002, "SHORT, item ünï; short item"), (90_003, "a " * 40), (90_004, " ".join(long.split()[1:15])), (90_005, " ".join(long.split()[:12]))]
@@ -449,6 +487,17 @@ def test_language_id(spark, sf):
     assert [(r["lang_pred"], r["score"]) for r in rows if r["doc_id"] < 0] == [("und", 0.0)] * 3
 
 
+def test_language_id_of_many_languages(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(230):  # each language has letters of its own
+        letters = [chr(0x4E00 + 20 * k + j) for j in range(20)]
+        rows += [(i * 1000 + k, "".join(rng.choice(letters) for _ in range(60)), f"l{k:03}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+    assert len(set(got.values())) == 230 and sum(got[i] == name for i, _, name in rows) >= 0.95 * len(rows)
+
+
 def test_language_id_without_labels(spark):
     df = spark.createDataFrame([(1, "text here", None)], "doc_id long, text string, lang string")
     assert langid.identify(df).head()["lang_pred"] == "und" and langid.identify(df.limit(0)).count() == 0
