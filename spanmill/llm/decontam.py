@@ -2,7 +2,8 @@
 
 1. One pass tokenises every document and stores, for each document, its terms with the positions that
    can belong to a phrase match: the word and its neighbours have to follow each other in some
-   benchmark item too, over at least the shortest window. Turned round, that is the inverted index.
+   benchmark item too, over at least the shortest window. A Bloom filter of the items' neighbours, sized by
+   their number, tells; where it errs the index holds more. Turned round, that is the inverted index.
 2. The lists of the RARE rarest terms of every benchmark window, by document frequency, are fetched;
    a list is shifted by the term's offset in the item, so places of one match meet in one diagonal
    (position in the document minus position in the item).
@@ -16,17 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.llm.common import cut, drop_clashing
+from spanmill.llm.common import cut, drop_clashing, summed, trimmed
 
 #: Words of a window; rarest terms of a window whose lists are intersected first.
 WINDOW, RARE = 13, 2
-#: Words of benchmark text up to which its vocabulary is sent to the workers to thin the index. Beyond, the index
-#: holds the postings of all words: larger, with the same matches.
-VOCABULARY_WORDS = 2_000_000
+#: Bits of the filter for each word of the benchmark, and of the whole filter at most, as a power of two.
+BLOOM_EACH, BLOOM_BITS = 16, 28
 #: Bytes as words see them: A-Z become a-z, all that parts words becomes a blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -47,43 +48,48 @@ def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "item long, item_id string, words array<string>").filter(F.size("words") > 0)
 
 
-def _follow(items: list, window: int) -> tuple[dict, set, int]:
-    """Ids of the items' words, codes of the neighbours among them, the shortest window."""
-    ids: dict = {}
-    pairs = set()
-    for ws in items:
-        codes = [ids.setdefault(w.encode(), len(ids)) for w in ws]
-        pairs.update(a << 32 | b for a, b in zip(codes, codes[1:], strict=False))
-    return ids, pairs, min([window, *map(len, items)])
-
-
-def _places(ws: list, known: tuple | None) -> list[int]:
-    """Positions worth storing."""
-    if known is None:
-        return list(range(len(ws)))
-    ids, pairs, least = known
-    codes = np.fromiter((ids.get(w, -1) for w in ws), np.int64, len(ws))
-    inside = codes >= 0
-    if least > 1:
-        linked = np.zeros(len(ws) + 1, bool)  # linked[i]: i - 1 and i follow each other in an item
-        both = np.flatnonzero(inside[:-1] & inside[1:])
-        if not len(both):
-            return []
-        joint = codes[both] << 32 | codes[both + 1]
-        linked[both[[int(j) in pairs for j in joint]] + 1] = True
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], linked[1:-1].astype(np.int8), [0]])))
+U = np.uint64
+
+
+def _hashed(ws: list, least: int) -> np.ndarray:
+    """Hashes of the pairs of neighbours among words, or of the words where a single one is a window."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, ws), U, len(ws))
+    return h if least < 2 else (h[:-1] * U(0x9E3779B97F4A7C15) + h[1:]) * U(0xBF58476D1CE4E5B9) >> U(1)
+
+
+class Neighbours:
+    """Bloom filter of what follows what in the items' words."""
+
+    def __init__(self, items: DataFrame, window: int):
+        row = items.agg(F.sum(F.size("words")), F.min(F.size("words"))).head()
+        self.least = min(window, row[1] or 1)
+        self.bits = bits = min(BLOOM_BITS, max(10, (BLOOM_EACH * (row[0] or 0)).bit_length()))
+        least = self.least
+
+        def places(lists: pa.Array) -> np.ndarray:
+            parts = [_hashed([w.encode() for w in ws], least) for ws in lists.to_pylist()]
+            return (np.concatenate(parts) >> U(63 - bits) & U((1 << bits) - 1)).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+        self.table = summed(items, "words", bits, places, marks=True)
+
+    def places(self, ws: list) -> list[int]:
+        """Positions worth storing."""
+        p = (_hashed(ws, self.least) >> U(63 - self.bits) & U((1 << self.bits) - 1)).astype(np.int64)
+        met = (self.table[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(np.int8)
+        if self.least < 2:
+            return np.flatnonzero(met).tolist()
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], met, [0]])))
         out: list[int] = []
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            if b - a + 1 >= least:
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a + 1 >= self.least:
                 out.extend(range(a, b + 1))
         return out
-    return np.flatnonzero(inside).tolist()
 
 
-def store(docs: DataFrame, known: tuple | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def store(docs: DataFrame, known: Neighbours | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """row (long), key, n_words and postings (array of term, positions) of every document."""
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most VOCABULARY_WORDS words and pairs
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most 2^BLOOM_BITS bits
     posting = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,13 +100,13 @@ def store(docs: DataFrame, known: tuple | None, key: str = "doc_id", text: str =
                     ws = words(t) if t else []
                     sizes.append(len(ws))
                     by: dict = {}
-                    for i in _places(ws, shared.value) if ws else ():
+                    for i in (range(len(ws)) if shared.value is None else shared.value.places(ws)) if ws else ():
                         by.setdefault(ws[i], []).append(i)
                     lists.append([{"term": w.decode("utf-8", "replace"), "positions": p} for w, p in by.items()])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(lists, posting)], names=["row", "key", "n_words", "postings"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"row long, key {kind}, n_words long, postings array<struct<term:string,positions:array<int>>>")
+    return rows.mapInArrow(trimmed(run), f"row long, key {kind}, n_words long, postings array<struct<term:string,positions:array<int>>>")
 
 
 def index(stored: DataFrame) -> DataFrame:
@@ -179,9 +185,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     count once. A null item id counts as the empty text. Empty tables give no matches.
     """
     items = cut(_tokens(benchmark, item_key, text), "items")
-    size = items.agg(F.sum(F.size("words"))).head()[0] or 0
-    known = _follow([r[0] for r in items.select("words").collect()], window) if size <= VOCABULARY_WORDS else None
-    stored = cut(store(docs, known, key, text), "postings")
+    stored = cut(store(docs, Neighbours(items, window), key, text), "postings")
     hits = matches(stored, items, window, rare).join(items.select("item", "item_id"), "item")
     by_row = hits.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.collect_set("item_id")).alias("items"))
     total = F.aggregate(
