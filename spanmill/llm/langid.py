@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.llm.common import drop_clashing
+from spanmill.llm.common import drop_clashing, trimmed
 
 #: Hashed n-gram places; n-gram lengths.
 FEATURES, GRAMS = 1 << 16, (1, 2, 3)
-#: Bounds of the fit: training documents of each language, languages, landmarks; ridge.
-PER_LANG, MAX_LANGS, LANDMARKS, RIDGE = 250, 200, 128, 1e-2
+#: Bounds of the fit: training documents of each language, and of all (but one a language at least); landmarks, or as many
+#: as there are languages; ridge.
+PER_LANG, FIT_ROWS, LANDMARKS, RIDGE = 250, 10_000, 128, 1e-2
 #: Documents scored by one matrix product.
 BLOCK = 128
 #: Answer for a text without letters.
@@ -69,20 +70,21 @@ def presence(text: str | None, piece: int = 1 << 20) -> np.ndarray | None:
 
 
 def sample(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG) -> list:
-    """At most per_lang rows of each language, as (language, packed phi), chosen by a hash of the key.
+    """At most per_lang rows of each language and FIT_ROWS of all, as (language, packed phi), chosen by a hash of the key.
 
     First one count a language; then a row is drawn with a chance of 1.5 per_lang / count, which needs no shuffle
     of texts. The bound holds exactly: what is drawn beyond it is left out, in the order of the hash.
     """
     good = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in good.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect()}
+    counts = {r[0]: r[1] for r in good.groupBy(lang).count().collect()}
     if not counts:
         return []
+    per_lang = max(1, min(per_lang, FIT_ROWS // len(counts)))
     space = 1 << 30
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(space))
-    limit = F.lit(0).cast("long")
-    for name, n in counts.items():
-        limit = F.when(F.col(lang) == name, F.lit(min(space, int(1.5 * per_lang / n * space) + 1))).otherwise(limit)
+    share = max(1.5, 8 / per_lang)  # of a language with few places to draw for, some rows are drawn all the same
+    limits = [F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(space, int(share * per_lang / n * space) + 1))]
+    limit = F.element_at(F.create_map(*limits), F.col(lang))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,7 +113,7 @@ class Model:
         x = np.unpackbits(np.frombuffer(b"".join(b for _, b in labelled), np.uint8).reshape(len(labelled), -1), axis=1)
         turn = {}
         rank = [turn.setdefault(lang, []).append(i) or len(turn[lang]) for i, (lang, _) in enumerate(labelled)]
-        chosen = sorted(range(len(labelled)), key=lambda i: (rank[i], i))[:landmarks]  # languages take turns
+        chosen = sorted(range(len(labelled)), key=lambda i: (rank[i], i))[: max(landmarks, len(self.langs))]  # languages take turns
         self.places = np.flatnonzero(x[chosen].any(0))
         z = x[chosen][:, self.places].astype(np.float32)
         self.z = np.ascontiguousarray((z / np.sqrt(x[chosen].sum(1, keepdims=True))).T.astype(np.float32))
@@ -176,7 +178,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
                 langs, scores = shared.value.predict(b.column(b.schema.names.index(text)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, lang_pred, score])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def held_out(doc_id) -> F.Column:
@@ -185,7 +187,11 @@ def held_out(doc_id) -> F.Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; learned from documents that are not held out."""
+    """doc_id, held_out, lang_pred, score of every document; learned from documents that are not held out.
+
+    Null, empty and letterless texts, and all where no row has a language, get "und" and 0. Repeated rows are judged each by
+    itself; an empty table gives no rows.
+    """
     model = fit(docs.filter(~held_out(F.col("doc_id"))))
     out = predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
