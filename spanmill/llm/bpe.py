@@ -15,7 +15,6 @@ The decoder runs a UTF-8 state machine over all bytes, in lockstep from every le
 from __future__ import annotations
 
 import base64
-import ctypes
 import gc
 import re
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.llm.common import drop_clashing
+from spanmill.llm.common import drop_clashing, trim
 
 #: States, compatible pairs and pre-tokens kept per Python worker while a task runs.
 MAX_STATES, MAX_PAIRS, MAX_PIECES = 100_000, 100_000, 120_000
@@ -431,12 +430,7 @@ def release() -> None:
     """At the end of a task: a worker that goes on to other work keeps no tables, and gives its memory back."""
     codec.cache_clear()
     bytes_of.cache_clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
+    trim()
 
 
 def _with_columns(batch: pa.RecordBatch, **new) -> pa.RecordBatch:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import cut, discard, summed
+from spanmill.llm.common import cut, discard, drop_clashing, summed, trimmed
 
 #: Words of a shingle; least similarity; bands and places of a band (a pair of similarity 0.8 is missed with 7e-5).
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
@@ -137,7 +137,7 @@ def signed(docs: DataFrame, text: str, others: list[str], k: int) -> DataFrame:
                     keys.append(last[node])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(keys, pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "bands"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
@@ -149,7 +149,7 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
             good = [similarity(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "bag_a", "bag_b").mapInArrow(run, "a string, b string").distinct()
+    return both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "bag_a", "bag_b").mapInArrow(trimmed(run), "a string, b string").distinct()
 
 
 def occurrences(bag: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def rare_pairs(own: DataFrame, least: float) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["item", "node", "label", "n", "i", "before"])
 
-    posting = cut(own.select("node", "label", "bag").mapInArrow(prefixes, "item long, node string, label string, n int, i int, before array<long>"), "prefixes")
+    posting = cut(own.select("node", "label", "bag").mapInArrow(trimmed(prefixes), "item long, node string, label string, n int, i int, before array<long>"), "prefixes")
     mixed = posting.groupBy("item").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("item")
     posting = posting.join(mixed, "item", "left_semi")
     fits = (
@@ -270,7 +270,7 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingles(t, k)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "bag"])
 
     texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("node"), F.col(text).alias("t"))
-    bags = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(bag, "node string, bag binary"), "bags")
+    bags = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(trimmed(bag), "node string, bag binary"), "bags")
     for turn in range(PIVOTS):
         pairs = cut(pivot_pairs(member, turn), "pivots")
         member = relabelled(member, cut(verified(pairs, bags, least), "links"))
@@ -296,6 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row of smallest doc_id, of equal rows one."""
+    docs = drop_clashing(docs, "__digest", "__node", "__id", "__any", "__alone")
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     rows = classes(docs.select("doc_id", "text"))
     first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("m"))
