@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = linededup.dedup(docs)
-    return _counted(out.filter(F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]", "")) > 0))
+    return _counted(out.filter(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
