@@ -1,10 +1,12 @@
 """Main text of web pages by tree scoring.
 
-A tolerant reader builds a tree of the page without scripts, styles, forms and the parts that bear the name of
-a menu, header, footer, sidebar, notice, advert or comment section. Every paragraph passes points - one, one
-more for each comma, one for each 100 characters up to three - to its parent, and half as many to the one
-above; an element's score is what it got, times the share of its text that is not links. The best element
-wins; siblings that score a fifth as much, headings, and plain paragraphs beside it are kept too.
+A tolerant reader builds a tree of the page in one pass over it, whatever its depth. Scripts, styles, forms, menus,
+headers and footers of the page do not count, nor do containers whose class, id or role names a sidebar, notice, advert or
+comment section, unless they hold the page's article or title. Every paragraph passes points - one, one more for each
+comma, one for each 100 characters up to three - to its parent, and half as many to the one above; an element's score is
+what it got, times the share of its text that is not links. The best element wins; it grows to the elements around it, up
+to the body, as long as these are not mostly links, and of what stands beside it there, siblings that score a fifth as
+much, headings and plain paragraphs are kept too. Nothing inside is left out for its links.
 """
 
 from __future__ import annotations
@@ -27,149 +29,215 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "body", "html"}
 #: An open element that a start tag closes, and the element beyond which it does not look.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements that never belong to the text, and words in class, id or role that say so.
+#: Elements that never belong to the text, and words in class, id or role that say so of a container.
 JUNK_TAGS = set("nav aside footer form button select fieldset menu dialog head label".split())
 JUNK_WORDS = set("ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disclaimer disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popup promo promotion promoted recommendations recommended related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets alert alertdialog complementary".split())
-#: Elements whose names alone make them a frame of the page, whatever their class.
-FRAME = {"html", "body", "main", "article"}
+#: Those that say so of a single paragraph too.
+ADVERTS = set("ad ads advert adverts advertisement advertising adsense adslot promoted sponsored outbrain taboola".split())
+#: Elements that are the article, whatever they are called, and what shows that a container holds it.
+FRAME, HOLDS = {"html", "body", "main"}, {"article", "main", "h1"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARAGRAPHS = {"p", "pre", "blockquote", "li", "td", "dd"} | HEADINGS
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Blocks that the end tag of an inline element does not close.
+WALLS = set("td th table article main section div".split())
+#: Elements beyond which an open p is not seen.
+P_LIMITS = set("td th table button object caption".split())
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+#: A share of links up to which the elements around the best one belong to the article.
+LINKS = 0.25
 
 
 class Node:
-    __slots__ = ("children", "chars", "junk", "links", "parent", "points", "tag")
-
-    def __init__(self, tag: str, parent, junk: bool):
-        self.tag, self.parent, self.junk = tag, parent, junk
-        self.children: list = []  # nodes and strings
-        self.points = 0.0
-        self.chars = self.links = 0
+    """An element: `junk` never belongs to the text, `named` neither unless it holds the article; `own`: length, commas and
+    characters in links of the text that stands in it but in no block below; `scope`: open elements that a start tag may close."""
 
+    __slots__ = ("chars", "children", "commas", "depth", "holds", "inside", "junk", "links", "named", "own", "parent", "points", "scope", "tag", "wall")
 
-def is_junk(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in JUNK_TAGS:
-        return True
-    if tag == "header":
-        return not inside_article
-    if not attrs or tag in FRAME and tag != "article":
-        return False
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent = tag, parent
+        self.children: list = []  # nodes and strings
+        self.points, self.chars, self.links, self.own, self.commas = 0.0, 0, 0, 0, 0
+        self.junk = self.named = self.holds = False
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.wall = self.depth if tag in WALLS or parent is None else parent.wall
+        self.scope = _scope(tag, self, parent.scope if parent else {})
+
+
+def _scope(tag: str, node: Node, above: dict) -> dict:
+    """For "p" and the keys of CLOSES, the open element that such a start tag closes."""
+    new = {}
+    if tag == "p":
+        new["p"] = node
+    elif tag in P_LIMITS:
+        new["p"] = None
+    for key, (own, limit) in CLOSES.items():
+        if tag in own:
+            new[key] = node
+        elif tag in limit:
+            new[key] = None
+    return above | new if any(above.get(k) is not v for k, v in new.items()) else above
+
+
+def words_of(attrs: str) -> tuple[set, bool]:
+    """The words in class, id and role; whether the element is hidden."""
+    found, hidden = set(), False
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), entities.unescape(a or b or c)
         if name in ("class", "id", "role"):
-            words = {w for w in re.split(r"[^a-zA-Z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)) if w}
-            bad = {w.lower() for w in words} & JUNK_WORDS
-            if inside_article:
-                bad -= {"header"}
-            if bad:
-                return True
+            found.update(w.lower() for w in re.split(r"[^a-zA-Z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)) if w)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            hidden = True
+    return found, hidden
 
 
-def tree(page: str) -> Node:
-    """The page's elements; end tags that match nothing are passed over, missing ones are supplied."""
-    root = Node("#root", None, False)
-    here, at, size = root, 0, len(page)
+def judged(node: Node, attrs: str) -> None:
+    """Sets junk and named."""
+    if node.tag in JUNK_TAGS or node.tag == "header" and not node.inside:
+        node.junk = True
+    elif attrs and node.tag not in FRAME:
+        found, node.junk = words_of(attrs)
+        bad = found & (ADVERTS if node.tag in PARAGRAPHS else JUNK_WORDS)
+        node.named = bool(bad - {"header"} if node.inside else bad)
+
+
+def tokens(page: str) -> Iterator[tuple]:
+    """(text, None, None) and (tag, attributes, whether it ends). Every character is looked at a bounded number of times: a
+    quote that nothing closes, and all quotes once a tag could not be ended because of one, are characters like others."""
+    at, size, quoting = 0, len(page), True
+    last = {c: page.rfind(c) for c in ">\"'"}
     while at < size:
-        m = TOKEN.search(page, at)
+        lt = page.find("<", at)
+        if lt < 0 or lt > last[">"]:
+            rest = page.find("<!--", at)
+            yield page[at : rest if rest >= 0 else size], None, None
+            return
+        m = NAME.match(page, lt)
         if m is None:
-            here.children.append(entities.unescape(page[at:]))
-            break
-        if m.start() > at:
-            here.children.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+            if page.startswith("<!--", lt):
+                ends = [page.find(e, lt + 2) for e in ("-->", "--!>")]
+                stops = [e + n for e, n in zip(ends, (3, 4), strict=True) if e >= 0]
+                end = min(stops, default=size)
+            elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                end = page.index(">", lt) + 1
+            else:  # a character
+                yield page[at : lt + 1], None, None
+                at = lt + 1
+                continue
+            if lt > at:
+                yield page[at:lt], None, None
+            at = end
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up = here
-            while up is not root and up.tag != tag:
-                if up.tag in ("td", "th", "table", "article", "main", "section", "div") and tag not in BLOCK:
-                    up = root  # an inline end tag does not close a block around it
-                    break
-                up = up.parent
-            if up is not root:
-                here = up.parent
+        if lt > at:
+            yield page[at:lt], None, None
+        end = m.end()
+        while quoting:
+            end = PLAIN.match(page, end).end()
+            c = page[end : end + 1]
+            if c in ("", ">"):
+                break
+            close = page.find(c, end + 1) if end < last[c] else -1
+            end = close + 1 if close >= 0 else end + 1
+        if not quoting or end >= size:
+            quoting, end = False, page.find(">", m.end())
+        attrs = page[m.end() : end]
+        at = end + 1
+        tag = m[1].lower()
+        starts = page[lt + 1] != "/"
+        yield tag, attrs, not starts
+        if starts and tag in RAW and not attrs.endswith("/"):
+            stop = RAW_END[tag].search(page, at)
+            at = stop.end() if stop else size
+
+
+def tree(page: str) -> Node:
+    """The page's elements; end tags that match nothing are passed over, missing ones are supplied."""
+    root = Node("#root", None)
+    path, open_ = [root], {}  # open elements, and the depths of those of a tag
+
+    def close(depth: int) -> None:
+        while len(path) > depth:
+            open_[path.pop().tag].pop()
+
+    def opened(tag: str) -> Node:
+        node = Node(tag, path[-1])
+        path[-1].children.append(node)
+        return node
+
+    for tag, attrs, ends in tokens(page):
+        if attrs is None:
+            path[-1].children.append(entities.unescape(tag))
+        elif ends:
+            depths = open_.get(tag)
+            if depths and (tag in BLOCK or depths[-1] > path[-1].wall):
+                close(depths[-1])
             elif tag == "p":
-                here.children.append(Node("p", here, False))
-            continue
-        if tag in ENDS_P:
-            up = here
-            while up is not root and up.tag not in ("p", "td", "th", "table", "button", "object"):
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
-        if tag in CLOSES:
-            own, limit = CLOSES[tag]
-            up = here
-            while up is not root and up.tag not in own and up.tag not in limit:
-                up = up.parent
-            if up.tag in own:
-                here = up.parent
-        if tag in HEADINGS and here.tag in HEADINGS:
-            here = here.parent
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
-        if tag == "br":
-            here.children.append(" ")
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                here.children.append(Node("hr", here, here.junk))
-            continue
-        junk = here.junk
-        if not junk:
-            up, inside = here, False
-            while up is not None and not inside:
-                inside, up = up.tag in ("article", "main"), up.parent
-            junk = is_junk(tag, m[3], inside)
-        if tag in ("html", "body") and any(isinstance(c, Node) and c.tag == tag for c in root.children + here.children):
-            continue
-        node = Node(tag, here, junk)
-        here.children.append(node)
-        if not m[3].endswith("/") or tag in BLOCK or tag in ("a", "b", "i", "span", "em", "strong"):
-            here = node
+                opened("p")
+        elif tag == "br":
+            path[-1].children.append(" ")
+        elif tag not in RAW and (tag not in VOID or tag == "hr"):
+            if tag in ENDS_P and (p := path[-1].scope.get("p")):
+                close(p.depth)
+            if tag in CLOSES and (own := path[-1].scope.get(tag)):
+                close(own.depth)
+            if tag in HEADINGS and path[-1].tag in HEADINGS:
+                close(path[-1].depth)
+            if tag in ("html", "body") and open_.get(tag):
+                continue
+            node = opened(tag)
+            judged(node, attrs)
+            if tag != "hr" and (not attrs.endswith("/") or tag in BLOCK or tag in ("a", "b", "i", "span", "em", "strong")):
+                open_.setdefault(tag, []).append(node.depth)
+                path.append(node)
     return root
 
 
 def measure(root: Node) -> list[Node]:
-    """Sets chars, links and points; the elements outside junk, parents first."""
-    order, todo = [], [root]
+    """Sets junk by name, chars, links and points; the elements outside junk, parents first."""
+    every, todo = [], [root]
     while todo:
         n = todo.pop()
+        if not n.junk:
+            every.append(n)
+            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+    for n in reversed(every):
+        n.holds = n.holds or n.tag in HOLDS
+        if n.parent and n.holds:
+            n.parent.holds = True
+        n.junk = n.named and not n.holds
+    order, todo = [], [(root, root, False)]
+    while todo:  # down: whose text is it, and is it in a link
+        n, holder, linked = todo.pop()
         order.append(n)
-        todo += [c for c in reversed(n.children) if isinstance(c, Node) and not c.junk]
-    for n in reversed(order):
+        holder, linked = n if n.tag in BLOCK else holder, linked or n.tag == "a"
         for c in n.children:
             if isinstance(c, str):
                 k = len(" ".join(c.split()))
                 n.chars += k
-                n.links += k if n.tag == "a" else 0
-            elif not c.junk:
-                n.chars += c.chars
-                n.links += c.chars if n.tag == "a" else c.links
+                n.links += k if linked else 0
+                holder.own += k
+                holder.commas += c.count(",")
+        todo += [(c, holder, linked) for c in reversed(n.children) if isinstance(c, Node) and not c.junk]
+    for n in reversed(order):
+        if n.parent:
+            n.parent.chars += n.chars
+            n.parent.links += n.links
     for n in order:
-        bare = n.tag not in PARAGRAPHS and n.tag in BLOCK | {"#root"}
-        if n.tag in PARAGRAPHS and n.tag not in HEADINGS or bare:
-            if bare:  # text that stands in a container without a paragraph of its own
-                text = " ".join(c for c in n.children if isinstance(c, str)).strip()
-                target, above = n, n.parent
-            else:
-                text = inline(n)
-                target, above = n.parent, n.parent.parent if n.parent else None
-            if len(text) < 25 and not (text and not bare):
-                continue
-            points = 1 + text.count(",") + min(len(text) / 100, 3)
-            if target is not None:
-                target.points += points
-            if above is not None:
-                above.points += points / 2
+        if n.tag in HEADINGS or not n.own or n.tag not in BLOCK and n is not root:
+            continue
+        if n.tag in PARAGRAPHS:
+            target, above = n.parent, n.parent.parent
+        elif n.own < 25:
+            continue
+        else:  # text that stands in a container without a paragraph of its own
+            target, above = n, n.parent
+        points = 1 + n.commas + min(n.own / 100, 3)
+        target.points += points
+        if above is not None:
+            above.points += points / 2
     return order
 
 
@@ -193,7 +261,7 @@ def final(n: Node) -> float:
 
 
 def blocks(n: Node) -> Iterator[str]:
-    """The texts of n between block boundaries, white space made one blank; lists of links are left out."""
+    """The texts of n between block boundaries, white space made one blank."""
     out: list[str] = []
     todo: list = [n]
     while todo:
@@ -205,9 +273,7 @@ def blocks(n: Node) -> Iterator[str]:
         elif isinstance(x, str):
             out.append(x)
         elif not x.junk:
-            if x is not n and x.tag in ("ul", "ol", "dl", "table", "div", "section") and density(x) > 0.6:
-                todo.append(None)
-            elif x.tag in BLOCK or x is n:
+            if x.tag in BLOCK or x is n:
                 todo += [None, *reversed(x.children), None]
             else:
                 todo += reversed(x.children)
@@ -223,14 +289,9 @@ def extract(page: str | None) -> str:
     order = measure(root)
     best = max(order, key=final)
     if final(best) <= 0:
-        frames = [n for n in order if n.tag in ("article", "main")] or [n for n in order if n.tag == "body"] or [root]
-        return "\n".join(t for n in frames if not _below(n, frames) for t in blocks(n))
-    up = best
-    while up is not None:  # an article that holds the best element is the article
-        if up.tag in ("article", "main"):
-            best = up
-            break
-        up = up.parent
+        return "\n".join(blocks(root))
+    while best.parent is not None and best.parent.tag not in ("body", "html", "#root") and density(best.parent) <= LINKS:
+        best = best.parent
     if best.parent is None or best.tag in ("body", "html"):
         return "\n".join(blocks(best))
     limit, kept = max(10.0, 0.2 * final(best)), []
@@ -238,21 +299,12 @@ def extract(page: str | None) -> str:
         if s is best:
             kept.append(s)
         elif isinstance(s, Node) and not s.junk and s.chars:
-            paragraph = s.tag == "p" and (s.chars > 80 and density(s) < 0.25 or s.chars <= 80 and not s.links and inline(s).endswith((".", "!", "?")))
+            paragraph = s.tag == "p" and (s.chars > 80 and density(s) < LINKS or s.chars <= 80 and not s.links and inline(s).endswith((".", "!", "?")))
             if final(s) >= limit or s.tag in HEADINGS or paragraph:
                 kept.append(s)
     return "\n".join(t for s in kept for t in blocks(s))
 
 
-def _below(n: Node, others: list) -> bool:
-    up = n.parent
-    while up is not None:
-        if any(up is o for o in others):
-            return True
-        up = up.parent
-    return False
-
-
 def main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """The columns of pages but html, with `text` and `n_chars` (long, code points). Null and empty html give
     an empty text. Rows are independent; clashing columns give way to the results."""

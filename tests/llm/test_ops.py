@@ -6,6 +6,7 @@ import html
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -251,11 +252,18 @@ def test_markov_scan(spark, documents):
 # ---- 5 ----
 
 
-def test_main_text_of_test_pages(sf):
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_main_text_of_test_pages(sf, tag):
     for (page,) in duckdb.sql(f"select html from '{sf}/pages.parquet'").fetchall():
-        article = re.search(r"<article>(.*)</article>", page, re.S)[1]
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:h1|p|br)[^>]*>", article)]
-        assert htmltext.extract(page) == "\n".join(b for b in blocks if b)
+        own = page.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")
+        assert htmltext.extract(own) == known_text(page)
+        assert htmltext.extract(own.replace("<body>", "<body><div class='with-sidebar'>").replace("</body>", "</div></body>")) == known_text(page)
+
+
+def known_text(page):
+    article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:h1|p|br)[^>]*>", article)]
+    return "\n".join(b for b in blocks if b)
 
 
 @pytest.mark.parametrize(
@@ -263,6 +271,10 @@ def test_main_text_of_test_pages(sf):
     [
         ("", ""), ("plain &amp; simple", "plain & simple"), ("<script>x</script><style>y</style>", ""), ("<p>One", "One"), ("<p>a<script>'<p>no</p>'</script>b &lt;i&gt;</p>", "ab <i>"),
         ("<body><header>H</header><div class='sidebar'><p>Side, bar, text that is long, very long indeed.</p></div><main><h2>T</h2><p>Body, of the&nbsp;text.</p><ul><li>x<li>y</ul><form><p>f</p></form></main><div id=comments><p>Nice, nice, nice, nice, nice, nice.</p></div><footer>F</footer>", "T\nBody, of the text.\nx\ny"),
+        ("<article><h1>T</h1><p>One, two, three and four, of the text.</p><ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li></ul><p class='social'>Social policy changed, as they say.</p><p class='ad'>Buy, buy, buy.</p><div class='share'><a>x</a></div></article>", "T\nOne, two, three and four, of the text.\nSource one\nSource two\nSocial policy changed, as they say."),
+        ("<p title=\"a>b\">in, quotes of all kinds</p><p class='x>open quote, and more text", "in, quotes of all kinds\nopen quote, and more text"),
+        ("<div><div><p>First part, which is long enough, and has commas.</p></div><div><p>Second part.</p></div></div><div>Legal words that belong to no article.</div>", "First part, which is long enough, and has commas.\nSecond part."),
+        ("a < b and <3, 5 </> x <!-- no --> y <!-- rest", "a < b and <3, 5 x y"),
         ("<div class='cookie-notice'><p>We use cookies, all of them, always, and so do others.</p></div><div><p>Short one, really.</p></div>", "Short one, really."),
     ],
 )
@@ -270,6 +282,14 @@ def test_main_text(page, text):
     assert htmltext.extract(page) == text
 
 
+@pytest.mark.parametrize("unit", ["<a b", "<div>", '<a "', "<p>", "</b>", "<b><div><i>", "<blockquote>x, ", "<li>", "<!--", "<td><p>", "<script>", "<a href='", "&amp", "<table><div>", "<ul><li>y</i>"])
+def test_main_text_takes_linear_time(unit):
+    began = time.process_time()
+    htmltext.extract("<p>Text, of a page.</p>" + unit * (1_000_000 // len(unit)))
+    htmltext.extract("<p>Text, of a page.</p>" + unit * (200_000 // len(unit)) + ">")
+    assert time.process_time() - began < 20
+
+
 def test_main_text_frames(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, "<p>x &eacute;</p>"), (2, None, "<p>x &eacute;</p>")], "page_id long, url string, html string")
     assert sorted(tuple(r) for r in htmltext.report(df).collect() if r["page_id"] == 2) == [(2, None, "x é", 3)] * 2
