@@ -47,21 +47,33 @@ def type_matches(preds: Column, gold: Column) -> Column:
     return F.aggregate(types, F.lit(0), lambda n, t: n + F.least(count(preds, t), count(gold, t)))
 
 
+def _true_positives(step: DataFrame, mode: str, p: str, g: str, out: str) -> DataFrame:
+    """step with the number of true positives of a mode between its normalised columns p and g."""
+    if mode == "type":
+        return step.withColumn(out, type_matches(F.col(p), F.col(g)).cast("long"))
+    step = step.withColumn("__o", eligible(F.col(p), F.col(g), mode))
+    return step.withColumn(out, F.size(taken(F.col("__o"))).cast("long")).drop("__o")
+
+
 def matched(records: DataFrame, mode: str = "span", how: str = "full", out: str = "tp") -> DataFrame:
     """records with the number of true positives of a mode (type, span or strict) under a label map."""
     step = records.withColumns({"__p": normalised(F.col("preds"), how), "__g": normalised(F.col("gold"), how)})
-    if mode == "type":
-        return step.withColumn(out, type_matches(F.col("__p"), F.col("__g")).cast("long")).drop("__p", "__g")
-    step = step.withColumn("__o", eligible(F.col("__p"), F.col("__g"), mode))
-    return step.withColumn(out, F.size(taken(F.col("__o"))).cast("long")).drop("__p", "__g", "__o")
+    return _true_positives(step, mode, "__p", "__g", out).drop("__p", "__g")
 
 
 def scored(records: DataFrame, modes: tuple = (("type", "full", "f1_type"),)) -> DataFrame:
-    """records with n_pred, n_gold and an F1 for each (mode, map, name); P and R too for a name ending in "+"."""
+    """records with n_pred, n_gold and an F1 for each (mode, map, name); P and R too for a name ending in "+".
+
+    Labels are mapped once a map, whatever the number of its modes.
+    """
     out = records.withColumns({"n_pred": F.size("preds").cast("long"), "n_gold": F.size("gold").cast("long")})
-    for mode, how, name in modes:
+    for how in dict.fromkeys(m[1] for m in modes):
+        out = out.withColumns({"__p": normalised(F.col("preds"), how), "__g": normalised(F.col("gold"), how)})
+        for mode, _, name in (m for m in modes if m[1] == how):
+            out = _true_positives(out, mode, "__p", "__g", f"tp_{name.rstrip('+')}")
+        out = out.drop("__p", "__g")
+    for _, _, name in modes:
         bare = name.rstrip("+")
-        out = matched(out, mode, how, f"tp_{bare}")
         args = (F.col(f"tp_{bare}"), F.col("n_pred"), F.col("n_gold"))
         out = out.withColumn(bare, spans.f1(*args))
         if name.endswith("+"):
