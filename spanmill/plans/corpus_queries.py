@@ -197,7 +197,7 @@ def _(spark, d):
     return out.groupBy("model", "condition").agg(F.count("*").alias("n"), F.sum("fresh").alias("fresh"))
 
 
-@query("c4_top_up", "WITH have AS (SELECT doc_id, source FROM documents WHERE doc_id % 10 = 0), extra AS (SELECT doc_id, source FROM documents WHERE doc_id % 5 = 0 AND doc_id % 10 <> 0 ORDER BY source, doc_id LIMIT greatest(0, 150 - (SELECT count(*) FROM have))::BIGINT) SELECT * FROM have UNION ALL SELECT * FROM extra")
+@query("c4_top_up", "WITH have AS (SELECT doc_id, source FROM documents WHERE doc_id % 10 = 0), extra AS (SELECT doc_id, source FROM documents WHERE doc_id % 10 <> 0 ORDER BY source, doc_id LIMIT greatest(0, (SELECT count(*) * 15 // 100 FROM documents) - (SELECT count(*) FROM have))::BIGINT) SELECT * FROM have UNION ALL SELECT * FROM extra")
 def _(spark, d):
     base = docs(spark, d).select("doc_id", "source")
     return corpus.topped_up(base.filter("doc_id % 10 = 0"), base, base.count() * 15 // 100, ["source", "doc_id"], ("doc_id", "source"))
