@@ -204,22 +204,27 @@ def _packed(b: pa.RecordBatch, packs: int, hot: int) -> tuple[np.ndarray, np.nda
     parts = parts_of(np.frombuffer(b"".join(x.as_buffer() for x in b.column(7)), np.uint8), hot)
     out["part"][many] = 1 + mix(out["row"][many].view(U) * GAMMA + out["line"][many].astype(U)) % parts
     pack = (mix(out["token"].astype(U) + out["part"].astype(U) * GAMMA) % U(packs)).astype(np.int32)
-    by = np.lexsort((out["row"], out["ord"], pack))
+    by = np.argsort(pack, kind="stable")
     return out[by], pack[by]
 
 
 def _planes(p: np.ndarray) -> bytes:
-    """p, in order of ord and row, byte by byte; of these the differences."""
-    p = p.copy()
+    """p in order of ord and row, ord and row - ord as differences, byte by byte, compressed; its length first."""
+    p = p[np.lexsort((p["row"], p["ord"]))]
+    p["row"] -= p["ord"]
     for name in ("ord", "row"):
         p[name][1:] = np.diff(p[name])
-    return np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes()
+    planes = np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T)
+    return len(p).to_bytes(8, "little") + pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
 
 
 def _unplaned(raw) -> np.ndarray:
-    p = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(POSTING.itemsize, -1).T).view(POSTING)[:, 0].copy()
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], n * POSTING.itemsize, codec="zstd"), np.uint8)
+    p = np.ascontiguousarray(planes.reshape(POSTING.itemsize, -1).T).view(POSTING)[:, 0].copy()
     for name in ("ord", "row"):
         p[name] = np.cumsum(p[name])
+    p["row"] += p["ord"]
     return p
 
 
@@ -337,7 +342,7 @@ def found(stored: DataFrame, classes) -> DataFrame:
                     yield from out(held)
                     held = []
                 pack = own
-                held.append(_unplaned(raw.as_buffer()))
+                held.append(_unplaned(raw.as_py()))
         if held:
             yield from out(held)
 
