@@ -50,8 +50,8 @@ GAMMA, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB13
 #: A posting: token, part of a hot list (0: of none), words, place in the prefix; the line: order of its document, row,
 #: number, counters.
 POSTING = np.dtype([("token", "<u4"), ("part", "<u4"), ("n", "<u4"), ("i", "<u4"), ("line", "<i4"), ("ord", "<i8"), ("row", "<i8"), ("bits", "<u8")])
-#: Most postings compared at a time.
-STEP = 4_000_000
+#: Pairs of postings compared at a time.
+STEP = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -258,8 +258,10 @@ def _fits(n, i, bits, m, j, others) -> np.ndarray:
     """Length, positional and counter filter, exact in whole numbers; equal sets have been merged, so of equal sizes one word differs."""
     both = n + m
     ok = (LEAST_DEN * n >= LEAST_NUM * m) & (LEAST_DEN * m >= LEAST_NUM * n) & ((LEAST_NUM + LEAST_DEN) * np.minimum(n - i, m - j) >= LEAST_NUM * both)
-    ok &= (LEAST_NUM + LEAST_DEN) * apart(bits, others) <= (LEAST_DEN - LEAST_NUM) * both
-    return ok & ((n != m) | ((LEAST_NUM + LEAST_DEN) * (n - 1) >= 2 * LEAST_NUM * n))
+    ok &= (n != m) | ((LEAST_NUM + LEAST_DEN) * (n - 1) >= 2 * LEAST_NUM * n)
+    at = np.flatnonzero(ok)
+    ok[at] = (LEAST_NUM + LEAST_DEN) * apart(bits[at], others[at]) <= (LEAST_DEN - LEAST_NUM) * both[at]
+    return ok
 
 
 #: The same as SQL, of postings x and y.
@@ -278,26 +280,35 @@ def partners(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     All postings of hot lists count as having one, as it may be in another part.
     """
-    p = p[np.lexsort((p["n"], p["part"], p["token"]))]
     key = p["token"].astype(U) << U(32) | p["part"].astype(U)
+    by = np.lexsort((p["n"], key))
+    p, key = p[by], key[by]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(p) else np.zeros(0, int)
     sizes = np.diff(np.append(starts, len(p)))
     which = np.repeat(np.arange(len(starts)), sizes)
-    n, i, bits = p["n"].astype(np.int64), p["i"].astype(np.int64), p["bits"]
-    by = np.lexsort((p["line"], p["row"], p["ord"], which))
-    head = by[starts][which] if len(p) else which
-    tried = np.flatnonzero((head != np.arange(len(p))) & _fits(n, i, bits, n[head], i[head], bits[head]))
+    n, i, bits = p["n"].astype(np.int64), p["i"].astype(np.int64), p["bits"].copy()
+    met, sizes = np.flatnonzero(sizes[which] > 1), sizes[sizes > 1]  # postings that are not alone in their lists
+    by = met[np.lexsort((p["line"][met], p["row"][met], p["ord"][met], which[met]))]
+    head = np.arange(len(p))
+    head[met] = np.repeat(by[np.cumsum(sizes) - sizes], sizes)
+    tried = met[head[met] != met]
+    tried = tried[_fits(n[tried], i[tried], bits[tried], n[head[tried]], i[head[tried]], bits[head[tried]])]
     live = p["part"] > 0
-    end = (starts + sizes)[which] if len(p) else which
-    for at in range(0, len(p), STEP):
-        j, k = np.arange(at, min(len(p), at + STEP)), 1
-        j = j[~live[j]]
-        while len(j):
-            j = j[j + k < end[j]]
-            j = j[LEAST_DEN * n[j] >= LEAST_NUM * n[j + k]]  # sizes ascend: no later one fits either
-            good = j[_fits(n[j], i[j], bits[j], n[j + k], i[j + k], bits[j + k]) & (head[j] != j) & (head[j] != j + k)]
-            live[good] = live[good + k] = True
-            k += 1
+    left = met[~live[met]]
+    # sizes ascend in a list: the last one that fits
+    place = which << 32 | n
+    many = np.searchsorted(place, which[left] << 32 | LEAST_DEN * n[left] // LEAST_NUM, "right") - left - 1
+    total, at = np.cumsum(many), 0
+    while at < len(left):
+        end = max(at + 1, int(np.searchsorted(total, total[at] - many[at] + STEP, "right")))
+        few = many[at:end]
+        j = np.repeat(left[at:end], few)
+        k = j + 1 + np.arange(len(j)) - np.repeat(np.cumsum(few) - few, few)
+        others = (head[j] != j) & (head[j] != k)
+        j, k = j[others], k[others]
+        good = _fits(n[j], i[j], bits[j], n[k], i[k], bits[k])
+        live[j[good]] = live[k[good]] = True
+        at = end
     return p, np.column_stack([head[tried], tried]), np.flatnonzero(live)
 
 
