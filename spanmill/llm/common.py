@@ -66,6 +66,7 @@ def trimmed(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
+            gc.enable()
             trim()
 
     return task

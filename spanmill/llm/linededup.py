@@ -22,6 +22,7 @@ Words are compared by 40 bits of their hash: two different words are taken for o
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import chain
 
@@ -99,11 +100,21 @@ def _stored(tokens: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
 
 
+def _joined(col: pa.Array) -> np.ndarray:
+    """All bytes of a column of binaries, one after another."""
+    col = col.drop_null()
+    _, cuts, data = col.buffers()
+    if not len(col) or data is None:
+        return np.zeros(0, np.uint8)
+    cuts = np.frombuffer(cuts, np.int64 if pa.types.is_large_binary(col.type) else np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]]
+
+
 def _loaded(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of tokens, and all tokens, of a column of them."""
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) // WIDTH
     raw = np.zeros((int(sizes.sum()), 8), np.uint8)
-    raw[:, :WIDTH] = np.frombuffer(b"".join(x.as_buffer() for x in col if x.is_valid), np.uint8).reshape(-1, WIDTH)
+    raw[:, :WIDTH] = _joined(col).reshape(-1, WIDTH)
     return sizes, raw.view("<u8")[:, 0].astype(U)
 
 
@@ -140,6 +151,7 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     names = ["doc", "node", "ord", "row", "line", "dup", "n", "d1", "d2", "bits", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # lists of words have no cycles; trimmed() collects at the end
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
@@ -196,13 +208,13 @@ def _packed(b: pa.RecordBatch, packs: int, hot: int) -> tuple[np.ndarray, np.nda
     sizes //= 4
     own = np.repeat(np.arange(len(sizes)), sizes)
     out = np.zeros(len(own), POSTING)
-    out["token"] = np.frombuffer(b"".join(x.as_buffer() for x in b.column(6)), "<u4")
+    out["token"] = _joined(b.column(6)).view("<u4")
     for name, x in (("n", n), ("line", line), ("ord", order), ("row", row), ("bits", bits.view(U))):
         out[name] = x[own]
     place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out["i"] = skip[own] + place
     many = place >= (sizes - last)[own]
-    parts = parts_of(np.frombuffer(b"".join(x.as_buffer() for x in b.column(7)), np.uint8), hot)
+    parts = parts_of(_joined(b.column(7)), hot)
     out["part"][many] = 1 + mix(out["row"][many].view(U) * GAMMA + out["line"][many].astype(U)) % parts
     pack = (mix(out["token"].astype(U) + out["part"].astype(U) * GAMMA) % U(packs)).astype(np.int32)
     by = np.argsort(pack, kind="stable")
