@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanmill.sources.paths import shared_dir
@@ -79,6 +79,30 @@ def drop_clashing(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep])
 
 
+def n_words(c: Column) -> Column:
+    """Words of a text, by ASCII white space; null has none."""
+    return F.coalesce(F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], place: str, **sums: str) -> DataFrame:
+    """df with each row's place (from 1) among the rows of its keys, and running sums up to it (new name=column).
+
+    Rows are dealt by ranges of keys and order, so that a key with very many rows is numbered in many tasks; what the
+    earlier ranges of a key hold is added to each. Only keys that cross a border have such a row: at most one a range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("__part", F.spark_partition_id()), "dealt")
+    local = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumns({place: F.count(F.lit(1)).over(local), **{new: F.sum(c).over(local) for new, c in sums.items()}})
+    held = dealt.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias(place), *[F.sum(c).alias(new) for new, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    own = [place, *sums]
+    late = held.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.sum(c).over(before).alias(f"__{c}") for c in own]).filter(f"`__{place}` is not null")
+    met = [F.col("__part") == F.col("__p"), *[F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]]
+    both = out.join(F.broadcast(late), met, "left")
+    return both.select(*df.columns, *[(F.col(c) + F.coalesce(F.col(f"__{c}"), F.lit(0))).alias(c) for c in own])
+
+
 def hex_sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, with their SQL where SQL can express them."""
+"""The queries op1 to op13 and the pipeline, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, chat, decontam, htmltext, langid, linededup, minhash, quality, secrets, warc
+from spanmill.llm import bpe, chat, decontam, htmltext, langid, linededup, minhash, mixing, quality, secrets, sortmeans, trie, warc
 from spanmill.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sortmeans.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bag_minhash": op8_bag_minhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op11_sort_means": op11_sort_means,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_source_mix": op13_source_mix,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
@@ -76,4 +91,7 @@ ORACLES: dict[str, str] = {
     "op3_arc_to_warc": warc.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op9_decontaminate": decontam.ORACLE_SQL,
+    "op11_sort_means": sortmeans.ORACLE_SQL,
+    "op12_prefix_trie": trie.ORACLE_SQL,
+    "op13_source_mix": mixing.ORACLE_SQL,
 }
