@@ -343,12 +343,14 @@ def found(stored: DataFrame, classes) -> DataFrame:
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, n = None, [], 0
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             p, pack = _packed(t, packs, hot)
-            at = np.flatnonzero(np.concatenate([[True], pack[1:] != pack[:-1]])) if len(p) else np.zeros(0, int)
+            if not len(p):  # no line of these shares a word of its prefix
+                return
+            at = np.flatnonzero(np.concatenate([[True], pack[1:] != pack[:-1]]))
             planes = pa.array([_planes(p[i:j]) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(p)], strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(pack[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), planes], names=["pack", "row", "line", "postings"])
+            yield pa.RecordBatch.from_arrays([pa.array(pack[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), planes], names=["pack", "row", "line", "postings"])
 
         for b in batches:
             if not b.num_rows:
@@ -365,10 +367,10 @@ def found(stored: DataFrame, classes) -> DataFrame:
             held.append(b.filter(pa.array(~same)).select(["ord", "row", "line", "n", "bits", "skip", "prefix", "hot"]))
             n += held[-1].num_rows
             if n >= PACK:
-                yield out()
+                yield from out()
                 held, n = [], 0
         if n:
-            yield out()
+            yield from out()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list) -> Iterator[pa.RecordBatch]:

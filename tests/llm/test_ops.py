@@ -161,6 +161,33 @@ def test_line_dedup_of_a_large_group(spark, monkeypatch, hot):
     assert got == {i: ",".join(map(str, expected[i])) for i, _ in rows}
 
 
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1, "one line alone with words")],
+        [(1, "alpha beta gamma delta"), (2, "one two three four five")],
+        [(i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(60)],
+        [(i, "\n".join(f"a{i} b{j} c{i + j}" for j in range(4))) for i in range(20)],
+        [(1, "\n".join(["the same line of one document"] * 1000))],
+        [(1, ""), (2, None), (3, " \n ")],
+    ],
+)
+def test_line_dedup_without_shared_words(spark, rows):
+    expected = plain_removed(rows)
+    got = {r["doc_id"]: r["removed_lines"] for r in linededup.report(table(spark, rows)).collect()}
+    assert got == {i: ",".join(map(str, expected[i])) for i, _ in rows}
+    kept = {r["doc_id"]: r["text"] for r in linededup.dedup(table(spark, rows)).collect()}
+    assert kept == {i: t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in set(expected[i])) for i, t in rows}
+
+
+def test_line_dedup_ends_with_a_batch_of_own_words(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PACK", 7)
+    rows = [(i, "shared words at first " + " ".join(f"s{j}" for j in range(20))) for i in range(5)] + [(100 + i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(40)]
+    expected = plain_removed(rows)
+    got = {r["doc_id"]: r["removed_lines"] for r in linededup.report(table(spark, rows).coalesce(1)).collect()}
+    assert got == {i: ",".join(map(str, expected[i])) for i, _ in rows}
+
+
 def test_line_dedup_by_other_keys(spark):
     rows = [("b", "one two three four five"), ("a", "one two three four five"), (None, "six seven eight nine ten"), ("c", "Six seven eight NINE ten")]
     df = spark.createDataFrame(rows, "name string, text string").withColumns({"node": F.lit(1), "ROW": F.lit(2), "__ord": F.lit(3), "line": F.lit(4)})
