@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +44,9 @@ FILTER_EACH, FILTER_BITS, LINE_BITS = 16, 27, 18
 CLASS_BITS, WIDTH = 8, 5
 #: Postings of a list, or of a part of a hot one.
 HOT = 4096
-#: First lines whose postings are packed at a time, and packs of postings for each shuffle partition.
-PACK, PACKS, PREFIXED = 40_000, 4, 5_000
+#: First lines whose postings are packed at a time; packs of postings for each shuffle partition, at least, and postings of a pack, about;
+#: lines whose prefixes are made at a time.
+PACK, PACKS, PACK_POSTINGS, PREFIXED = 40_000, 4, 1 << 20, 5_000
 U = np.uint64
 GAMMA, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: A posting: token, part of a hot list (0: of none), words, place in the prefix; the line: order of its document, row,
@@ -330,7 +331,9 @@ FOUND = "kind int, token long, n int, i int, bits long, ord long, row long, line
 
 def found(stored: DataFrame, classes) -> DataFrame:
     spark = stored.sparkSession
-    packs, hot = PACKS * int(spark.conf.get("spark.sql.shuffle.partitions")), HOT
+    # a task holds one pack at a time: its size stays the same, however many postings there are
+    most = stored.filter("not dup and n > 3").agg(F.sum(F.expr(f"n - ({LEAST_NUM} * n + {LEAST_DEN - 1}) div {LEAST_DEN} + 1"))).head()[0] or 0
+    packs, hot = max(PACKS * int(spark.conf.get("spark.sql.shuffle.partitions")), most // PACK_POSTINGS), HOT
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
     names = [x.split()[0] for x in FOUND.split(", ")]
 
@@ -419,17 +422,17 @@ def wide(col: pa.Array) -> list[pa.Array]:
 
 
 class Marks:
-    """Marks of FILTER_EACH bits for each of the spots (row, line), at most 2^FILTER_BITS; of more spots they leave out fewer."""
+    """Marks of FILTER_EACH bits for each of the spots (by the named columns), at most 2^FILTER_BITS; of more spots they leave out fewer."""
 
-    def __init__(self, spots: DataFrame):
-        ids = spots.select(F.xxhash64("row", "line").alias("__id"))
+    def __init__(self, spots: DataFrame, *by: str):
+        ids = spots.select(F.xxhash64(*(by or ("row", "line"))).alias("__id"))
         many = ids.agg(F.approx_count_distinct("__id")).head()[0]
         self.bits = min(FILTER_BITS, max(10, (FILTER_EACH * many).bit_length()))
         table = summed(ids, "__id", self.bits, _places(self.bits), marks=True)
         self.table = spots.sparkSession.sparkContext.broadcast(table)
 
-    def picked(self, df: DataFrame, inside: bool = True) -> DataFrame:
-        """The rows of df whose row and line are among the spots, and some others; or else all the rest."""
+    def picked(self, df: DataFrame, *by: str, inside: bool = True) -> DataFrame:
+        """The rows of df whose columns (row and line, or those named) are among the spots, and some others; or else all the rest."""
         places, table = _places(self.bits), self.table
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +441,7 @@ class Marks:
                 met = (table.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
                 yield b.select(range(b.num_columns - 1)).filter(pa.array(met == inside))
 
-        return df.select("*", F.xxhash64("row", "line").alias("__id")).mapInArrow(pick, df.schema)
+        return df.select("*", F.xxhash64(*(by or ("row", "line"))).alias("__id")).mapInArrow(pick, df.schema)
 
 
 def _sides(pairs: DataFrame, few: DataFrame, *columns: str) -> DataFrame:
@@ -523,7 +526,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # the rest against all: pairs whose later line is not settled
     settled = Marks(early)
     maybe = settled.picked(live).join(early.withColumn("m", F.lit(-1)), ["row", "line"], "left")
-    told = settled.picked(live, False).withColumn("m", F.col("n")).unionByName(maybe.withColumn("m", F.coalesce("m", "n")))
+    told = settled.picked(live, inside=False).withColumn("m", F.col("n")).unionByName(maybe.withColumn("m", F.coalesce("m", "n")))
     open_ = cut(told.select("token", "n", "i", "bits", "ord", "row", "line", "m"), "open")
     # m: -1 for settled lines. The condition names both sides, so that both read one exchange
     met = open_.alias("y").join(open_.alias("x"), F.expr(f"x.token = y.token and y.m + 0 * x.m > 0 and {EARLIER} and {FITS}"))
@@ -549,35 +552,48 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
+#: Columns that dedup() adds on its way.
+OWN = ("__node", "__key", "__list", "__removed", "__many", "__row", "__first", "__id")
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the later matches removed from the texts; documents all stay, a text may become empty.
 
-    Rows equal in key and text are told apart by number: the first keeps what the others lose.
+    Only documents that lose a line are shuffled; a filter by marks lets the others pass where they are. Of rows equal in key and
+    text one keeps what the others lose, which keep blank lines alone. Columns named as OWN are dropped.
     """
-    docs = drop_clashing(docs, "__node", "__key", "__removed", "__copies")
-    lists = removed(docs, key, text).groupBy("doc", "node").agg(F.array_sort(F.collect_list(F.struct("row", "removed"))).alias("__copies"))
-    name = F.col("doc").alias("__key")
-    marked = docs.withColumn("__node", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    lists = lists.filter(F.exists("__copies", lambda c: F.size(c["removed"]) > 0)).select(name, F.col("node").alias("__list"), "__copies")
-    both = marked.join(lists, F.expr(f"__node = __list and `{key}` <=> __key"), "left")
-    return both.select(*[F.col(f"`{c}`") if c != text else _rebuilt(text).alias(text) for c in docs.columns]) if _unique(lists) else _numbered(both, docs, key, text)
-
-
-def _rebuilt(text: str, copy: Column | None = None) -> Column:
-    gone = F.get(F.col("__copies"), F.lit(0) if copy is None else copy)["removed"]
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(gone, i))
-    return F.when(F.col("__copies").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-
-
-def _unique(lists: DataFrame) -> bool:
-    return lists.filter(F.size("__copies") > 1).limit(1).count() == 0
+    docs = drop_clashing(docs, *OWN)
+    own = removed(docs, key, text)
+    # of rows equal in key and text all but the first lose every line with a word
+    lists = own.groupBy("doc", "node").agg(F.min_by("removed", "row").alias("__removed"), F.count(F.lit(1)).alias("__many"))
+    lists = cut(lists.filter("size(__removed) > 0 or __many > 1"), "lists")
+    discard(own)
+    marks = Marks(lists, "doc", "node")
+    marked = docs.withColumn("__node", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    by = (f"`{key}`", "__node")
+    passed = marks.picked(marked, *by, inside=False).drop("__node")
+    known = lists.select(F.col("doc").alias("__key"), F.col("node").alias("__list"), "__removed", "__many")
+    both = marks.picked(marked, *by).join(known, F.expr(f"__node = __list and `{key}` <=> __key"), "left").drop("__list", "__key")
+    if lists.filter("__many > 1").limit(1).count():
+        held = cut(both.withColumn("__row", F.monotonically_increasing_id()), "held")
+        first = held.filter("__many > 1").groupBy(F.col(f"`{key}`").alias("__key"), F.col("__node").alias("__list")).agg(F.min("__row").alias("__first"))
+        both = held.join(first, F.expr(f"__node = __list and `{key}` <=> __key"), "left").withColumn("__removed", F.when(F.expr("__first is null or __row = __first"), F.col("__removed")).otherwise(F.array(F.lit(-1))))
+    place = docs.columns.index(text)
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [_kept(t, set(gone)) if t is not None and gone else t for t, gone in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            columns = [pa.array(texts, pa.string()) if k == place else b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
+    rewritten = both.select(*[F.col(f"`{c}`") for c in docs.columns], "__removed").mapInArrow(trimmed(rebuild), docs.schema)
+    return passed.unionByName(rewritten)
 
-def _numbered(both: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    from pyspark.sql import Window
 
-    number = F.row_number().over(Window.partitionBy("__node", key).orderBy(F.lit(1))) - 1
-    return both.withColumn("__copy", number).select(*[F.col(f"`{c}`") if c != text else _rebuilt(text, F.col("__copy")).alias(text) for c in docs.columns])
+def _kept(text: str, gone: set) -> str:
+    """text without the lines of these numbers; -1: without all lines that have a word."""
+    cut_all = -1 in gone
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if (not x.split() if cut_all else i not in gone))
 
 
 ORACLE_SQL = r"""

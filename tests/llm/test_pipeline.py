@@ -67,7 +67,7 @@ def test_decontaminate_judges_rows_not_ids(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_twin(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, expected = queries.QUERIES[name](spark, sf).toPandas(), c.sql(queries.ORACLES[name]).df()
 
@@ -79,4 +79,4 @@ def test_sql_twin(spark, sf, name):
 
 
 def test_every_query_is_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {*[f"op{i}" for i in range(1, 11)], "pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {*[f"op{i}" for i in range(1, 14)], "pipeline"}
