@@ -21,21 +21,33 @@ def trailing_run(turns: DataFrame, role: str = "tool") -> DataFrame:
     return last.select("conv_id", F.size(F.filter("own", lambda t: t > F.coalesce("other", F.lit(-1)))).cast("long").alias("run"))
 
 
+# What a model is told after a turn.
+RESULTS_OF = "You called "
+RESULTS_HERE = ". Here are the results:\n\n```json\n"
+RESULTS_END = "\n```"
+ANALYZED = "You called the analyze_pii tool. Here are the results:\n\n```json\n"
+FORMAT_NOW = "\n```\n\nNow format your final answer as a JSON array. Each PII item should have: type, text, start, end.\nOnly output the JSON array, nothing else."
+REPLY_EXACTLY = "\n\nYour next reply must be exactly: "
+CALL_ANALYZE = "[TOOL_CALL: analyze_pii]"
+CALL_VIEW = "[TOOL_CALL: view_skill pii-detection]"
+CALL_LIST = "[TOOL_CALL: list_skills]"
+USER, SYSTEM = "[user]\n", "\n\n[system]\n"
+
+
 def follow_up(first_user: Column, tail: Column, last_system: Column) -> Column:
     """The prompt after a turn: tool results if the tail (array<struct<name,content>>) has any, else the
     first prompt with the latest system message."""
-    shown = F.array_join(F.transform(tail, lambda m: F.concat(F.lit("You called "), m["name"], F.lit(". Here are the results:\n\n```json\n"), m["content"], F.lit("\n```"))), "\n\n")
+    shown = F.array_join(F.transform(tail, lambda m: F.concat(F.lit(RESULTS_OF), m["name"], F.lit(RESULTS_HERE), m["content"], F.lit(RESULTS_END))), "\n\n")
     analysed = F.filter(tail, lambda m: m["name"] == "analyze_pii")
-    answer = F.concat(
-        F.lit("You called the analyze_pii tool. Here are the results:\n\n```json\n"),
-        F.get(analysed, F.size(analysed) - 1)["content"],
-        F.lit("\n```\n\nNow format your final answer as a JSON array. Each PII item should have: type, text, start, end.\nOnly output the JSON array, nothing else."),
-    )
+    answer = F.concat(F.lit(ANALYZED), F.get(analysed, F.size(analysed) - 1)["content"], F.lit(FORMAT_NOW))
     viewed = F.exists(tail, lambda m: m["name"] == "view_skill")
-    call = F.when(viewed, "[TOOL_CALL: analyze_pii]").otherwise("[TOOL_CALL: view_skill pii-detection]")
-    asked = F.concat(shown, F.lit("\n\nYour next reply must be exactly: "), call)
-    system = F.when(last_system.isNotNull(), F.concat(F.lit("[user]\n"), first_user, F.lit("\n\n[system]\n"), last_system)).otherwise(first_user)
-    return F.when(F.size(analysed) > 0, answer).when(F.size(tail) > 0, asked).otherwise(system)
+    asked = F.concat(shown, F.lit(REPLY_EXACTLY), F.when(viewed, CALL_ANALYZE).otherwise(CALL_VIEW))
+    return F.when(F.size(analysed) > 0, answer).when(F.size(tail) > 0, asked).otherwise(with_system(first_user, last_system))
+
+
+def with_system(first_user: Column, last_system: Column) -> Column:
+    """The first prompt, and the latest system message if there is one."""
+    return F.when(last_system.isNotNull(), F.concat(F.lit(USER), first_user, F.lit(SYSTEM), last_system)).otherwise(first_user)
 
 
 def chunks(doc: Column, skill: Column, k: int) -> Column:

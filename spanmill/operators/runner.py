@@ -40,10 +40,23 @@ def prompts(samples: DataFrame, templates: dict[str, str], models: list[str], bo
     return wide.withColumns({"model": F.col("__g.model"), "condition": F.col("__g.condition"), "prompt": F.replace(F.col("__g.template"), F.lit("{text}"), F.coalesce(body, F.lit("")))}).drop("__g")
 
 
+class Reply(str):
+    """A response that says how many seconds it took."""
+
+    seconds: float | None = None
+
+    def __new__(cls, text: str, seconds: float | None = None):
+        out = super().__new__(cls, text)
+        out.seconds = seconds
+        return out
+
+
 def generate(rows: DataFrame, make: Callable[[str], Callable[[list], list]], batch: int = 12) -> DataFrame:
     """rows with raw_response, error and elapsed: make(model) gives a function from prompts to responses.
 
-    Models are made once a partition. A batch that raises is tried again one by one; a null response is an error.
+    Models are made once a partition. A batch that raises is tried again one by one; a null response is an error. A function with a true
+    attribute takes_rows gets whole rows (as dictionaries) instead of prompts. Replies that tell their seconds are believed; else
+    the time of a batch is shared equally.
     """
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], "raw_response string, error string, elapsed double"])
 
@@ -56,25 +69,71 @@ def generate(rows: DataFrame, make: Callable[[str], Callable[[list], list]], bat
                     made[model] = make(model)
                 for at in range(0, len(part), batch):
                     some = part.iloc[at : at + batch]
+                    asked = some.to_dict("records") if getattr(made[model], "takes_rows", False) else list(some["prompt"])
                     began = time.perf_counter()
                     try:
-                        got = [(r, "" if r is not None else "no response") for r in made[model](list(some["prompt"]))]
+                        got = [(r, "" if r is not None else "no response") for r in made[model](asked)]
                     except Exception:
-                        got = [_alone(made[model], p) for p in some["prompt"]]
-                    spent = (time.perf_counter() - began) / len(some)
-                    yield some.assign(raw_response=[r for r, _ in got], error=[e for _, e in got], elapsed=spent)
+                        got = [_alone(made[model], p) for p in asked]
+                    share = (time.perf_counter() - began) / len(some)
+                    spent = [own if (own := getattr(r, "seconds", None)) is not None else share for r, _ in got]
+                    yield some.assign(raw_response=[r if r is None else str(r) for r, _ in got], error=[e for _, e in got], elapsed=spent)
 
     return rows.mapInPandas(run, schema)
 
 
-def _alone(model: Callable[[list], list], prompt: str) -> tuple:
+def _alone(model: Callable[[list], list], asked) -> tuple:
     try:
-        r = model([prompt])[0]
+        r = model([asked])[0]
         return r, "" if r is not None else "no response"
     except Exception as e:
         return None, str(e) or type(e).__name__
 
 
+def hooked(rows: DataFrame, make: Callable[[str], Callable[[list], list]], hook: Callable[..., dict]) -> DataFrame:
+    """rows (model, condition, prompt, ...) with raw_response, error, elapsed, tool, skill and turns from a callable a sample.
+
+    hook(model function, sample, prompt, flags) gives a dictionary with predictions or raw_response, error, tool_executed, skill_viewed,
+    conversation_turns; flags tell with_skills, with_docs and with_tools. What it raises is the row's error.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in HOOKED]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "raw_response string, error string, elapsed double, tool boolean, skill boolean, turns long"])
+
+    def one(model: Callable[[list], list], row: dict) -> dict:
+        try:
+            return hook(model, row, row["prompt"], condition_flags(row["condition"]))
+        except Exception as e:
+            return {"error": str(e) or type(e).__name__, "conversation_turns": 0}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict = {}
+        for frame in frames:
+            for model, part in frame.groupby("model", sort=False):
+                if model not in made:
+                    made.clear()
+                    made[model] = make(model)
+                got, spent = [], []
+                for row in part.to_dict("records"):
+                    began = time.perf_counter()
+                    got.append(one(made[model], row))
+                    spent.append(float(got[-1].get("elapsed_seconds", time.perf_counter() - began)))
+                raw = [json.dumps(g["predictions"]) if g.get("predictions") is not None else g.get("raw_response") for g in got]
+                yield part[[f.name for f in kept]].assign(
+                    raw_response=raw, error=[g.get("error") or "" for g in got], elapsed=spent,
+                    tool=[bool(g.get("tool_executed")) for g in got], skill=[bool(g.get("skill_viewed")) for g in got], turns=[int(g.get("conversation_turns", 1)) for g in got],
+                )
+
+    return rows.mapInPandas(run, schema)
+
+
+HOOKED = ("raw_response", "error", "elapsed", "tool", "skill", "turns")
+
+
+def condition_flags(condition: str) -> dict[str, bool]:
+    """What a condition offers; the baselines offer nothing."""
+    return {"with_skills": condition == "with_skills", "with_docs": condition in ("with_docs", "with_skills"), "with_tools": condition in ("with_tools", "with_skills")}
+
+
 def answered(rows: DataFrame) -> DataFrame:
     """rows with preds read from raw_response."""
     items = F.from_json(F.to_json(text.answer(F.coalesce("raw_response", F.lit("")))), "array<struct<type:string,text:string,start:string,end:string>>")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,3 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="spanmill-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/spanmill-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "t") -> DataFrame:
+    """df written to a new shared folder and read back: its lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
