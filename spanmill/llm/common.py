@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -154,3 +155,43 @@ def summed(df: DataFrame, column: str, bits: int, places, marks: bool = False) -
     for i, x in df.select(column).mapInArrow(count, schema).repartition(SLICES // 4, "slice").mapInArrow(add, schema).collect():
         out[i * part : (i + 1) * part] += unpack(x)
     return np.packbits(out) if marks else np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
+
+
+#: Bits of a filter by marks for each of its spots, and at most (as a power of two).
+FILTER_EACH, FILTER_BITS = 16, 27
+U = np.uint64
+MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
+
+
+def _spots(ids: np.ndarray, bits: int) -> np.ndarray:
+    x = ids.view(U)
+    x = (x ^ (x >> U(30))) * MIX1  # splitmix64 (public domain)
+    x = (x ^ (x >> U(27))) * MIX2
+    return ((x ^ (x >> U(31))) & U((1 << bits) - 1)).astype(np.int64)
+
+
+class Marks:
+    """Marks of FILTER_EACH bits for each of the spots (by the named columns), at most 2^FILTER_BITS; of more spots they leave out fewer."""
+
+    def __init__(self, spots: DataFrame, *by: str):
+        ids = spots.select(F.xxhash64(*(by or ("row", "line"))).alias("__id"))
+        many = ids.agg(F.approx_count_distinct("__id")).head()[0]
+        bits = self.bits = min(FILTER_BITS, max(10, (FILTER_EACH * many).bit_length()))
+        table = summed(ids, "__id", bits, lambda c: _spots(c.to_numpy(zero_copy_only=False), bits), marks=True)
+        self.table = spots.sparkSession.sparkContext.broadcast(table)
+
+    def maybe(self, *by: Column) -> Column:
+        """Whether a row may be among the spots. Only a hash of the row goes to the Python worker, not its other columns."""
+        bits, table = self.bits, self.table
+
+        @F.pandas_udf("boolean")
+        def met(ids: pd.Series) -> pd.Series:
+            p = _spots(ids.to_numpy(np.int64), bits)
+            return pd.Series((table.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool))
+
+        return met(F.xxhash64(*by))
+
+    def picked(self, df: DataFrame, inside: bool = True) -> DataFrame:
+        """The rows of df whose row and line are among the spots, and some others; or else all the rest."""
+        met = self.maybe(F.col("row"), F.col("line"))
+        return df.filter(met if inside else ~met)

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.llm.common import cut, discard, drop_clashing, summed, trimmed
+from spanmill.llm.common import Marks, cut, discard, drop_clashing, summed, trimmed
 
 #: Least similarity, as a fraction; size of the table of word counts, as a power of two.
 LEAST_NUM, LEAST_DEN, BITS = 4, 5, 20
-#: Bits of the filter that picks lines to verify, for each of them, and at most; lines sorted at a time, as a power of two.
-FILTER_EACH, FILTER_BITS, LINE_BITS = 16, 27, 18
+#: Lines sorted at a time, as a power of two.
+LINE_BITS = 18
 #: Bits of the class of a token's count; bytes of its hash that are stored.
 CLASS_BITS, WIDTH = 8, 5
 #: Postings of a list, or of a part of a hot one.
@@ -406,13 +406,6 @@ def found(stored: DataFrame, classes) -> DataFrame:
     return dealt.repartition("pack").sortWithinPartitions("pack").mapInArrow(trimmed(match), FOUND)
 
 
-def _places(bits: int):
-    def of(ids: pa.Array) -> np.ndarray:
-        return (mix(ids.to_numpy(zero_copy_only=False).view(U)) & U((1 << bits) - 1)).astype(np.int64)
-
-    return of
-
-
 def wide(col: pa.Array) -> list[pa.Array]:
     """Number of tokens, and a bitmap of 256 bits in four numbers, of lines given by their tokens."""
     n, tokens = _loaded(col)
@@ -421,29 +414,6 @@ def wide(col: pa.Array) -> list[pa.Array]:
     return [pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]]
 
 
-class Marks:
-    """Marks of FILTER_EACH bits for each of the spots (by the named columns), at most 2^FILTER_BITS; of more spots they leave out fewer."""
-
-    def __init__(self, spots: DataFrame, *by: str):
-        ids = spots.select(F.xxhash64(*(by or ("row", "line"))).alias("__id"))
-        many = ids.agg(F.approx_count_distinct("__id")).head()[0]
-        self.bits = min(FILTER_BITS, max(10, (FILTER_EACH * many).bit_length()))
-        table = summed(ids, "__id", self.bits, _places(self.bits), marks=True)
-        self.table = spots.sparkSession.sparkContext.broadcast(table)
-
-    def picked(self, df: DataFrame, *by: str, inside: bool = True) -> DataFrame:
-        """The rows of df whose columns (row and line, or those named) are among the spots, and some others; or else all the rest."""
-        places, table = _places(self.bits), self.table
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                p = places(b.column(b.num_columns - 1))
-                met = (table.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
-                yield b.select(range(b.num_columns - 1)).filter(pa.array(met == inside))
-
-        return df.select("*", F.xxhash64(*(by or ("row", "line"))).alias("__id")).mapInArrow(pick, df.schema)
-
-
 def _sides(pairs: DataFrame, few: DataFrame, *columns: str) -> DataFrame:
     """pairs with the columns of few for both lines, those of x as x_*."""
     x = pairs.select(F.col("x_row").alias("row"), F.col("x_line").alias("line"))
@@ -553,7 +523,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 #: Columns that dedup() adds on its way.
-OWN = ("__node", "__key", "__list", "__removed", "__many", "__row", "__first", "__id")
+OWN = ("__node", "__key", "__list", "__gone", "__many", "__row", "__first")
+#: A character of a word.
+WORDY = r"(?U)[^\s\x1c-\x1f]"
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -565,35 +537,38 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     docs = drop_clashing(docs, *OWN)
     own = removed(docs, key, text)
     # of rows equal in key and text all but the first lose every line with a word
-    lists = own.groupBy("doc", "node").agg(F.min_by("removed", "row").alias("__removed"), F.count(F.lit(1)).alias("__many"))
-    lists = cut(lists.filter("size(__removed) > 0 or __many > 1"), "lists")
+    lists = own.groupBy("doc", "node").agg(F.min_by("removed", "row").alias("removed"), F.count(F.lit(1)).alias("many")).filter("size(removed) > 0 or many > 1")
+    lists = cut(lists.select("doc", "node", "many", "removed").mapInArrow(_gone, f"doc {own.schema['doc'].dataType.simpleString()}, node string, many long, gone array<boolean>"), "lists")
     discard(own)
     marks = Marks(lists, "doc", "node")
     marked = docs.withColumn("__node", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
-    by = (f"`{key}`", "__node")
-    passed = marks.picked(marked, *by, inside=False).drop("__node")
-    known = lists.select(F.col("doc").alias("__key"), F.col("node").alias("__list"), "__removed", "__many")
-    both = marks.picked(marked, *by).join(known, F.expr(f"__node = __list and `{key}` <=> __key"), "left").drop("__list", "__key")
-    if lists.filter("__many > 1").limit(1).count():
+    met = marks.maybe(F.col(f"`{key}`"), F.col("__node"))
+    known = lists.select(F.col("doc").alias("__key"), F.col("node").alias("__list"), F.col("gone").alias("__gone"), F.col("many").alias("__many"))
+    both = marked.filter(met).join(known, F.expr(f"__node = __list and `{key}` <=> __key"), "left").drop("__list", "__key")
+    later = F.lit(False)
+    if lists.filter("many > 1").limit(1).count():
         held = cut(both.withColumn("__row", F.monotonically_increasing_id()), "held")
         first = held.filter("__many > 1").groupBy(F.col(f"`{key}`").alias("__key"), F.col("__node").alias("__list")).agg(F.min("__row").alias("__first"))
-        both = held.join(first, F.expr(f"__node = __list and `{key}` <=> __key"), "left").withColumn("__removed", F.when(F.expr("__first is null or __row = __first"), F.col("__removed")).otherwise(F.array(F.lit(-1))))
-    place = docs.columns.index(text)
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [_kept(t, set(gone)) if t is not None and gone else t for t, gone in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            columns = [pa.array(texts, pa.string()) if k == place else b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
-
-    rewritten = both.select(*[F.col(f"`{c}`") for c in docs.columns], "__removed").mapInArrow(trimmed(rebuild), docs.schema)
-    return passed.unionByName(rewritten)
-
-
-def _kept(text: str, gone: set) -> str:
-    """text without the lines of these numbers; -1: without all lines that have a word."""
-    cut_all = -1 in gone
-    return "\n".join(x for i, x in enumerate(text.split("\n")) if (not x.split() if cut_all else i not in gone))
+        both = held.join(first, F.expr(f"__node = __list and `{key}` <=> __key"), "left")
+        later = F.coalesce(F.col("__row") > F.col("__first"), F.lit(False))
+    lines = F.split(F.col(f"`{text}`"), "\n", -1)
+    left = F.when(later, F.filter(lines, lambda x: ~x.rlike(WORDY))).otherwise(F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col("__gone"), i), F.lit(False))))
+    new = F.when(F.col("__many").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
+    rewritten = both.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return marked.filter(~met).drop("__node").unionByName(rewritten)
+
+
+def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, node and many with the numbers of removed lines as an array that tells of each line whether it goes."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
+            flags = []
+            for numbers in b.column(3).to_pylist():
+                f = np.zeros(max(numbers, default=-1) + 1, bool)
+                f[numbers] = True
+                flags.append(f.tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(flags, pa.list_(pa.bool_()))], names=["doc", "node", "many", "gone"])
 
 
 ORACLE_SQL = r"""

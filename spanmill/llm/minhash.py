@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import cut, discard, drop_clashing, summed, trimmed
+from spanmill.llm.common import Marks, cut, discard, drop_clashing, summed, trimmed
 
 #: Words of a shingle; least similarity; bands and places of a band (a pair of similarity 0.8 is missed with 7e-5).
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
@@ -261,7 +261,8 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
     every = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     member = cut(every.join(shared, "bucket", "left_semi").withColumn("label", F.col("node")), "members")
-    wanted = member.select("node").distinct()
+    wanted = cut(member.select("node").distinct(), "wanted")
+    few = Marks(wanted, "node")  # texts that have no partner stay where they are
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -270,7 +271,7 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingles(t, k)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "bag"])
 
     texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("node"), F.col(text).alias("t"))
-    bags = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(trimmed(bag), "node string, bag binary"), "bags")
+    bags = cut(texts.filter(few.maybe(F.col("node"))).join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(trimmed(bag), "node string, bag binary"), "bags")
     for turn in range(PIVOTS):
         pairs = cut(pivot_pairs(member, turn), "pivots")
         member = relabelled(member, cut(verified(pairs, bags, least), "links"))
@@ -282,7 +283,7 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
     label = member.select("node", "label").distinct()
     alone = F.when(F.size("bands") > 0, F.coalesce("label", "node"))
     out = cut(rows.join(label, "node", "left").select(*others, "node", alone.alias("label")), "classes")
-    discard(rows, member, bags, own, pairs)
+    discard(rows, member, bags, own, pairs, wanted)
     return out
 
 
@@ -295,13 +296,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near-duplicates: of each class the row of smallest doc_id, of equal rows one."""
-    docs = drop_clashing(docs, "__digest", "__node", "__id", "__any", "__alone")
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    """The rows of docs without near-duplicates: of each class the row of smallest doc_id, of equal rows one.
+
+    Only rows that may go are shuffled; a filter by marks lets the others pass where they are. Columns named __node, __id, __list, __stays and __alone are dropped.
+    """
+    docs = drop_clashing(docs, "__node", "__id", "__list", "__stays", "__alone")
     rows = classes(docs.select("doc_id", "text"))
-    first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("m"))
-    one = first.select(F.col("m.node").alias("__node"), F.col("m.doc_id").alias("__id"), F.lit(False).alias("__any"))
-    blank = rows.filter("label is null").select(F.col("node").alias("__node")).distinct().select("__node", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("__id"), F.lit(True).alias("__any"))
-    met = docs.withColumn("__digest", digest).join(one.unionByName(blank), F.expr("__digest = __node and (__any or doc_id <=> __id)"))
-    alone = F.when(F.col("__any"), F.monotonically_increasing_id())  # texts without words all stay
-    return met.withColumn("__alone", alone).dropDuplicates(["__digest", "__alone"]).select(*docs.columns)
+    first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("m")).select(F.col("label").alias("l"), "m")
+    kinds = rows.filter("label is not null").groupBy("label", "doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    told = kinds.join(first, F.col("label") == F.col("l")).select("doc_id", "node", "n", F.struct("doc_id", "node").eqNullSafe(F.col("m")).alias("stays"))
+    touched = cut(told.filter("n > 1 or not stays"), "touched")  # what goes, and rows that are there more than once
+    marks = Marks(touched, "doc_id", "node")
+    marked = docs.withColumn("__node", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    met = marks.maybe(F.col("doc_id"), F.col("__node"))
+    known = touched.select(F.col("doc_id").alias("__id"), F.col("node").alias("__list"), F.col("stays").alias("__stays"))
+    both = marked.filter(met).join(known, F.expr("__node = __list and doc_id <=> __id"), "left").filter("coalesce(__stays, true)")
+    alone = F.when(F.col("__stays").isNull(), F.monotonically_increasing_id())  # met by chance: it is no repeated row
+    left = both.withColumn("__alone", alone).dropDuplicates(["__node", "__id", "__alone"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.filter(~met).select(*columns).unionByName(left.select(*columns))
