@@ -234,6 +234,10 @@ def aligned(variant: str = "full") -> dict[str, str | None]:
     return out
 
 
+#: What the full map has beside the base table, or in place of its entries.
+LATER = {k: t for k, t in aligned().items() if k not in BASE or BASE[k] != t}
+
+
 def rules(variant: str = "full") -> list[tuple[str, str]]:
     return [(p, t) for p, t, bridge in FALLBACK if bridge is None or bridge in VARIANTS[variant]]
 

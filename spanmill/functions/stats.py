@@ -106,6 +106,23 @@ def with_t(df: DataFrame, n: str = "n", t: str | None = None, level: float = 0.9
     return df.mapInPandas(run, schema)
 
 
+def appendix(grouped, delta: str = "delta", by: tuple = ("model", "comparison")) -> DataFrame:
+    """Of a grouped frame of paired differences: the groups with t, p, d (population) and pct above 0, and each as a line of a LaTeX table.
+
+    Without variance t, p and d are null and show as "-".
+    """
+    c = F.col(delta)
+    agg = grouped.agg(F.count(c).alias("n"), t_statistic(c).alias("t"), cohens_d_population(c, None).alias("d"), share_positive(c).alias("pct"))
+    told = with_t(agg, "n", "t")
+    p = F.when(F.col("p") < 1e-4, "<0.0001").otherwise(F.round("p", 4).cast("string"))
+    shown = lambda form, x: F.coalesce(F.concat(F.lit("$"), F.format_string(form, x), F.lit("$")), F.lit("-"))
+    name = F.replace(F.col(by[0]), F.lit("_"), F.lit("\\_"))
+    p_tex = F.when(F.col("p").isNull(), "-").when(F.col("p") < 1e-4, "$<0.0001$").otherwise(F.concat(F.lit("$"), F.format_string("%.3f", "p"), F.lit("$")))
+    num = {x: F.when(F.col(x).isNotNull(), F.col(x)) for x in ("t", "d")}
+    line = F.concat(name, F.lit(" & "), F.col(by[1]), F.lit(" & "), F.when(num["t"].isNull(), "-").otherwise(shown("%+.2f", num["t"])), F.lit(" & "), p_tex, F.lit(" & "), F.when(num["d"].isNull(), "-").otherwise(shown("%+.3f", num["d"])), F.lit(" & "), F.format_string("%.1f", "pct"), F.lit("\\% \\\\"))
+    return told.select(*by, F.round("t", 2).alias("t"), p.alias("p"), F.round("d", 3).alias("d"), F.round("pct", 1).alias("pct"), line.alias("line"))
+
+
 def confidence(df: DataFrame, by: list[str], value: str, margin_wanted: float = 0.02, level: float = 0.95) -> DataFrame:
     """Mean with its t interval, and two readings of how many samples a wanted margin needs.
 

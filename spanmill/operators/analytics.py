@@ -148,3 +148,12 @@ def tool_reliability(records: DataFrame) -> DataFrame:
     turns = F.when(F.coalesce("turns", F.lit(0)) == 0, 1).otherwise(F.col("turns"))
     base = records.filter(F.col("condition").isin("with_tools", "with_skills")).groupBy(*GROUP)
     return base.agg(F.concat_ws("/", fired, F.count("*")).alias("fired"), (100 * fired / F.count("*")).alias("pct"), F.avg(turns).alias("mean_turns"))
+
+
+def date_labels(records: DataFrame, conditions: tuple = ("with_tools", "with_skills"), key: str = "key") -> DataFrame:
+    """One row: gold labels DATE and DATE_TIME of each sample once, and results, predicted spans and spans a result of conditions."""
+    gold = records.groupBy(key).agg(F.first("gold").alias("gold")).select(F.explode("gold").alias("g")).select(labels.key(F.col("g.type")).alias("k"))
+    seen = gold.agg(F.count_if(F.col("k") == "DATE").alias("gold_dates"), F.count_if(F.col("k") == "DATE_TIME").alias("gold_date_times"))
+    own = records.filter(F.col("condition").isin(*conditions)).agg(F.count(F.lit(1)).alias("n_results"), F.coalesce(F.sum(F.size("preds")), F.lit(0)).alias("n_spans"))
+    both = seen.crossJoin(F.broadcast(own))  # a row each
+    return both.withColumn("spans_a_result", F.round(F.try_divide("n_spans", "n_results"), 6))

@@ -177,18 +177,60 @@ def detector_run(samples: DataFrame, body: str = "text") -> DataFrame:
     return samples.withColumn("preds", found)
 
 
+def detector_records(scored: DataFrame) -> DataFrame:
+    """A detector run (id, source, preds, gold, f1) with the columns of a run's records."""
+    told = {"sample_id": F.col("id").cast("string"), "model": F.lit("detectors"), "condition": F.lit("standalone"), "error": F.lit(""), "tool": F.lit(True), "skill": F.lit(False), "turns": F.lit(0).cast("long"), "elapsed": F.lit(0.0)}
+    return scored.withColumns(told)
+
+
 def main(argv: list[str] | None = None) -> None:
-    """Detector run over a samples file: --samples PATH --out PATH."""
+    """Scores samples by the detectors, or runs a grid of models over them.
+
+    Detectors: --samples PATH --out PATH [--predictions]. Grid: --config PATH --make MODULE:FUNCTION --samples PATH --out PATH
+    [--conditions A,B] [--models A,B] [--n N] [--again]; what the log under --out names is not run again, unless --again is given.
+    """
+    import importlib
+
     from spanmill.sources import results
 
-    p = argparse.ArgumentParser(description=main.__doc__)
+    p = argparse.ArgumentParser(description=main.__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("--samples", required=True)
     p.add_argument("--out", required=True)
+    p.add_argument("--predictions", action="store_true", help="write the detectors' spans as a run too")
+    p.add_argument("--config", help="a file, or a folder with layered configuration")
+    p.add_argument("--make", help="MODULE:FUNCTION that makes a model from its name")
+    p.add_argument("--conditions", help="those of the configuration to run")
+    p.add_argument("--models", help="those of the configuration to run")
+    p.add_argument("--n", type=int, help="samples, by a fixed shuffle")
+    p.add_argument("--again", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     read = results.read_samples(spark, a.samples).withColumnRenamed("ground_truth", "gold")
-    scored = match.scored(detector_run(read), (("span", "full", "f1+"),))
-    scored.select("id", "source", "n_pred", "n_gold", "f1").write.mode("overwrite").parquet(a.out)
+    if a.n is not None:
+        read = corpus.capped(read.withColumn("__o", corpus.order_of("id", 42)), a.n, ["__o", "id"]).drop("__o")
+    if a.config is None:
+        found = detector_run(read)
+        scored = match.scored(found, (("span", "full", "f1+"),))
+        scored.select("id", "source", "n_pred", "n_gold", "f1").write.mode("overwrite").parquet(a.out)
+        if a.predictions:
+            results.write_run(detector_records(scored.withColumns({"p": F.col("p_f1"), "r": F.col("r_f1")})), a.out.rstrip("/") + "_run", "detector", "v1")
+        return
+    from pathlib import Path
+
+    from spanmill.operators import config, grid
+
+    held = config.from_folder(a.config) if Path(a.config).is_dir() else config.known(config.read(a.config))
+    own = set(a.conditions.split(",")) if a.conditions else set(held.templates)
+    if odd := own - set(held.templates):
+        p.error(f"no template for {', '.join(sorted(odd))}")
+    models = [m for m in held.models if not a.models or m in a.models.split(",")]
+    if not a.make or ":" not in a.make:
+        p.error("--make MODULE:FUNCTION is needed with --config")
+    module, name = a.make.split(":", 1)
+    make = getattr(importlib.import_module(module), name)
+    run = grid.Grid(Config(models, {c: t for c, t in held.templates.items() if c in own}, held.batch, held.mode, held.how), make, a.out)
+    run.run(read, resume=not a.again)
+    run.summary(spark).orderBy("model", "condition").show(1000, truncate=False)
 
 
 if __name__ == "__main__":

@@ -8,6 +8,7 @@ from spanmill.functions import labels, spans, text
 from spanmill.operators import corpus
 from spanmill.plans.fixtures import CARDS_SQL, RECORDS_SQL, cards, records, sql_key, sql_map, table
 from spanmill.plans.registry import query, r6
+from spanmill.sources import results
 
 
 def docs(spark, d):
@@ -120,32 +121,65 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", spans.word_count(F.col("text")).alias("n_words"))
 
 
-LABELS = """labels_in AS (SELECT unnest(['Email', 'phone-number', 'first name', 'DATE', 'Street Address', 'gender', 'ip v4', 'IPV4 address', 'zip+4', 'date of visit',
-  'customer id', 'social_sec_no', 'mobile', 'billing address', 'driver license no', 'passport no', 'contact email', '', NULL, 'weird-thing', 'title', 'birth place', 'telephone no']) AS label)"""
+WORDS = [
+    "Email", "phone-number", "first name", "DATE", "Street Address", "gender", "ip v4", "IPV4 address", "zip+4", "date of visit", "customer id", "social_sec_no", "mobile",
+    "billing address", "driver license no", "passport no", "contact email", "", None, "weird-thing", "title", "birth place", "telephone no",
+]
+_WORDS_SQL = ", ".join("NULL" if w is None else f"'{w}'" for w in WORDS)
+LABELS = f"""labels_in AS (SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN upper(w) WHEN 2 THEN lower(w) ELSE w END AS label
+  FROM (SELECT doc_id, [{_WORDS_SQL}][(doc_id % {len(WORDS)}) + 1] AS w FROM documents))"""
 
 
-def label_rows(spark):
-    words = "Email|phone-number|first name|DATE|Street Address|gender|ip v4|IPV4 address|zip+4|date of visit|customer id|social_sec_no|mobile|billing address|driver license no|passport no|contact email|"
-    more = ["weird-thing", "title", "birth place", "telephone no"]
-    return spark.createDataFrame([(w,) for w in [*words.split("|"), None, *more]], "label string")
+def label_rows(spark, d):
+    """A label for each document, in one of three spellings."""
+    w = F.get(F.array(*map(F.lit, WORDS)), (F.col("doc_id") % len(WORDS)).cast("int"))
+    spelt = F.when(F.col("doc_id") % 3 == 1, F.upper(w)).when(F.col("doc_id") % 3 == 2, F.lower(w)).otherwise(w)
+    return docs(spark, d).select("doc_id", spelt.alias("label"))
 
 
-@query("h4_label_key", f"WITH {LABELS} SELECT label, {sql_key('label')} AS label_key FROM labels_in")
+@query("h4_label_key", f"WITH {LABELS} SELECT doc_id, label, {sql_key('label')} AS label_key FROM labels_in")
 def _(spark, d):
-    return label_rows(spark).select("label", labels.key(F.col("label")).alias("label_key"))
+    return label_rows(spark, d).select("doc_id", "label", labels.key(F.col("label")).alias("label_key"))
 
 
 for _name, _how in (("h5_strict_map", "strict"), ("h6_lenient_map", "before"), ("h7_symmetric_map", "full"), ("h8_map_no_address", "no_address"), ("h8_map_no_date", "no_date"), ("h8_map_neither", "neither")):
 
-    @query(_name, f"WITH {LABELS}, k AS (SELECT label, {sql_key('label')} AS k FROM labels_in) SELECT label, {sql_map('k', _how)} AS mapped FROM k")
+    @query(_name, f"WITH {LABELS}, k AS (SELECT doc_id, label, {sql_key('label')} AS k FROM labels_in) SELECT doc_id, label, {sql_map('k', _how)} AS mapped FROM k")
     def _(spark, d, how=_how):
-        return label_rows(spark).select("label", labels.mapped(F.col("label"), how).alias("mapped"))
+        return label_rows(spark, d).select("doc_id", "label", labels.mapped(F.col("label"), how).alias("mapped"))
 
 
-@query("g5_map_union", "SELECT 'GENDER' AS k, 'GENDER' AS target UNION ALL SELECT 'DATE', 'DATE_TIME' UNION ALL SELECT 'NAME', 'PERSON'")
+def _map_values(held: dict) -> str:
+    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({cell(k)}, {cell(t)})" for k, t in held.items())
+
+
+@query(
+    "g5_map_union",
+    f"""WITH {RECORDS_SQL}, base(k, target) AS (VALUES {_map_values(labels.BASE)}), later(k, target) AS (VALUES {_map_values(labels.LATER)}), both_maps AS (FROM later UNION ALL SELECT * FROM base WHERE k NOT IN (SELECT k FROM later)),
+seen AS (SELECT {sql_key('p.type')} AS k, count(*) AS n FROM (SELECT unnest(preds) AS p FROM records) GROUP BY 1) SELECT k, target, n FROM seen LEFT JOIN both_maps USING (k)""",
+)
 def _(spark, d):
+    """The union of the base table and later ones, which win, looked up for every predicted label."""
     held = labels.aligned()
-    return spark.createDataFrame([(k, held[k]) for k in ("GENDER", "DATE", "NAME")], "k string, target string")
+    union = F.create_map(*[F.lit(x) for k, t in held.items() for x in (k, t)])
+    seen = records(spark, d).select(F.explode("preds").alias("p")).groupBy(labels.key(F.col("p.type")).alias("k")).agg(F.count("*").alias("n"))
+    return seen.select("k", F.try_element_at(union, F.col("k")).alias("target"), "n")
+
+
+@query("a8_label_map", f"WITH {CORPUS_SQL}, base(k, target) AS (VALUES {_map_values(labels.BASE)}), seen AS (SELECT {sql_key('t')} AS k, count(*) AS n FROM (SELECT unnest(types) AS t FROM corpus) GROUP BY 1) SELECT k, target, base.k IS NOT NULL AS known, n FROM seen LEFT JOIN base USING (k)")
+def _(spark, d):
+    """The label map as it is read from its file, joined to the labels of the corpus."""
+    import json
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+        f.write(json.dumps(labels.BASE))
+        f.flush()
+        held = results.read_labels(f.name)
+    told = spark.createDataFrame(list(held.items()), "k string, target string").withColumn("known", F.lit(True))
+    seen = typed(spark, d).select(F.explode("types").alias("t")).groupBy(labels.key(F.col("t")).alias("k")).agg(F.count("*").alias("n"))
+    return seen.join(F.broadcast(told), "k", "left").withColumn("known", F.coalesce("known", F.lit(False)))  # as many rows as the map has
 
 
 # ---- sampling, joins and set operations ----

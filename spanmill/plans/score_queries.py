@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import labels, spans, stats
 from spanmill.operators import analytics as A
-from spanmill.operators import match
-from spanmill.plans.fixtures import CONDITIONS, IOU_SQL, RECORDS_SQL, records, scored_sql, sql_key, sql_map, sql_norm
+from spanmill.operators import match, runner
+from spanmill.plans.fixtures import CONDITIONS, IOU_SQL, RECORDS_SQL, records, scored_sql, sql_key, sql_map, sql_norm, table
 from spanmill.plans.registry import query, r6
 
 ALL = {"ft": ("type", "full"), "fs": ("span", "full"), "fx": ("strict", "full"), "bt": ("type", "before"), "bs": ("span", "before")}
@@ -109,21 +109,25 @@ def _(spark, d):
     return match.true_funnel(records(spark, d)).groupBy("condition").agg(F.sum("gold_spans").alias("gold_spans"), *[F.sum(s).alias(s) for s in STAGES])
 
 
-OFFSETS = "raw_in AS (SELECT unnest(['12', ' 7 ', '-3', '+4', '<REDACTED>', NULL, '', '1.5', '--5', '0']) AS raw)"
+OFFSETS = """raw_in AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN n_chars::VARCHAR WHEN 1 THEN ' ' || n_chars || ' ' WHEN 2 THEN '-' || n_chars WHEN 3 THEN '+' || n_chars WHEN 4 THEN '<REDACTED>'
+  WHEN 5 THEN NULL WHEN 6 THEN '' WHEN 7 THEN n_chars || '.5' WHEN 8 THEN '--' || n_chars ELSE '0' END AS raw FROM documents)"""
 
 
-def offset_rows(spark):
-    return spark.createDataFrame([(x,) for x in ["12", " 7 ", "-3", "+4", "<REDACTED>", None, "", "1.5", "--5", "0"]], "raw string")
+def offset_rows(spark, d):
+    """An offset in one of ten spellings for each document."""
+    k, n = F.col("doc_id") % 10, F.col("n_chars").cast("string")
+    kinds = [n, F.concat(F.lit(" "), n, F.lit(" ")), F.concat(F.lit("-"), n), F.concat(F.lit("+"), n), F.lit("<REDACTED>"), F.lit(None).cast("string"), F.lit(""), F.concat(n, F.lit(".5")), F.concat(F.lit("--"), n), F.lit("0")]
+    return table(spark, d, "documents").select("doc_id", F.get(F.array(*kinds), k.cast("int")).alias("raw"))
 
 
-@query("h1_offset", f"WITH {OFFSETS} SELECT raw, CASE WHEN regexp_full_match(trim(raw), '[+-]?[0-9]+') THEN trim(raw)::INT ELSE 0 END AS value FROM raw_in")
+@query("h1_offset", f"WITH {OFFSETS} SELECT doc_id, raw, CASE WHEN regexp_full_match(trim(raw), '[+-]?[0-9]+') THEN trim(raw)::INT ELSE 0 END AS value FROM raw_in")
 def _(spark, d):
-    return offset_rows(spark).select("raw", spans.offset(F.col("raw")).alias("value"))
+    return offset_rows(spark, d).select("doc_id", "raw", spans.offset(F.col("raw")).alias("value"))
 
 
-@query("h1b_offset_digits", f"WITH {OFFSETS} SELECT raw, CASE WHEN regexp_full_match(raw, '-*[0-9]+') THEN coalesce(try_cast(raw AS INT), 0) ELSE 0 END AS value FROM raw_in")
+@query("h1b_offset_digits", f"WITH {OFFSETS} SELECT doc_id, raw, CASE WHEN regexp_full_match(raw, '-*[0-9]+') THEN coalesce(try_cast(raw AS INT), 0) ELSE 0 END AS value FROM raw_in")
 def _(spark, d):
-    return offset_rows(spark).select("raw", spans.offset_digits(F.col("raw")).alias("value"))
+    return offset_rows(spark, d).select("doc_id", "raw", spans.offset_digits(F.col("raw")).alias("value"))
 
 
 @query("h2_span_iou", sql(f"SELECT key, model, condition, round({IOU_SQL.format(p='preds[1]', g='gold[1]')}, 6) AS iou FROM records WHERE len(preds) > 0"))
@@ -170,11 +174,12 @@ def _(spark, d):
     return s.select("key", "model", "condition", r6("fs").alias("f1"), F.coalesce("elapsed", F.lit(0.0)).alias("elapsed"), F.coalesce("turns", F.lit(1).cast("long")).alias("turns"), F.col("tool").cast("int").alias("tool"), F.col("skill").cast("int").alias("skill"), F.array_join(F.array_sort(F.array_distinct("ts")), ", ").alias("pii_types"))
 
 
-@query("b20_condition_flags", "SELECT * FROM (VALUES ('zero_shot', false, false, false), ('with_docs', false, true, false), ('with_tools', false, false, true), ('with_skills', true, true, true), ('few_shot', false, false, false), ('cot', false, false, false)) t(condition, skills, docs, tools)")
+@query("b20_condition_flags", sql("SELECT condition, condition = 'with_skills' AS skills, condition IN ('with_docs', 'with_skills') AS docs, condition IN ('with_tools', 'with_skills') AS tools, count(*) AS n FROM records GROUP BY condition"))
 def _(spark, d):
-    c = F.col("condition")
-    skills = c == "with_skills"
-    return spark.createDataFrame([(x,) for x in CONDITIONS], "condition string").select(c, skills.alias("skills"), (skills | (c == "with_docs")).alias("docs"), (skills | (c == "with_tools")).alias("tools"))
+    flags = {c: runner.condition_flags(c) for c in CONDITIONS}
+    seen = records(spark, d).groupBy("condition").agg(F.count("*").alias("n"))
+    own = lambda name: F.create_map(*[F.lit(x) for c, f in flags.items() for x in (c, f[name])])[F.col("condition")]
+    return seen.select("condition", own("with_skills").alias("skills"), own("with_docs").alias("docs"), own("with_tools").alias("tools"), "n")
 
 
 # ---- analytics ----
@@ -458,10 +463,17 @@ def _(spark, d):
     return per.groupBy("comparison").agg(r6(F.min(F.abs("m"))).alias("low"), r6(F.max(F.abs("m"))).alias("high"), r6(F.min(F.abs("e"))).alias("d_low"), r6(F.max(F.abs("e"))).alias("d_high"))
 
 
-@query("i10_appendix_rows", deltas_sql("SELECT model || ' & ' || comparison || ' & ' || printf('%.3f', avg(delta)) || ' & ' || printf('%.1f', 100.0 * count(*) FILTER (delta > 0) / count(*)) AS line FROM deltas GROUP BY model, comparison"))
+_APPENDIX = "SELECT model, comparison, round(avg(delta) / nullif(stddev_samp(delta) / sqrt(count(*)), 0), 2) AS t, round(avg(delta) / CASE WHEN stddev_pop(delta) = 0 THEN NULL ELSE stddev_pop(delta) END, 3) AS d, round(100.0 * count(*) FILTER (delta > 0) / count(*), 1) AS pct FROM deltas GROUP BY model, comparison"
+
+
+@query("i10_appendix_rows", deltas_sql(_APPENDIX))
+def _(spark, d):
+    return stats.appendix(deltas(spark, d)).drop("p", "line")
+
+
+@query("i10_appendix_p")
 def _(spark, d):
-    per = deltas(spark, d).agg(F.avg("delta").alias("m"), stats.share_positive(F.col("delta")).alias("s"))
-    return per.select(F.concat_ws(" & ", "model", "comparison", F.format_string("%.3f", "m"), F.format_string("%.1f", "s")).alias("line"))
+    return stats.appendix(deltas(spark, d)).select("model", "comparison", "p", "line")
 
 
 @query("i1_t_interval")
@@ -482,6 +494,7 @@ def _(spark, d):
     return rounded(stats.bootstrap(s, ["model", "condition"], "fs", "key"))
 
 
-@query("h22_p_value", "SELECT p, CASE WHEN p < 0.001 THEN '< 0.001' ELSE printf('%.3f', p) END AS shown FROM (SELECT unnest([0.0005, 0.001, 0.0421, 0.5, 1.0]::DOUBLE[]) AS p)")
+@query("h22_p_value", "SELECT doc_id, p, CASE WHEN p < 0.001 THEN '< 0.001' ELSE printf('%.3f', p) END AS shown FROM (SELECT doc_id, (doc_id * 37 % 4001) / 4001.0::DOUBLE AS p FROM documents)")
 def _(spark, d):
-    return spark.createDataFrame([(x,) for x in (0.0005, 0.001, 0.0421, 0.5, 1.0)], "p double").select("p", spans.p_value(F.col("p")).alias("shown"))
+    p = (F.col("doc_id") * 37 % 4001) / F.lit(4001.0)
+    return table(spark, d, "documents").select("doc_id", p.alias("p")).withColumn("shown", spans.p_value(F.col("p")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanmill.functions import labels, spans, text
+from spanmill.functions import spans, text
 from spanmill.operators import conversation as C
 from spanmill.operators import corpus, match, runner
 from spanmill.plans.corpus_queries import BIN, CORPUS_SQL, STRICT_SQL, sample_sql, typed
@@ -113,10 +113,21 @@ def _(spark, d):
     return responses(spark, d).select("key", "model", "condition", F.size(text.answer(F.col("response"))).cast("long").alias("n_items"))
 
 
-@query("b11_valid_predictions", "SELECT * FROM (VALUES (1, 2), (2, 0), (3, 1), (4, 0)) t(id, n)")
+@query("h12_answer_content", f"WITH {RECORDS_SQL} SELECT key, model, condition, CASE WHEN key % 5 = 3 THEN '' ELSE array_to_string(list_transform(preds, lambda p: p.type || '@' || p.start), ' ') END AS items FROM records")
 def _(spark, d):
-    rows = [(1, '[{"type": "A"}, {"type": null}, {"x": 1}, 3]'), (2, "[]"), (3, '[{"type": {"a": 1}}]'), (4, '{"type": "A"}')]
-    return spark.createDataFrame(rows, "id int, t string").select("id", F.coalesce(F.size(text.with_type(text.json_list(F.col("t")))), F.lit(0)).alias("n"))
+    items = F.transform(text.answer(F.col("response")), lambda v: F.concat_ws("@", F.try_variant_get(v, "$.type", "string"), F.try_variant_get(v, "$.start", "string")))
+    return responses(spark, d).select("key", "model", "condition", F.array_join(items, " ").alias("items"))
+
+
+_B11 = "CASE (key + i) % 4 WHEN 0 THEN '{\"type\": \"A\"}' WHEN 1 THEN '{\"type\": null}' WHEN 2 THEN '{\"x\": 1}' ELSE '3' END"
+
+
+@query("b11_valid_predictions", f"WITH {RECORDS_SQL} SELECT key, model, condition, CASE WHEN key % 7 = 0 THEN 0 ELSE len(list_filter(range(0, len(preds)), lambda i: (key + i) % 4 IN (0, 1))) END AS n FROM records")
+def _(spark, d):
+    """One item a prediction, by turns with a type, with a null type, without one and no object; every seventh is no list."""
+    items = F.transform("preds", lambda p, i: F.element_at(F.array(F.lit('{"type": "A"}'), F.lit('{"type": null}'), F.lit('{"x": 1}'), F.lit("3")), ((F.col("key") + i) % 4 + 1).cast("int")))
+    listed = F.concat(F.when(F.col("key") % 7 == 0, '{"type": "A", "more": [').otherwise("["), F.array_join(items, ", "), F.when(F.col("key") % 7 == 0, "]}").otherwise("]"))
+    return records(spark, d).select("key", "model", "condition", F.coalesce(F.size(text.with_type(text.json_list(listed))), F.lit(0)).cast("long").alias("n"))
 
 
 CALLS = [
@@ -135,8 +146,12 @@ CALLS = [
 ]
 
 
-def call_rows(spark):
-    return spark.createDataFrame([(i, t) for i, t, _, _ in CALLS], "id int, response string")
+def call_rows(spark, d, calls=None):
+    """Turns of conversations that end with one of the calls: conv_id, turn, id, lead (the turn's text) and response."""
+    calls = CALLS if calls is None else calls
+    at = ((F.col("conv_id") * 5 + F.col("turn")) % len(calls)).cast("int")
+    own = table(spark, d, "conversations").select("conv_id", "turn", (at + 1).alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("lead"))
+    return own.withColumn("response", F.concat("lead", F.element_at(F.array(*[F.lit(c[1]) for c in calls]), F.col("id"))))
 
 
 def _values(rows, cols: str) -> str:
@@ -144,14 +159,20 @@ def _values(rows, cols: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({cols})"
 
 
-@query("h13_tool_call", _values([(i, tool, p) for i, _, tool, p in CALLS], "id, tool, param"))
+def _called(rows, cols: str, n: int, keep: str = "") -> str:
+    """What is expected of each turn: that of its call."""
+    names = ", ".join(c.strip() for c in cols.split(",")[1:])
+    return f"WITH v AS ({_values(rows, cols)}), c AS (SELECT conv_id, turn, coalesce(text, '') || chr(10) AS lead, ((conv_id * 5 + turn) % {n} + 1)::INTEGER AS id FROM conversations) SELECT conv_id, turn, {keep or names} FROM c JOIN v USING (id)"
+
+
+@query("h13_tool_call", _called([(i, tool, p) for i, _, tool, p in CALLS], "id, tool, param", len(CALLS)))
 def _(spark, d):
-    return call_rows(spark).select("id", text.tool_call(F.col("response")).alias("c")).select("id", "c.tool", "c.param")
+    return call_rows(spark, d).select("conv_id", "turn", text.tool_call(F.col("response")).alias("c")).select("conv_id", "turn", "c.tool", "c.param")
 
 
-@query("h14_asks_to_analyze", _values([(i, i in (3, 4, 5, 10) or i == 9) for i, *_ in CALLS], "id, asks"))
+@query("h14_asks_to_analyze", _called([(i, i in (3, 4, 5, 10) or i == 9) for i, *_ in CALLS], "id, asks", len(CALLS)))
 def _(spark, d):
-    return call_rows(spark).select("id", text.asks_to_analyze(F.col("response")).alias("asks"))
+    return call_rows(spark, d).select("conv_id", "turn", text.asks_to_analyze(F.col("response")).alias("asks"))
 
 
 STRUCTURED = [
@@ -164,21 +185,26 @@ STRUCTURED = [
 ]
 
 
-@query("h15_structured_call", _values([(i, tool, a) for i, _, tool, a in STRUCTURED], "id, tool, arguments"))
+@query("h15_structured_call", _called([(i, tool, a) for i, _, tool, a in STRUCTURED], "id, tool, arguments", len(STRUCTURED)))
 def _(spark, d):
-    rows = spark.createDataFrame([(i, t) for i, t, _, _ in STRUCTURED], "id int, response string")
-    return rows.select("id", text.structured_call(F.col("response")).alias("c")).select("id", "c.tool", "c.arguments")
+    return call_rows(spark, d, STRUCTURED).select("conv_id", "turn", text.structured_call(F.col("response")).alias("c")).select("conv_id", "turn", "c.tool", "c.arguments")
+
+
+_ALL = [(1, "list_skills"), (2, "view_skill pii-detection"), (3, "analyze_pii"), (4, "analyze_pii,list_skills"), (5, "analyze_pii,list_skills")]
 
 
-@query("h16_all_calls", _values([(1, "list_skills"), (2, "view_skill pii-detection"), (3, "analyze_pii"), (4, "analyze_pii,list_skills"), (5, "analyze_pii,list_skills")], "id, calls"))
+@query("h16_all_calls", _called([*_ALL, *[(i, "") for i in range(6, len(CALLS) + 1)]], "id, calls", len(CALLS)))
 def _(spark, d):
-    return call_rows(spark).filter("id <= 5").select("id", F.array_join(text.all_calls(F.col("response")), ",").alias("calls"))
+    return call_rows(spark, d).select("conv_id", "turn", F.array_join(text.all_calls(F.col("response")), ",").alias("calls"))
 
 
-@query("h17_until_first_call", _values([(1, "[TOOL_CALL: list_skills]"), (2, "text\n  [tool_call: view_skill pii-detection]  \n"), (3, "I say [TOOL_CALL : analyze_pii ]"), (4, "[TOOL_CALL: analyze_pii]\n"), (5, "x [TOOL_CALL: analyze_pii]"), (6, "Let me list skills first")], "id, cut"))
+_CUT = {4: "[TOOL_CALL: analyze_pii]\n", 5: "x [TOOL_CALL: analyze_pii]", 1: "[TOOL_CALL: list_skills]", 2: "text\n  [tool_call: view_skill pii-detection]  \n", 3: "I say [TOOL_CALL : analyze_pii ]"}
+
+
+@query("h17_until_first_call", _called([(i, _CUT.get(i, t)) for i, t, _, _ in CALLS], "id, cut", len(CALLS), "lead || cut AS cut"))
 def _(spark, d):
     # a call that ends no line leaves the cut right behind it
-    return call_rows(spark).filter("id <= 6").select("id", text.until_first_call(F.col("response")).alias("cut"))
+    return call_rows(spark, d).select("conv_id", "turn", text.until_first_call(F.col("response")).alias("cut"))
 
 
 # ---- conversations ----
@@ -286,23 +312,12 @@ def _(spark, d):
     return back.select("id", F.size("ground_truth").cast("long").alias("n"), F.aggregate("ground_truth", F.lit(0), lambda n, g: n + g["stop"] - g["start"]).cast("long").alias("chars"))
 
 
-@query("a4_run_with_fallback", "SELECT 0::BIGINT AS n")
-def _(spark, d):
-    missing = [shared_dir(spark) + "/none.json", shared_dir(spark) + "/none"]
-    return results.read_first(spark, missing, results.RUN).agg(F.count("*").alias("n"))
-
-
 @query("a14_uniform_schema", f"WITH {RECORDS_SQL} SELECT count(*) FILTER (key % 4 = 0 OR len(preds) = 0) AS empty_lists, count(*) AS clean_errors FROM records WHERE model = 'm0'")
 def _(spark, d):
     own = records(spark, d).filter("model = 'm0'").withColumns({"preds": F.when(F.col("key") % 4 != 0, F.col("preds")), "error": F.lit(None).cast("string")})
     return results.published(own).agg(F.count_if(F.col("predictions") == "[]").alias("empty_lists"), F.count_if(F.col("error") == "").alias("clean_errors"))
 
 
-@query("a8_label_map", "SELECT 136::BIGINT AS n_keys, 24::BIGINT AS n_null, 29::BIGINT AS n_targets")
-def _(spark, d):
-    return spark.createDataFrame([(len(labels.BASE), sum(v is None for v in labels.BASE.values()), len(labels.CANON))], "n_keys long, n_null long, n_targets long")
-
-
 @query("a16_samples_builder", f"SELECT source, count(*) AS n FROM (WITH {sample_sql(100, 'documents', f'source || {BIN}', 'doc_id', 'doc_id, source')}) GROUP BY source")
 def _(spark, d):
     path = shared_dir(spark) + "/samples"
@@ -313,8 +328,6 @@ def _(spark, d):
     return spark.read.schema(results.SAMPLES).json(path).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("j14_condition_kinds", "SELECT * FROM (VALUES ('zero_shot', true), ('with_docs', true), ('with_tools', false), ('with_skills', false), ('few_shot', true), ('cot', true)) t(condition, single_turn)")
+@query("j14_condition_kinds", f"WITH {RECORDS_SQL} SELECT condition, condition NOT IN ('with_tools', 'with_skills') AS single_turn, count(*) AS n FROM records GROUP BY condition")
 def _(spark, d):
-    from spanmill.plans.fixtures import CONDITIONS
-
-    return spark.createDataFrame([(c,) for c in CONDITIONS], "condition string").select("condition", F.col("condition").isin(*runner.SINGLE_TURN).alias("single_turn"))
+    return records(spark, d).groupBy("condition").agg(F.count("*").alias("n")).withColumn("single_turn", F.col("condition").isin(*runner.SINGLE_TURN))
