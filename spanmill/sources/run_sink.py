@@ -97,6 +97,22 @@ def write_once(records: DataFrame, path: str, run_id: str, run_type: str = "main
     out.mode("overwrite" if overwrite else "append").save()
 
 
+def vacuum(spark: SparkSession, path: str, older_than: float = 86400.0) -> int:
+    """Deletes what no manifest names and has not changed for so many seconds: files of replaced runs, and of tasks that ended after
+    their job was given up. Returns how many folders went."""
+    import time
+
+    fs, base = place(path.rstrip("/"))
+    named = {f["path"].split("/")[1] for r in manifests(spark, path).select("files").collect() for f in r["files"]}
+    gone = 0
+    for d in fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/files", allow_not_found=True)):
+        own = [x.mtime_ns or 0 for x in fs.get_file_info(pyarrow.fs.FileSelector(d.path))]
+        if d.base_name not in named and max([d.mtime_ns or 0, *own]) / 1e9 <= time.time() - older_than:
+            fs.delete_dir(d.path)
+            gone += 1
+    return gone
+
+
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """A row for each committed run."""
     return spark.read.schema(MANIFEST).json(f"{path.rstrip('/')}/runs")
