@@ -8,7 +8,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,8 +49,14 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(spark.sessionState().newHadoopConf()).delete(where.getParent(), True)
 
 
+#: Tables of a worker that it can make anew: trim() empties them.
+TABLES: list = []
+
+
 def trim() -> None:
     """Gives back the memory that a Python worker no longer uses; idle workers stay alive beside those of the next stage."""
+    for t in TABLES:
+        t.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -184,10 +189,10 @@ class Marks:
         """Whether a row may be among the spots. Only a hash of the row goes to the Python worker, not its other columns."""
         bits, table = self.bits, self.table
 
-        @F.pandas_udf("boolean")
-        def met(ids: pd.Series) -> pd.Series:
-            p = _spots(ids.to_numpy(np.int64), bits)
-            return pd.Series((table.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool))
+        @F.arrow_udf("boolean")
+        def met(ids: pa.Array) -> pa.Array:
+            p = _spots(ids.to_numpy(zero_copy_only=False), bits)
+            return pa.array((table.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool))
 
         return met(F.xxhash64(*by))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import Marks, cut, discard, drop_clashing, summed, trimmed
+from spanmill.llm.common import TABLES, Marks, cut, discard, drop_clashing, summed, trimmed
 
 #: Words of a shingle; least similarity; bands and places of a band (a pair of similarity 0.8 is missed with 7e-5).
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
@@ -56,6 +56,7 @@ class Hashes(dict):
 
 
 HASHES = Hashes()
+TABLES.append(HASHES)
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
