@@ -131,19 +131,42 @@ def until_first_call(response: Column) -> Column:
     return F.when(response.rlike(CALL_ANY), F.regexp_extract(response, r"(?is)\A(.*?\[TOOL_CALL\s*:\s*(?:list_skills|view_skill\s+\w+(?:-\w+)?|analyze_pii)\s*\](?:[^\n]*\n)?)", 1)).otherwise(response)
 
 
+#: Items that a fold gathers at a time.
+BLOCK = 256
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, whatever the number of times that it occurs in use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def prefix_sums(numbers: Column) -> Column:
+    """Sums of an array of numbers up to each of them. Folds gather BLOCK items at a time, so that long arrays are not copied item by item."""
+    zero = lambda at: F.struct(at.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"] + x).alias("out"))
+    late = lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+
+    def blocks(held: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / BLOCK).cast("int")), lambda k: F.slice(held, k * BLOCK + 1, BLOCK))
+
+    def summed(parts: Column) -> Column:
+        starts = F.aggregate(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, x: n + x)), zero(F.lit(0)), late)["out"]
+        return F.flatten(F.zip_with(parts, starts, lambda p, at: F.aggregate(p, zero(at), add)["out"]))
+
+    return F.when(F.size(numbers) > 0, bound(numbers, lambda held: bound(blocks(held), summed))).otherwise(F.array().cast("array<bigint>"))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start,stop,text>> of a pattern's matches, without a UDF: running sums over split()."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,text:string>>").alias("out"))
+    kind = "array<struct<start:int,stop:int,text:string>>"
 
-    def walk(s: Column, z: Column) -> Column:
-        start = s["at"] + F.length(z["gap"])
-        stop = start + F.length(z["hit"])
-        return F.struct(stop.alias("at"), F.array_append(s["out"], F.struct(start.alias("start"), stop.alias("stop"), z["hit"].alias("text"))).alias("out"))
+    def placed(hits: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: (F.length(g) + F.length(h)).cast("long"))
+        return F.zip_with(prefix_sums(sizes), hits, lambda z, h: F.struct((z.cast("int") - F.length(h)).alias("start"), z.cast("int").alias("stop"), h.alias("text")))
 
-    zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, walk)["out"]).otherwise(F.array().cast("array<struct<start:int,stop:int,text:string>>"))
+    found = bound(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))
 
 
 def detect(text: Column, kinds: dict | None = None) -> Column:
