@@ -137,30 +137,54 @@ def matches(stored: DataFrame, items: DataFrame, window: int = WINDOW, rare: int
     needs = wins.groupBy("item").agg(F.collect_set(F.transform("rare", lambda r: r["at"])).alias("needs"))
     full = F.exists("needs", lambda need: F.forall(need, lambda a: F.array_contains("ats", a)))
     found = diagonals.join(needs, "item").filter(full).select("row", "item", "diagonal")
-    with_words = found.join(items.select("item", "words"), "item")
-    both = with_words.join(stored.select("row", "postings"), "row")
-    schema = "row long, item long, ranges array<struct<start:int,stop:int>>"
+    own = found.groupBy("row", "item").agg(F.collect_list("diagonal").alias("diagonals")).join(items.select("item", "words"), "item")
+    # a document's postings meet all its diagonals at once
+    by_row = own.groupBy("row").agg(F.collect_list(F.struct("item", "words", "diagonals")).alias("tries"))
+    both = by_row.join(stored.select("row", "postings"), "row")
     ranges = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                at = {p: x["term"] for x in r["postings"] for p in x["positions"]}
-                n, d = len(r["words"]), r["diagonal"]
-                same = [at.get(d + j) == w for j, w in enumerate(r["words"])]
-                least, got, run = min(window, n), [], 0
-                for j, ok in enumerate([*same, False]):
-                    if ok:
-                        run += 1
-                    else:
-                        if run >= least:
-                            got.append({"start": d + j - run, "stop": d + j})
-                        run = 0
-                out.append(got)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("row")), b.column(b.schema.names.index("item")), pa.array(out, ranges)], names=["row", "item", "ranges"])
-
-    return both.select("row", "item", "diagonal", "words", "postings").mapInArrow(verify, schema).filter(F.size("ranges") > 0)
+        for whole in batches:
+            for at in range(whole.num_rows):
+                row, tries, postings = (c[0].as_py() for c in whole.slice(at, 1).columns)
+                place = Places(postings)
+                found = [(t["item"], place.ranges(t["words"], np.array(sorted(t["diagonals"]), np.int64), window)) for t in tries]
+                found = [(i, r) for i, r in found if r]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array([i for i, _ in found], pa.int64()), pa.array([r for _, r in found], ranges)], names=["row", "item", "ranges"])
+
+    return both.select("row", "tries", "postings").mapInArrow(trimmed(verify), "row long, item long, ranges array<struct<start:int,stop:int>>")
+
+
+#: Words compared at a time.
+COMPARED = 1 << 20
+
+
+class Places:
+    """What stands where in a document, by its postings (term, positions)."""
+
+    def __init__(self, postings: list):
+        self.codes = {p["term"]: k for k, p in enumerate(postings)}
+        sizes = [len(p["positions"]) for p in postings]
+        at = np.fromiter((x for p in postings for x in p["positions"]), np.int64, sum(sizes))
+        by = np.argsort(at, kind="stable")
+        self.at, self.code = at[by], np.repeat(np.arange(len(postings)), sizes)[by]
+
+    def ranges(self, words: list, diagonals: np.ndarray, window: int) -> list[dict]:
+        """Ranges [start, stop) of at least a window of the item's words that stand in the document, on these diagonals."""
+        n = len(words)
+        wanted, least, out = np.array([self.codes.get(w, -1) for w in words], np.int64), min(window, n), []
+        step = max(1, COMPARED // n)
+        for k in range(0, len(diagonals), step):
+            some = diagonals[k : k + step]
+            place = some[:, None] + np.arange(n)
+            found = np.minimum(np.searchsorted(self.at, place), len(self.at) - 1)
+            same = (self.at[found] == place) & (self.code[found] == wanted)
+            edges = np.diff(np.pad(same.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            (line, first), (_, last) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+            long = last - first >= least
+            out += [{"start": a, "stop": z} for a, z in zip((some[line] + first)[long].tolist(), (some[line] + last)[long].tolist(), strict=True)]
+        return out
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
