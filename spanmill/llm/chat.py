@@ -6,7 +6,8 @@ The parser cuts a conversation at "</turn>\n", takes the role up to the first co
 precedes, and reads a backslash and a character as that character. A turn is first rendered as it is,
 parsed again, and compared with its source. Where it differs, or holds a control string ("###" or
 "</turn>"), the content is escaped ("\" to "\\", "###" to "\###", "</turn>" to "<\/turn>", in roles also
-":" to "\:") and compared again; after that it has to be identical, or the job fails.
+":" to "\:") and compared again; after that it has to be identical, or the job fails. The joined conversation is parsed and compared
+with all its turns as well.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanmill.functions.text import bound, prefix_sums
+
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 TURN = r"(?s)\A### ([^:\\]*(?:\\.[^:\\]*)*): (.*)\z"
 
@@ -78,23 +81,26 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     """
     ready = rendered_turns(rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))
     turns = ready.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "__role", "__text", "__turn"))).alias("turns"))
-    formatted = turns.select("conv", F.array_join(F.transform("turns", lambda t: t["__turn"]), "").alias("formatted"))
+    formatted = turns.withColumn("formatted", F.array_join(F.transform("turns", lambda t: t["__turn"]), ""))
     read = formatted.withColumn("parsed", parse(F.col("formatted")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
+    alike = F.transform("parsed", lambda t: F.struct(t["role"].alias("r"), t["text"].alias("t"))) == F.transform("turns", lambda t: F.struct(t["__role"].alias("r"), t["__text"].alias("t")))
+    whole = F.when(alike, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not survive its round trip")))
+    sizes = F.transform("parsed", lambda t: (F.length(t["raw_role"]) + F.length(t["raw"]) + len(OPEN) + len(MIDDLE) + len(CLOSE)).cast("long"))
+    spans = F.zip_with(prefix_sums(sizes), "parsed", lambda end, t: F.struct(t["role"].alias("role"), (end - len(CLOSE) - F.length(t["raw"])).alias("start"), (end - len(CLOSE)).alias("stop")))
+    mine = F.transform(F.filter(spans, lambda s: s["role"] == loss_role), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    return read.select(F.col("conv").alias(conv), whole.alias("formatted"), mine.alias("loss_spans"))
 
-    def walk(s: Column, t: Column) -> Column:
-        start = s["at"] + len(OPEN) + F.length(t["raw_role"]) + len(MIDDLE)
-        stop = start + F.length(t["raw"])
-        span = F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"))
-        return F.struct((stop + len(CLOSE)).cast("long").alias("at"), F.when(t["role"] == loss_role, F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
-    return read.select(F.col("conv").alias(conv), "formatted", F.aggregate("parsed", empty, walk)["spans"].alias("loss_spans"))
+def cut_out(text: Column, spans: Column) -> Column:
+    """The pieces of text under spans (start, stop in code points): each costs its own length, as characters have four bytes here."""
+    piece = lambda wide, s: F.decode(F.substring(wide, (4 * s["start"] + 1).cast("int"), (4 * (s["stop"] - s["start"])).cast("int")), "UTF-32")
+    return bound(F.encode(text, "UTF-32"), lambda wide: F.transform(spans, lambda s: piece(wide, s)))
 
 
 def digest(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """The contract's columns, all read back from formatted and loss_spans."""
     read = formatted.withColumn("parsed", parse(F.col("formatted")))
-    masked = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "")
+    masked = F.array_join(F.transform(cut_out(F.col("formatted"), F.col("loss_spans")), unescape), "")
     read = read.withColumn("__loss", masked)
     return read.select(
         conv,
