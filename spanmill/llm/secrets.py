@@ -3,7 +3,8 @@ r"""Secret scans with DataFrame functions only: fixed patterns, and two characte
 Spans are found without a UDF: split() gives what lies between the matches of a pattern, regexp_extract_all()
 the matches, and running sums of their lengths the offsets. The models are first-order Markov chains over
 characters, one trained on random strings and one on ordinary identifiers; a candidate is a secret if its mean
-log-likelihood ratio a character pair exceeds a limit set on the labelled sample.
+log-likelihood ratio a character pair exceeds a limit set on the labelled sample. Candidates are looked for in the text with base spans
+masked, so that no two lists of spans are compared.
 """
 
 from __future__ import annotations
@@ -11,14 +12,20 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanmill.functions.text import bound, prefix_sums
+from spanmill.llm.common import cut, drop_clashing
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Maximal runs, so the leftmost non-overlapping matches of the unbounded patterns that are long enough.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
-#: What the models judge: whole runs of 20 or more such characters with a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: Stands for a character of a base span when candidates are looked for; Unicode has no character of this number.
+MASK = "\ufdd0"
+#: What the models judge: whole runs of LEAST or more such characters, a letter among them, that touch no base span.
+LEAST = 16
+CANDIDATE = rf"(?<![A-Za-z0-9+/_={MASK}-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{LEAST},}}+(?!{MASK})"
 IDENTIFIER = r"[A-Za-z][A-Za-z0-9_-]{5,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # 0 is any other character
@@ -32,18 +39,24 @@ NONE = "array<struct<start:int,kind:int,stop:int>>"
 
 def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """array<struct<start,kind,stop>> of the matches whose group has at least `least` characters."""
-    gaps, hits, inner = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), group)
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), inner.alias("inner"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("out"))
 
-    def walk(s: Column, m: Column) -> Column:
-        start = s["at"] + F.length(m["0"])
-        stop = start + F.length(m["1"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(F.length(m["2"]) >= least, F.array_append(s["out"], one)).otherwise(s["out"]).alias("out"))
+    def placed(hits: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: (F.length(g) + F.length(h)).cast("long"))
+        found = F.zip_with(prefix_sums(sizes), hits, lambda z, h: F.struct((z.cast("int") - F.length(h)).alias("start"), F.lit(kind).alias("kind"), z.cast("int").alias("stop")))
+        if not least:
+            return found
+        both = F.zip_with(found, F.regexp_extract_all(text, F.lit(pattern), group), lambda s, g: F.struct(s.alias("s"), F.length(g).alias("n")))
+        return F.transform(F.filter(both, lambda x: x["n"] >= least), lambda x: x["s"])
+
+    return F.when(F.rlike(text, F.lit(pattern)), bound(F.regexp_extract_all(text, F.lit(pattern), 0), placed)).otherwise(F.array().cast(NONE))
+
 
-    named = F.transform(zipped, lambda z: F.struct(z["gap"].alias("0"), z["hit"].alias("1"), z["inner"].alias("2")))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(named, zero, walk)["out"]).otherwise(F.array().cast(NONE))
+def masked(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """text with MASK for each character of the pattern's matches whose group has at least `least` characters."""
+    gaps = F.split(text, pattern, -1)
+    own = F.regexp_extract_all(text, F.lit(pattern), 0)
+    hits = F.zip_with(own, F.regexp_extract_all(text, F.lit(pattern), group), lambda h, g: F.when(F.length(g) >= least, F.repeat(F.lit(MASK), F.length(h))).otherwise(h))
+    return F.when(F.rlike(text, F.lit(pattern)), F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")).otherwise(text)
 
 
 def pairs(text: Column) -> Column:
@@ -61,13 +74,18 @@ def random_strings(spark: SparkSession, n: int = FIT_RANDOM) -> DataFrame:
 
 
 def ordinary(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = FIT_DOCS) -> DataFrame:
-    """Labelled identifiers: the distinct ones of those of the n documents of smallest hash in which no fixed pattern is met."""
-    h = F.xxhash64(F.col(key).cast("string"))
-    chosen = docs.select(h.alias("h")).orderBy("h").limit(n).distinct()
-    few = docs.select(h.alias("h"), F.col(text).alias("t")).join(F.broadcast(chosen), "h", "left_semi")  # n numbers at most
+    """Labelled identifiers: those of the n documents of smallest hash (of id and text; of equal ones one) in which no fixed pattern is
+    met, and the same ones joined by twos and threes, as long names are."""
+    h = F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"))
+    chosen = docs.select(h.alias("h")).distinct().orderBy("h").limit(n)
+    few = docs.select(h.alias("h"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])  # n numbers, n texts at most
     met = [F.rlike("t", F.lit(p)) for p in (ASSIGN, ACCESS, HEX)]
     clean = few.filter(F.col("t").isNotNull() & ~met[0] & ~met[1] & ~met[2])
-    return clean.select(F.explode(F.regexp_extract_all("t", F.lit(IDENTIFIER), 0)).alias("text")).distinct().select("text", F.lit(0).alias("label"))
+    names = cut(clean.select(F.explode(F.regexp_extract_all("t", F.lit(IDENTIFIER), 0)).alias("text")).distinct(), "names")
+    order = Window.partitionBy(F.pmod(F.xxhash64("text"), F.lit(64))).orderBy(F.md5("text"))
+    next_, third = F.lead("text", 1).over(order), F.lead("text", 2).over(order)
+    joined = names.withColumn("all", F.array("text", F.upper("text"), F.upper(F.concat("text", F.coalesce(next_, F.lit("")))), F.concat_ws("_", "text", next_), F.concat(F.initcap("text"), F.coalesce(F.initcap(next_), F.lit(""))), F.concat_ws("_", "text", next_, third)))
+    return joined.select(F.explode("all").alias("text")).distinct().select("text", F.lit(0).alias("label"))
 
 
 def train(samples: DataFrame) -> tuple[list, float]:
@@ -102,19 +120,23 @@ def score(text: Column, ratio: list) -> Column:
 def scan(docs: DataFrame, model: tuple[list, float], text: str = "text") -> DataFrame:
     """docs with `base` and `added`: arrays of (start, kind, stop), code points from 0, stop exclusive, in order.
 
-    kind is a place in KINDS. Null and empty texts have none. Added spans do not overlap base ones.
+    kind is a place in KINDS. Null and empty texts have none; repeated rows have the same each; an empty table stays empty. Added spans do
+    not overlap base ones. Columns named base or added give way.
     """
     ratio, limit = model
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = F.array_sort(F.concat(spans(t, ASSIGN, 0, 2, 6), spans(t, ACCESS, 1), spans(t, HEX, 2)))
-    docs = docs.withColumn("base", base)
+    docs = drop_clashing(docs, "base", "added").withColumn("base", base)
     if math.isinf(limit):
         return docs.withColumn("added", F.array().cast(NONE))
-    digit = F.rlike(t, F.lit("[0-9]"))
-    found = F.when(digit, spans(t, CANDIDATE, 3)).otherwise(F.array().cast(NONE))
-    free = F.filter(found, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    piece = lambda s: F.substring(t, s["start"] + 1, s["stop"] - s["start"])
-    return docs.withColumn("__free", free).withColumn("added", F.filter("__free", lambda s: score(piece(s), ratio) > limit)).drop("__free")
+    free = masked(masked(masked(t, ASSIGN, 2, 6), ACCESS), HEX)
+
+    def judged(hidden: Column) -> Column:
+        hits = F.regexp_extract_all(hidden, F.lit(CANDIDATE), 0)
+        both = F.zip_with(spans(hidden, CANDIDATE, 3), hits, lambda s, h: F.struct(s.alias("s"), score(h, ratio).alias("score")))
+        return F.transform(F.filter(both, lambda x: x["score"] > limit), lambda x: x["s"])
+
+    return docs.withColumn("added", bound(free, judged))
 
 
 def written(c: Column) -> Column:
@@ -124,8 +146,9 @@ def written(c: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """doc_id, the counts of base spans, their digest, and all spans of every document, as scan() finds them."""
     docs = docs.select("doc_id", "text")
-    model = train(random_strings(docs.sparkSession).unionByName(ordinary(docs)))
+    model = train(cut(random_strings(docs.sparkSession).unionByName(ordinary(docs)), "samples"))
     found = scan(docs, model)
     many = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
