@@ -1,18 +1,19 @@
 """Main text of web pages by tree scoring.
 
 A tolerant reader builds a tree of the page in one pass over it, whatever its depth. Scripts, styles, forms, menus,
-headers and footers of the page do not count, nor do containers whose class, id or role names a sidebar, notice, advert or
-comment section, unless they hold the page's article or title. Every paragraph passes points - one, one more for each
-comma, one for each 100 characters up to three - to its parent, and half as many to the one above; an element's score is
-what it got, times the share of its text that is not links. The best element wins; it grows to the elements around it, up
-to the body, as long as these are not mostly links, and of what stands beside it there, siblings that score a fifth as
-much, headings and plain paragraphs are kept too. Nothing inside is left out for its links.
+headers and footers of the page do not count, nor do containers whose class, id or role names an advert, a cookie notice or the comments,
+unless they hold the page's article or title. Every paragraph passes points - one, one more for each comma, one for each 100 characters up
+to three - to its parent, and half as many to the one above; an element's score is what it got, times the share of its text that is not
+links, more for `article`, `main` and what a title stands in, less where a name hints at something else. The best element wins. On the way up from it to the body,
+of what stands beside it only siblings that score a fifth as much or hold paragraphs without many links, titles, headings right before something
+kept and plain paragraphs are kept. Inside, what a name merely hints at goes only if it scores next to nothing; nothing is left out for its links alone.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,9 +30,10 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "body", "html"}
 #: An open element that a start tag closes, and the element beyond which it does not look.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements that never belong to the text, and words in class, id or role that say so of a container.
-JUNK_TAGS = set("nav aside footer form button select fieldset menu dialog head label".split())
-JUNK_WORDS = set("ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disclaimer disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popup promo promotion promoted recommendations recommended related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets alert alertdialog complementary".split())
+#: Elements that never belong to the text; words in class, id or role that say so of a container, and those that only hint at it.
+JUNK_TAGS = set("nav aside footer form button select fieldset menu dialog head".split())
+JUNK_WORDS = set("ad ads advert adverts advertisement advertising adsense adslot comment comments consent cookie cookies disqus gdpr newsletter outbrain overlay popup promoted replies sidebar sidenav sponsored subscribe subscription taboola alertdialog complementary contentinfo".split())
+HINTS = set("alert banner breadcrumb breadcrumbs disclaimer footer header masthead menu menubar modal nav navbar navigation notice notification pager pagination promo promotion recommendations recommended related reply respond search share sharing signup skip social sponsor toolbar widget widgets".split())
 #: Those that say so of a single paragraph too.
 ADVERTS = set("ad ads advert adverts advertisement advertising adsense adslot promoted sponsored outbrain taboola".split())
 #: Elements that are the article, whatever they are called, and what shows that a container holds it.
@@ -46,21 +48,22 @@ NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 PLAIN = re.compile(r"[^>\"']*")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
-#: A share of links up to which the elements around the best one belong to the article.
-LINKS = 0.25
+#: A share of links that a plain paragraph has not; what a hinted element has to score to stay; the score of article and main as such, and of what an
+#: h1 stands in; what a hint costs, and the least score of a sibling.
+LINKS, HINT_LEAST, ARTICLE, TITLED, HINT_COST, SIBLING = 0.25, 1.5, 25.0, 5.0, 5.0, 10.0
 
 
 class Node:
-    """An element: `junk` never belongs to the text, `named` neither unless it holds the article; `own`: length, commas and
-    characters in links of the text that stands in it but in no block below; `scope`: open elements that a start tag may close."""
+    """An element: `junk` never belongs to the text, `named` neither unless it holds the article, `hinted` only if it scores; `own`, `commas`:
+    length and commas of the text that stands in it but in no block below; `scope`: open elements that a start tag may close."""
 
-    __slots__ = ("chars", "children", "commas", "depth", "holds", "inside", "junk", "links", "named", "own", "parent", "points", "scope", "tag", "wall")
+    __slots__ = ("chars", "children", "commas", "depth", "hinted", "holds", "inside", "junk", "links", "named", "own", "paragraphs", "parent", "points", "scope", "tag", "titled", "wall")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list = []  # nodes and strings
-        self.points, self.chars, self.links, self.own, self.commas = 0.0, 0, 0, 0, 0
-        self.junk = self.named = self.holds = False
+        self.points, self.chars, self.links, self.own, self.commas, self.paragraphs = 0.0, 0, 0, 0, 0, 0
+        self.junk = self.named = self.hinted = self.holds = self.titled = False
         self.depth = parent.depth + 1 if parent else 0
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.wall = self.depth if tag in WALLS or parent is None else parent.wall
@@ -95,13 +98,13 @@ def words_of(attrs: str) -> tuple[set, bool]:
 
 
 def judged(node: Node, attrs: str) -> None:
-    """Sets junk and named."""
+    """Sets junk, named and hinted."""
     if node.tag in JUNK_TAGS or node.tag == "header" and not node.inside:
         node.junk = True
     elif attrs and node.tag not in FRAME:
         found, node.junk = words_of(attrs)
-        bad = found & (ADVERTS if node.tag in PARAGRAPHS else JUNK_WORDS)
-        node.named = bool(bad - {"header"} if node.inside else bad)
+        node.named = bool(found & (ADVERTS if node.tag in PARAGRAPHS else JUNK_WORDS))
+        node.hinted = node.tag not in PARAGRAPHS and bool(found & HINTS)
 
 
 def tokens(page: str) -> Iterator[tuple]:
@@ -205,6 +208,8 @@ def measure(root: Node) -> list[Node]:
             todo += [c for c in reversed(n.children) if isinstance(c, Node)]
     for n in reversed(every):
         n.holds = n.holds or n.tag in HOLDS
+        if n.parent and n.tag == "h1":
+            n.parent.titled = True
         if n.parent and n.holds:
             n.parent.holds = True
         n.junk = n.named and not n.holds
@@ -230,6 +235,7 @@ def measure(root: Node) -> list[Node]:
             continue
         if n.tag in PARAGRAPHS:
             target, above = n.parent, n.parent.parent
+            target.paragraphs += 1
         elif n.own < 25:
             continue
         else:  # text that stands in a container without a paragraph of its own
@@ -238,6 +244,9 @@ def measure(root: Node) -> list[Node]:
         target.points += points
         if above is not None:
             above.points += points / 2
+    for n in order:
+        if n.hinted and not n.holds and content(n) < HINT_LEAST:
+            n.junk = True
     return order
 
 
@@ -256,10 +265,16 @@ def density(n: Node) -> float:
     return n.links / n.chars if n.chars else 0.0
 
 
-def final(n: Node) -> float:
+def content(n: Node) -> float:
     return n.points * (1 - density(n))
 
 
+def final(n: Node) -> float:
+    """What the best element is told by."""
+    own = content(n)
+    return 0.0 if own <= 0 or n.junk else own + (ARTICLE if n.tag in ("article", "main") else 0.0) + (TITLED if n.titled else 0.0) - (HINT_COST if n.hinted else 0.0)
+
+
 def blocks(n: Node) -> Iterator[str]:
     """The texts of n between block boundaries, white space made one blank."""
     out: list[str] = []
@@ -290,19 +305,32 @@ def extract(page: str | None) -> str:
     best = max(order, key=final)
     if final(best) <= 0:
         return "\n".join(blocks(root))
-    while best.parent is not None and best.parent.tag not in ("body", "html", "#root") and density(best.parent) <= LINKS:
-        best = best.parent
-    if best.parent is None or best.tag in ("body", "html"):
-        return "\n".join(blocks(best))
-    limit, kept = max(10.0, 0.2 * final(best)), []
-    for s in best.parent.children:
-        if s is best:
-            kept.append(s)
-        elif isinstance(s, Node) and not s.junk and s.chars:
-            paragraph = s.tag == "p" and (s.chars > 80 and density(s) < LINKS or s.chars <= 80 and not s.links and inline(s).endswith((".", "!", "?")))
-            if final(s) >= limit or s.tag in HEADINGS or paragraph:
-                kept.append(s)
-    return "\n".join(t for s in kept for t in blocks(s))
+    limit, out = max(SIBLING, 0.2 * content(best)), deque(blocks(best))
+    node = best
+    while node.parent is not None and node.tag not in ("body", "html"):
+        at = next(i for i, s in enumerate(node.parent.children) if s is node)
+        before, after = siblings(node.parent.children[:at], limit, True), siblings(node.parent.children[at + 1 :], limit, False)
+        out.extendleft(t for s in reversed(before) for t in reversed(list(blocks(s))))
+        out.extend(t for s in after for t in blocks(s))
+        node = node.parent
+    return "\n".join(out)
+
+
+def siblings(nodes: list, limit: float, leads: bool) -> list[Node]:
+    """Those of some neighbours of the best element that belong to it; leads: whether it follows them."""
+    kept, held = [], []  # held: headings that wait for what they are headings of
+    for s in nodes:
+        if not isinstance(s, Node) or s.junk or not s.chars:
+            continue
+        paragraph = s.tag == "p" and (s.chars > 80 and density(s) < LINKS or s.chars <= 80 and not s.links and inline(s).endswith((".", "!", "?")))
+        if s.tag in HEADINGS and s.tag != "h1":
+            held.append(s)
+        elif s.tag == "h1" or paragraph or content(s) >= limit or s.paragraphs and not s.hinted and density(s) < LINKS:
+            kept += [*held, s]
+            held = []
+        else:
+            held = []
+    return kept + held if leads else kept
 
 
 def main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
@@ -324,4 +352,5 @@ def main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
 
 
 def report(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every page: see main_text()."""
     return main_text(pages.select("page_id", "url", "html"))

@@ -287,6 +287,76 @@ def test_main_text_of_test_pages(sf, tag):
         assert htmltext.extract(own.replace("<body>", "<body><div class='with-sidebar'>").replace("</body>", "</div></body>")) == known_text(page)
 
 
+def strip_tags(page):
+    """The page without helpful names: all containers are div, no class or id says anything."""
+    page = re.sub(r"<(/?)(?:nav|aside|footer|header|form|article|main|section)\b", r"<\1div", page)
+    return re.sub(r"\b(class|id|role)=([\"'])[^\"']*\2", lambda m: f'class="k{zlib.crc32(m[0].encode()) % 97}"', page)
+
+
+def plain_scores(page):
+    """A second scorer: the container whose own paragraphs hold the most text outside of links, by the standard library's reader."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.sums, self.n, self.last = [], Counter(), 0, None
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "div":
+                self.n += 1
+                self.open.append(self.n)
+            self.last = tag
+
+        def handle_endtag(self, tag):
+            if tag == "div" and self.open:
+                self.open.pop()
+            self.last = None if tag == "a" else self.last
+
+        def handle_data(self, data):
+            if self.open and self.last not in ("a", "script", "style", "li"):
+                self.sums[self.open[-1]] += len(data)
+
+    r = Reader()
+    r.feed(page)
+    return r.sums.most_common(1)[0][0]
+
+
+def nth_div(page, n):
+    """The inner html of the n-th div, by counting."""
+    at = [m for m in re.finditer(r"<(/?)div[^>]*>", page)]
+    starts = [m for m in at if not m[1]]
+    own, level = starts[n - 1], 0
+    for m in at[at.index(own) :]:
+        level += -1 if m[1] else 1
+        if level == 0:
+            return page[own.end() : m.start()]
+    return page[own.end() :]
+
+
+@pytest.mark.parametrize("wrap", [False, True])
+def test_scores_decide_where_no_name_helps(sf, wrap):
+    same, total, agree = 0, 0, 0
+    for (page,) in duckdb.sql(f"select html from '{sf}/pages.parquet'").fetchall():
+        bare = strip_tags(page)
+        agree += known_text(f"<article>{nth_div(bare, plain_scores(bare))}</article>") == known_text(page)
+        if wrap:
+            bare = bare.replace("<body>", "<body><div><div>").replace("</body>", "<div>Copyright 2020, all rights reserved, by us.</div></div></div></body>")
+        same += htmltext.extract(bare) == known_text(page)
+        total += 1
+    assert same >= 0.9 * total and agree >= 0.9 * total
+
+
+@pytest.mark.parametrize("clutter", ['<div class="share"><p>Shared memory is a concept of many systems, old and new.</p></div>', '<section class="related-work"><p>Others, too, have looked at this before, in other ways.</p></section>', '<div id="search-methods"><p>We search, sort and merge lists by the method of the day.</p></div>', "<p><label>A label is a text</label></p>"])
+def test_names_inside_the_article_only_hint(clutter):
+    body = "".join(f"<p>Paragraph {i}, with commas, and text that is long enough to count for something here.</p>" for i in range(5))
+    for tag in ("article", "div"):
+        text = htmltext.extract(f"<body><div><a href=x>Home</a> <a href=y>More</a></div><{tag}>{body}{clutter}{body}</{tag}></body>")
+        assert text.count("Paragraph") == 10 and re.sub(r"<[^>]*>", "", clutter) in text and "Home" not in text
+    gone = htmltext.extract(f"<body><article>{body}<div class='share'><a href=x>Post this</a></div><div class='ad'>Buy, buy, buy and buy more of it, today.</div></article></body>")
+    assert "Post" not in gone and "Buy" not in gone
+
+
 def known_text(page):
     article = re.search(r"<article>(.*)</article>", page, re.S)[1]
     blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:h1|p|br)[^>]*>", article)]
@@ -553,3 +623,17 @@ def test_language_id_without_labels(spark):
 def test_long_texts_are_read_in_pieces():
     t = "Der Text, über den gesprochen wird. " * 50
     assert (langid.presence(t) == langid.presence(t, 64)).all()
+
+
+def test_fits_are_bounded_for_repeated_ids(spark):
+    rows = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") < 2000, "the same text again").otherwise(F.concat(F.lit("text number "), F.col("id"))).alias("text"), F.lit("en").alias("lang"))
+    drawn = langid.sample(rows, per_lang=50)
+    assert 0 < len(drawn) <= 50 and langid.sample(rows.withColumn("doc_id", F.lit(None).cast("long")), per_lang=50)
+    assert len(langid.sample(rows.filter("text = 'the same text again'"), per_lang=50)) == 1
+    labels = spark.createDataFrame([(7, 1), (7, 1), (None, 0)], "doc_id long, quality int")
+    collected = []
+    stats = quality.statistics(rows.select("doc_id", "text"))
+    model = quality.fit(stats.cache(), labels)
+    collected.append(model)
+    assert collected and quality.rate(rows.select("doc_id", "text").limit(300), labels).count() == 300
+    stats.unpersist()
