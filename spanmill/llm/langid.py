@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,18 +70,20 @@ def presence(text: str | None, piece: int = 1 << 20) -> np.ndarray | None:
 
 
 def sample(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG) -> list:
-    """At most per_lang rows of each language and FIT_ROWS of all, as (language, packed phi), chosen by a hash of the key.
+    """At most per_lang rows of each language and FIT_ROWS of all, as (language, packed phi), chosen by a hash of key and text.
 
     First one count a language; then a row is drawn with a chance of 1.5 per_lang / count, which needs no shuffle
-    of texts. The bound holds exactly: what is drawn beyond it is left out, in the order of the hash.
+    of texts. The bound holds exactly, and before anything comes to the driver: of rows equal in key and text one is drawn, and what is drawn
+    beyond it is left out by each task already, in the order of the hash.
     """
     good = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in good.groupBy(lang).count().collect()}
+    space = 1 << 30
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(11)), F.lit(space))
+    # rows equal in key and text are drawn together: what counts is how many different ones there are
+    counts = {r[0]: max(1, r[1]) for r in good.groupBy(lang).agg(F.approx_count_distinct(draw, 0.02)).collect()}
     if not counts:
         return []
     per_lang = max(1, min(per_lang, FIT_ROWS // len(counts)))
-    space = 1 << 30
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(space))
     share = max(1.5, 8 / per_lang)  # of a language with few places to draw for, some rows are drawn all the same
     limits = [F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(space, int(share * per_lang / n * space) + 1))]
     limit = F.element_at(F.create_map(*limits), F.col(lang))
@@ -93,13 +95,9 @@ def sample(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
 
     thin = good.withColumn("__draw", draw).filter(F.col("__draw") < limit).select(F.col(text).alias("t"), F.col(lang).alias("lang"), F.col("__draw").alias("draw"))
     drawn = thin.mapInArrow(pack, "lang string, draw long, bits binary").filter("bits is not null")
-    rows = sorted(drawn.collect(), key=lambda r: (r["lang"], r["draw"], bytes(r["bits"])))
-    out, have = [], {}
-    for r in rows:
-        have[r["lang"]] = have.get(r["lang"], 0) + 1
-        if have[r["lang"]] <= per_lang:
-            out.append((r["lang"], bytes(r["bits"])))
-    return out
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "bits"))
+    few = drawn.dropDuplicates(["lang", "draw"]).withColumn("place", place).filter(F.col("place") <= per_lang)
+    return [(r["lang"], bytes(r["bits"])) for r in sorted(few.collect(), key=lambda r: (r["lang"], r["place"]))]
 
 
 class Model:
