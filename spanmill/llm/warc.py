@@ -10,10 +10,11 @@ any store that Spark knows will do, and are read back from their declared length
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,29 +63,75 @@ def write_arc(pages: list, version: int, date: str = "20010203040506") -> bytes:
     return b"".join(out)
 
 
-def read_arc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(header fields, content) of the records after the version block. ValueError where a header or length is wrong."""
-    at, fields = 0, None
+def members(data: bytes) -> bytes:
+    """An ARC or WARC file as it is, or what its gzip members hold; a member that is cut short gives what can be read of it."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
+            out.append(z.decompress(data) + z.flush())
+        except zlib.error:
+            break
+        data = z.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def read_arc(data: bytes, bad: Callable[[int, str], None] | None = None) -> Iterator[tuple[dict, bytes, int]]:
+    """(header fields, content, place) of the records after the version block.
+
+    Where a header or length is wrong: ValueError; or, with bad, bad(place, what) is called, and reading goes on at the next line that is a
+    header of this version whose declared length fits. Only then is content looked at.
+    """
+    data, at, fields = members(data), 0, None
     while at < len(data):
-        end = data.index(b"\n", at)
-        values = data[at:end].decode("utf-8", "replace").split(" ")
-        if not data[at:end].strip():
+        end = data.find(b"\n", at)
+        line = data[at : end if end >= 0 else len(data)]
+        if end >= 0 and not line.strip():
             at = end + 1
             continue
-        size = int(values[-1])
-        content = data[end + 1 : end + 1 + size]
-        if len(content) != size or size < 0:
-            raise ValueError(f"record at {at} declares {size} bytes, {len(content)} are left")
-        if fields is None:
-            version = int(content.split(b" ", 1)[0])
-            fields = ARC_FIELDS[version]
-        elif len(values) != len(fields):
-            raise ValueError(f"header at {at} has {len(values)} fields, version {version} has {len(fields)}")
-        else:
-            yield dict(zip(fields, values, strict=True)), content
+        try:
+            values, size = _header(line, fields, at)
+            content = data[end + 1 : end + 1 + size] if end >= 0 else b""
+            if len(content) != size:
+                raise ValueError(f"record at {at} declares {size} bytes, {len(content)} are left")
+            if fields is None:
+                version = content.split(b" ", 1)[0]
+                if version not in (b"1", b"2"):
+                    raise ValueError(f"version block names no known version: {version[:20]!r}")
+                fields = ARC_FIELDS[int(version)]
+            else:
+                yield dict(zip(fields, values, strict=True)), content, at
+        except ValueError as e:
+            if bad is None:
+                raise
+            bad(at, str(e))
+            at = _next_header(data, max(end, at) + 1, fields)
+            continue
         at = end + 1 + size
 
 
+def _header(line: bytes, fields: list | None, at: int) -> tuple[list, int]:
+    values = line.rstrip(b"\r").decode("utf-8", "replace").split(" ")
+    if not re.fullmatch("[0-9]+", values[-1]):
+        raise ValueError(f"header at {at} declares no length")
+    if fields is not None and len(values) != len(fields):
+        raise ValueError(f"header at {at} has {len(values)} fields, not {len(fields)}")
+    return values, int(values[-1])
+
+
+def _next_header(data: bytes, at: int, fields: list | None) -> int:
+    """The next line that could be a record's header."""
+    if fields is None:
+        return len(data)
+    form = re.compile(rb"^[A-Za-z][A-Za-z0-9+.-]*:[^ \n]*(?: [^ \n]+){%d} ([0-9]+)\r?$" % (len(fields) - 2), re.M)
+    for m in form.finditer(data, at):
+        if m.end() + 1 + int(m[1]) <= len(data):
+            return m.start()
+    return len(data)
+
+
 def http_parts(content: bytes) -> tuple[bytes, bytes]:
     """Head, with its blank line, and payload of an HTTP message; what has no head is all payload."""
     if not content.startswith(b"HTTP/"):
@@ -106,16 +153,17 @@ def iso(date14: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(uri: str, date: str, key: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri} {date} {key}')}>"
+def record_id(uri: str, date: str, key: str | None, place: str = "") -> str:
+    """An identifier by uri, date and key; without a key by the record's place and digest."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri} {date} {key}' + (f' {place}' if key is None else ''))}>"
 
 
-def arc_to_warc(data: bytes) -> Iterator[dict]:
+def arc_to_warc(data: bytes, bad: Callable[[int, str], None] | None = None) -> Iterator[dict]:
     """What a WARC record of each ARC record needs: id, uri, date, key, head, payload and both digests' inputs."""
-    for header, content in read_arc(data):
+    for header, content, at in read_arc(data, bad):
         head, payload = http_parts(content)
         key, date = key_of(head), iso(header["Archive-date"])
-        yield {"key": key, "record_id": record_id(header["URL"], date, key), "uri": header["URL"], "date": date, "ip": header["IP-address"], "head": head, "payload": payload, "digest": digest(payload), "bytes": len(payload)}
+        yield {"key": key, "record_id": record_id(header["URL"], date, key, f"{at} {digest(content)}"), "uri": header["URL"], "date": date, "ip": header["IP-address"], "head": head, "payload": payload, "digest": digest(payload), "bytes": len(payload)}
 
 
 def warc_record(r: dict, refers: dict | None = None) -> bytes:
@@ -134,7 +182,9 @@ def warc_record(r: dict, refers: dict | None = None) -> bytes:
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if refers:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", refers["record_id"]), (REFERS, refers["key"])]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", refers["record_id"])]
+        if refers["key"] is not None:
+            fields.append((REFERS, refers["key"]))
     fields.append(("Content-Length", str(len(block))))
     head = "\r\n".join([WARC_VERSION, *[f"{k}: {v}" for k, v in fields]])
     return head.encode("utf-8", "replace") + SEP + SEP + block
@@ -142,9 +192,7 @@ def warc_record(r: dict, refers: dict | None = None) -> bytes:
 
 def read_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
     """(fields, block) of the records of a WARC file, plain or gzipped, by their declared lengths."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
+    data, at = members(data), 0
     while at < len(data):
         if data[at : at + 2] == SEP:
             at += 2
@@ -162,7 +210,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
         at = end + 4 + size
 
 
-CONVERTED = "key string, record_id string, uri string, date string, ip string, head binary, payload binary, digest string, bytes long"
+CONVERTED = "key string, record_id string, uri string, date string, ip string, head binary, payload binary, digest string, bytes long, error string"
 _ARROW = pa.schema([(n, {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}[k]) for n, k in (x.split() for x in CONVERTED.split(", "))])
 
 
@@ -182,25 +230,31 @@ def to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
 
 def convert(arcs: DataFrame, arc: str = "arc") -> DataFrame:
-    """One row for each record of the ARC files in column arc; see arc_to_warc()."""
+    """One row for each record of the ARC files in column arc, plain or gzipped; see arc_to_warc(). What cannot be read has a row with
+    nothing but its error; a null file has no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                yield pa.RecordBatch.from_pylist(list(arc_to_warc(data.as_py())), schema=_ARROW)
+                if data.is_valid:
+                    errors: list[str] = []
+                    rows = list(arc_to_warc(data.as_py(), lambda at, what: errors.append(what)))  # noqa: B023
+                    yield pa.RecordBatch.from_pylist([*[r | {"error": None} for r in rows], *[{"error": e} for e in errors]], schema=_ARROW)
 
     return arcs.select(arc).mapInArrow(run, CONVERTED)
 
 
 def with_revisits(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     """records with refers (key, record_id): of equal payloads of at least `least` bytes the smallest key - as a
-    number, where keys are numbers - holds the payload, the others refer to it. Null keys come last."""
+    number, where keys are numbers - holds the payload, the others refer to it. Null keys come last; records without a key are told apart by
+    their identifiers. Rows with an error are left out."""
+    records = records.filter("error is null")
     order = F.struct(F.col("key").isNull().alias("a"), F.expr("try_cast(key as decimal(38,0))").alias("b"), "key", "record_id")
     # keys that are equal name one page: its records are all responses
     first = records.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min(order).alias("m"), F.count("*").alias("n")).filter("n > 1")
     first = cut(first.select(F.col("digest").alias("d"), F.struct(F.col("m.key").alias("key"), F.col("m.record_id").alias("record_id")).alias("refers")), "payloads")
     met = records.join(first, F.col("digest") == F.col("d"), "left")
-    return met.withColumn("refers", F.when(~F.col("refers.key").eqNullSafe(F.col("key")), F.col("refers"))).drop("d")
+    return met.withColumn("refers", F.when(~F.coalesce(F.col("refers.key"), F.col("refers.record_id")).eqNullSafe(F.coalesce("key", "record_id")), F.col("refers"))).drop("d")
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -213,7 +267,7 @@ def write(records: DataFrame, path: str) -> None:
                 rows = b.slice(at, 500).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([warc_record(r, r["refers"]) for r in rows], pa.binary())], schema=out)
 
-    cols = [*[x.split()[0] for x in CONVERTED.split(", ")], "refers"]
+    cols = [*[x.split()[0] for x in CONVERTED.split(", ") if x != "error string"], "refers"]
     lines = records.select(*cols).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
