@@ -476,13 +476,24 @@ def _(spark, d):
     return stats.appendix(deltas(spark, d)).select("model", "comparison", "p", "line")
 
 
-@query("i1_t_interval")
+# the t quantile by its expansion about the normal one, in powers of 1 / degrees of freedom
+_Z = 1.959963984540054
+_T = f"""({_Z} + {(_Z**3 + _Z) / 4} / v + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96} / (v * v) + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384} / (v * v * v)
+  + {(79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160} / (v * v * v * v))"""
+_INTERVAL = f"s AS (SELECT model, condition, count(*) AS n, avg(fs) AS mean, stddev_samp(fs) AS sd, count(*) - 1.0::DOUBLE AS v FROM scored GROUP BY ALL), t AS (SELECT *, {_T} * sd / sqrt(n) AS margin, ceil(pow({_T} * sd / 0.02, 2))::BIGINT AS need FROM s)"
+
+
+def _interval_sql(body: str) -> str:
+    return f"WITH {scored_sql([(*ALL['fs'], 'fs')])}, {_INTERVAL} {body}"
+
+
+@query("i1_t_interval", _interval_sql("SELECT model, condition, n, round(mean, 6) AS mean, round(margin, 6) AS margin, round(mean - margin, 6) AS low, round(mean + margin, 6) AS high FROM t"))
 def _(spark, d):
     out = stats.confidence(match.scored(records(spark, d), (("span", "full", "fs"),)), ["model", "condition"], "fs")
     return rounded(out.select("model", "condition", "n", "mean", "margin", "low", "high"))
 
 
-@query("i2_sample_adequacy")
+@query("i2_sample_adequacy", _interval_sql("SELECT model, condition, n, margin <= 0.02 AS enough, CASE WHEN margin <= 0.02 THEN n ELSE need END AS required_if_short, CASE WHEN margin <= 0.02 THEN need ELSE greatest(n + 1, need) END AS required_always FROM t"))
 def _(spark, d):
     out = stats.confidence(match.scored(records(spark, d), (("span", "full", "fs"),)), ["model", "condition"], "fs")
     return out.select("model", "condition", "n", "enough", "required_if_short", "required_always")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanmill.functions import spans
-from spanmill.operators import config, grid, match, runner
-from spanmill.plans.corpus_queries import CORPUS_SQL, corpus_rows, typed
+from spanmill.operators import config, corpus, grid, match, runner, samples
+from spanmill.plans.corpus_queries import BIN, CORPUS_SQL, STRICT_SQL, corpus_rows, sample_sql, typed
 from spanmill.plans.fixtures import CARDS_SQL, RECORDS_SQL, cards, records
 from spanmill.plans.registry import query
 from spanmill.plans.run_queries import obedient
@@ -227,3 +227,33 @@ def _(spark, d):
     shown = F.transform(spans.redacted(F.col("preds")), lambda p: F.concat_ws(":", p["type"], p["start"], p["stop"], p["text"]))
     return records(spark, d).select("key", "model", "condition", F.array_join(shown, " ").alias("hidden"))
 
+
+
+# ---- samples ----
+
+
+def _hydrated(spark, d, n=None):
+    folder = shared_dir(spark)
+    own = corpus_rows(spark, d).withColumn("text", F.when(F.col("key") % 9 != 0, F.col("text")))
+    item = "transform(masks, m -> struct(m.label as label, 'x' as value, 0L as start, 1L as end))"
+    own.filter("source = 'alpha'").select(F.col("text").alias("source_text"), F.expr(item).alias("privacy_mask"), "original_index", F.lit("English").alias("language")).write.parquet(f"{folder}/alpha")
+    own.filter("source = 'beta'").select("text", "spans", "original_index", F.lit("us").alias("locale")).write.parquet(f"{folder}/beta")
+    own.filter("source = 'gamma'").select("text", "entities", "original_index").write.parquet(f"{folder}/gamma")
+    results.write_benchmark(corpus.compiled(typed(spark, d)), f"{folder}/benchmark")
+    bench = spark.read.schema(results.BENCHMARK).parquet(f"{folder}/benchmark")
+    places = {s: (layout, f"{folder}/{s}") for s, layout in (("alpha", "masks"), ("beta", "spans"), ("gamma", "entities"))}
+    json_array.write_arrays(samples.build(spark, bench, places, n), f"{folder}/samples")
+    return json_array.read_array(spark, f"{folder}/samples", results.SAMPLES, size=SMALL)
+
+
+_KEPT = f"kept AS (SELECT * FROM corpus WHERE key % 9 <> 0 AND len(types) > 0 AND len(list_filter({STRICT_SQL}, lambda t: t IS NULL)) = 0)"
+
+
+@query("a16_hydrated_samples", f"WITH {CORPUS_SQL}, {_KEPT} SELECT 'a_' || key AS id, source, text, len(types) AS n_gold FROM kept")
+def _(spark, d):
+    return _hydrated(spark, d).select("id", "source", "text", F.size(loaders.as_spans(F.col("ground_truth"))).cast("long").alias("n_gold"))
+
+
+@query("a16_thinned_samples", f"WITH {CORPUS_SQL}, {_KEPT}, named AS (SELECT *, 'a_' || key AS id FROM kept), {sample_sql(50, 'named', f'source || {BIN}', 'id', 'id, source')}")
+def _(spark, d):
+    return _hydrated(spark, d, 50).select("id", "source")

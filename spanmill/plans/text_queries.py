@@ -8,7 +8,7 @@ from spanmill.functions import spans, text
 from spanmill.operators import conversation as C
 from spanmill.operators import corpus, match, runner
 from spanmill.plans.corpus_queries import BIN, CORPUS_SQL, STRICT_SQL, sample_sql, typed
-from spanmill.plans.fixtures import CARDS_SQL, RECORDS_SQL, cards, records, table
+from spanmill.plans.fixtures import CARDS_SQL, RECORDS_SQL, cards, records, scored_sql, table
 from spanmill.plans.registry import query, r6
 from spanmill.sources import results
 from spanmill.sources.paths import shared_dir
@@ -30,7 +30,17 @@ SELECT doc_id, start, start + length(text) AS stop, text FROM s""",
         return found.select("doc_id", F.col("m.start").cast("long").alias("start"), F.col("m.stop").cast("long").alias("stop"), "m.text")
 
 
-@query("k_detect_all")
+def _matches_sql(kind: str, i: int) -> str:
+    pattern, confidence, risk = text.DETECTORS[kind]
+    pattern = pattern.replace("'", "''")
+    return f"""m{i} AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS h, regexp_split_to_array(text, '{pattern}') AS g FROM documents WHERE regexp_matches(text, '{pattern}')),
+p{i} AS (SELECT doc_id, h, g, unnest(range(1, len(h) + 1)) AS i FROM m{i}),
+f{i} AS (SELECT doc_id, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start, h[i] AS text, '{kind}' AS type, {risk} AS risk_level, {confidence} / 100.0::DOUBLE AS confidence FROM p{i}),
+k{i} AS (SELECT *, start + length(text) AS stop FROM f{i} n WHERE NOT EXISTS (FROM ({' UNION ALL '.join(f"SELECT doc_id, start, stop FROM k{j}" for j in range(i)) or "SELECT 0 AS doc_id, 0 AS start, 0 AS stop WHERE false"}) o
+  WHERE o.doc_id = n.doc_id AND o.start < n.start + length(n.text) AND n.start < o.stop))"""
+
+
+@query("k_detect_all", "WITH " + ", ".join(_matches_sql(kind, i) for i, kind in enumerate(text.DETECTORS)) + " " + " UNION ALL ".join(f"SELECT doc_id, start, stop, type, text, risk_level, confidence FROM k{i}" for i in range(len(text.DETECTORS))))
 def _(spark, d):
     found = table(spark, d, "documents").select("doc_id", F.explode(text.detect(F.col("text"))).alias("m"))
     return found.select("doc_id", "m.*")
@@ -45,7 +55,10 @@ def _(spark, d):
 # ---- redaction and rendering ----
 
 
-@query("h18_typed_redaction", f"WITH {CARDS_SQL} SELECT key, 'Contact [PERSON] at [EMAIL_ADDRESS] or call [PHONE_NUMBER] in [LOCATION].' AS redacted FROM cards")
+_PIECES = " || ".join(f"substr(text, {'1' if i == 0 else f'gold0[{i}].stop + 1'}, (gold0[{i + 1}].start{'' if i == 0 else f' - gold0[{i}].stop'})::BIGINT) || '[' || gold0[{i + 1}].type || ']'" for i in range(4))
+
+
+@query("h18_typed_redaction", f"WITH {CARDS_SQL} SELECT key, {_PIECES} || substr(text, gold0[4].stop + 1) AS redacted FROM cards")
 def _(spark, d):
     return cards(spark, d).select("key", spans.redact_text(F.col("text"), F.col("gold0")).alias("redacted"))
 
@@ -70,17 +83,37 @@ def _(spark, d):
     return runner.prompts(docs, {"zero_shot": "Find {text} in {{x}}: {text}"}, ["m0"]).select("doc_id", "prompt")
 
 
-@query("h20_follow_up", "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'You called list_skills. Here are the results:' || chr(10) || chr(10) || '```json' || chr(10) || 'x' || chr(10) || '```' || chr(10) || chr(10) || 'Your next reply must be exactly: [TOOL_CALL: view_skill pii-detection]' WHEN conv_id % 3 = 1 THEN '[user]' || chr(10) || 'u' || chr(10) || chr(10) || '[system]' || chr(10) || 's' ELSE 'u' END AS prompt FROM (SELECT DISTINCT conv_id FROM conversations)")
+_TAILS = {0: ["list_skills"], 1: ["list_skills", "view_skill"], 2: ["view_skill", "analyze_pii"], 3: [], 4: []}
+
+
+def _follow_sql() -> str:
+    shown = lambda n: f"'You called {n}. Here are the results:' || chr(10) || chr(10) || '```json' || chr(10) || '{n} ' || first || chr(10) || '```'"
+    gap, next_ = " || chr(10) || chr(10) || ", " || chr(10) || chr(10) || 'Your next reply must be exactly: "
+    final = "'You called the analyze_pii tool. Here are the results:' || chr(10) || chr(10) || '```json' || chr(10) || 'analyze_pii ' || first || chr(10) || '```' || chr(10) || chr(10) || 'Now format your final answer as a JSON array. Each PII item should have: type, text, start, end.' || chr(10) || 'Only output the JSON array, nothing else.'"
+    return f"""SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN {shown('list_skills')}{next_}[TOOL_CALL: view_skill pii-detection]' WHEN 1 THEN {shown('list_skills')}{gap}{shown('view_skill')}{next_}[TOOL_CALL: analyze_pii]'
+  WHEN 2 THEN {final} WHEN 3 THEN '[user]' || chr(10) || first || chr(10) || chr(10) || '[system]' || chr(10) || 's' ELSE first END AS prompt
+  FROM (SELECT conv_id, coalesce(arg_min(text, turn), '') AS first FROM conversations GROUP BY conv_id)"""
+
+
+@query("h20_follow_up", _follow_sql())
 def _(spark, d):
-    tail = F.when(F.col("conv_id") % 3 == 0, F.array(F.struct(F.lit("list_skills").alias("name"), F.lit("x").alias("content")))).otherwise(F.array().cast("array<struct<name:string,content:string>>"))
-    system = F.when(F.col("conv_id") % 3 == 1, "s")
-    return table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", C.follow_up(F.lit("u"), tail, system).alias("prompt"))
+    first = table(spark, d, "conversations").groupBy("conv_id").agg(F.coalesce(F.min_by("text", "turn"), F.lit("")).alias("first"))
+    k = F.col("conv_id") % 5
+    tail = F.array().cast("array<struct<name:string,content:string>>")
+    for i, names in _TAILS.items():
+        if names:
+            tail = F.when(k == i, F.array(*[F.struct(F.lit(n).alias("name"), F.concat(F.lit(f"{n} "), "first").alias("content")) for n in names])).otherwise(tail)
+    return first.select("conv_id", C.follow_up(F.col("first"), tail, F.when(k == 3, "s")).alias("prompt"))
 
 
-@query("h21_doc_chunks", "SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', chr(10) || '## '), chr(10) || '## '), lambda c: trim(c)), lambda c: c <> '')[1] AS first FROM documents WHERE text <> ''")
+_CHUNKS = "list_filter(list_transform(string_split(replace(text, '. ', chr(10) || '## '), chr(10) || '## '), lambda c: trim(c)), lambda c: c <> '')"
+
+
+@query("h21_doc_chunks", f"SELECT doc_id, len({_CHUNKS})::BIGINT + 1 AS n, array_to_string(list_append({_CHUNKS}, 'skill'), '|') AS chunks FROM documents WHERE text <> ''")
 def _(spark, d):
     body = F.replace(F.col("text"), F.lit(". "), F.lit("\n## "))
-    return table(spark, d, "documents").filter("text <> ''").select("doc_id", F.get(C.chunks(body, F.lit("skill"), 3), F.lit(0)).alias("first"))
+    parts = C.chunks(body, F.lit("skill"), 1 << 30)
+    return table(spark, d, "documents").filter("text <> ''").select("doc_id", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("chunks"))
 
 
 @query("h23_analyser_output", f"WITH {CARDS_SQL} SELECT key, sum(CASE WHEN g.start = 0 THEN 0 ELSE length(g.text) END)::BIGINT AS shown FROM (SELECT key, unnest(gold) AS g FROM cards) GROUP BY key")
@@ -229,13 +262,26 @@ def scripted(spark, d):
     return table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", F.array(*[pick(i) for i in range(5)]).alias("responses"))
 
 
-@query("j4_skill_discovery")
+_SAID = "said AS (SELECT conv_id, t, (conv_id * 7 + (t - 1) * (conv_id % 4 + 1)) % 5 AS k FROM (SELECT DISTINCT conv_id FROM conversations), range(1, 6) r(t))"
+
+
+@query(
+    "j4_skill_discovery",
+    f"""WITH {_SAID}, marks AS (SELECT *, coalesce(bool_or(k = 2) OVER w, false) AS ran FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ends AS (SELECT conv_id, min(t) AS t FROM marks WHERE t = 5 OR (k = 3 AND ran) GROUP BY conv_id)
+SELECT e.conv_id, e.t::INTEGER AS turn, bool_or(k = 0) AS listed, bool_or(k = 1) AS viewed, bool_or(k = 2) OR max(k) FILTER (m.t = e.t) <> 3 AS executed,
+  CASE WHEN max(k) FILTER (m.t = e.t) = 3 THEN 'answer' ELSE 'tool' END AS outcome FROM ends e JOIN marks m ON m.conv_id = e.conv_id AND m.t <= e.t GROUP BY e.conv_id, e.t""",
+)
 def _(spark, d):
     state = C.discovery(F.transform("responses", C.kind))
     return scripted(spark, d).select("conv_id", state.alias("s")).select("conv_id", "s.turn", "s.listed", "s.viewed", "s.executed", "s.outcome")
 
 
-@query("j6_agent_graph")
+@query(
+    "j6_agent_graph",
+    f"""WITH {_SAID}, ends AS (SELECT conv_id, coalesce(min(t) FILTER (k > 2), 6) AS t FROM said GROUP BY conv_id)
+SELECT e.conv_id, coalesce(string_agg(['list_skills', 'view_skill pii-detection', 'analyze_pii'][k + 1], ',' ORDER BY s.t) FILTER (s.t < e.t), '') AS ran FROM ends e JOIN said s USING (conv_id) GROUP BY e.conv_id""",
+)
 def _(spark, d):
     return scripted(spark, d).select("conv_id", F.array_join(C.agent(F.transform("responses", text.all_calls)), ",").alias("ran"))
 
@@ -281,6 +327,13 @@ def _(spark, d):
     return scored.groupBy("model", "condition").agg(F.sum("n_pred").alias("n_pred"), F.sum("n_gold").alias("n_gold"))
 
 
+@query("j10_offline_scores", f"WITH {scored_sql([('type', 'full', 'ft')])} SELECT model, condition, round(avg(CASE WHEN key % 5 = 3 THEN 0 ELSE ft END), 6) AS f1, round(avg(CASE WHEN key % 5 = 3 THEN 0 ELSE r_ft END), 6) AS recall FROM scored GROUP BY ALL")
+def _(spark, d):
+    own = responses(spark, d).drop("preds").withColumnRenamed("response", "raw_response")
+    scored = match.scored(runner.answered(own), (("type", "full", "f1+"),))
+    return scored.groupBy("model", "condition").agg(r6(F.avg("f1")).alias("f1"), r6(F.avg("r_f1")).alias("recall"))
+
+
 @query("a13_run_sink", f"WITH {RECORDS_SQL} SELECT model, condition, 'main' AS run_type, count(*) AS n, sum(len(preds))::BIGINT AS preds, count(*) FILTER (error = '') AS clean FROM records WHERE model IN ('m0', 'm1') GROUP BY ALL")
 def _(spark, d):
     path = shared_dir(spark) + "/runs"
