@@ -85,6 +85,16 @@ def drop_clashing(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def n_words(c: Column) -> Column:
     """Words of a text, by ASCII white space; null has none."""
     return F.coalesce(F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

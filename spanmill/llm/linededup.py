@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.llm.common import Marks, cut, discard, drop_clashing, summed, trimmed
+from spanmill.llm.common import Marks, cut, discard, summed, trimmed, unused
 
 #: Least similarity, as a fraction; size of the table of word counts, as a power of two.
 LEAST_NUM, LEAST_DEN, BITS = 4, 5, 20
@@ -522,8 +522,6 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
-#: Columns that dedup() adds on its way.
-OWN = ("__node", "__key", "__list", "__gone", "__many", "__row", "__first")
 #: A character of a word.
 WORDY = r"(?U)[^\s\x1c-\x1f]"
 
@@ -532,30 +530,31 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """docs with the later matches removed from the texts; documents all stay, a text may become empty.
 
     Only documents that lose a line are shuffled; a filter by marks lets the others pass where they are. Of rows equal in key and
-    text one keeps what the others lose, which keep blank lines alone. Columns named as OWN are dropped.
+    text one keeps what the others lose, which keep blank lines alone. Columns of any name stay.
     """
-    docs = drop_clashing(docs, *OWN)
+    node, name, list_, flags, copies, row, least = unused(docs, "__node", "__key", "__list", "__gone", "__many", "__row", "__first")
     own = removed(docs, key, text)
     # of rows equal in key and text all but the first lose every line with a word
     lists = own.groupBy("doc", "node").agg(F.min_by("removed", "row").alias("removed"), F.count(F.lit(1)).alias("many")).filter("size(removed) > 0 or many > 1")
     lists = cut(lists.select("doc", "node", "many", "removed").mapInArrow(_gone, f"doc {own.schema['doc'].dataType.simpleString()}, node string, many long, gone array<boolean>"), "lists")
     discard(own)
     marks = Marks(lists, "doc", "node")
-    marked = docs.withColumn("__node", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
-    met = marks.maybe(F.col(f"`{key}`"), F.col("__node"))
-    known = lists.select(F.col("doc").alias("__key"), F.col("node").alias("__list"), F.col("gone").alias("__gone"), F.col("many").alias("__many"))
-    both = marked.filter(met).join(known, F.expr(f"__node = __list and `{key}` <=> __key"), "left").drop("__list", "__key")
+    marked = docs.withColumn(node, F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    met = marks.maybe(F.col(f"`{key}`"), F.col(node))
+    same = (F.col(node) == F.col(list_)) & F.col(f"`{key}`").eqNullSafe(F.col(name))
+    known = lists.select(F.col("doc").alias(name), F.col("node").alias(list_), F.col("gone").alias(flags), F.col("many").alias(copies))
+    both = marked.filter(met).join(known, same, "left").drop(list_, name)
     later = F.lit(False)
     if lists.filter("many > 1").limit(1).count():
-        held = cut(both.withColumn("__row", F.monotonically_increasing_id()), "held")
-        first = held.filter("__many > 1").groupBy(F.col(f"`{key}`").alias("__key"), F.col("__node").alias("__list")).agg(F.min("__row").alias("__first"))
-        both = held.join(first, F.expr(f"__node = __list and `{key}` <=> __key"), "left")
-        later = F.coalesce(F.col("__row") > F.col("__first"), F.lit(False))
+        held = cut(both.withColumn(row, F.monotonically_increasing_id()), "held")
+        first = held.filter(F.col(copies) > 1).groupBy(F.col(f"`{key}`").alias(name), F.col(node).alias(list_)).agg(F.min(row).alias(least))
+        both = held.join(first, same, "left")
+        later = F.coalesce(F.col(row) > F.col(least), F.lit(False))
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    left = F.when(later, F.filter(lines, lambda x: ~x.rlike(WORDY))).otherwise(F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col("__gone"), i), F.lit(False))))
-    new = F.when(F.col("__many").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
+    left = F.when(later, F.filter(lines, lambda x: ~x.rlike(WORDY))).otherwise(F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col(flags), i), F.lit(False))))
+    new = F.when(F.col(copies).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
     rewritten = both.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
-    return marked.filter(~met).drop("__node").unionByName(rewritten)
+    return marked.filter(~met).drop(node).unionByName(rewritten)
 
 
 def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import TABLES, Marks, cut, discard, drop_clashing, summed, trimmed
+from spanmill.llm.common import TABLES, Marks, cut, discard, summed, trimmed, unused
 
 #: Words of a shingle; least similarity; bands and places of a band (a pair of similarity 0.8 is missed with 7e-5).
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
@@ -299,20 +299,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row of smallest doc_id, of equal rows one.
 
-    Only rows that may go are shuffled; a filter by marks lets the others pass where they are. Columns named __node, __id, __list, __stays and __alone are dropped.
+    Only rows that may go are shuffled; a filter by marks lets the others pass where they are. Columns of any name stay.
     """
-    docs = drop_clashing(docs, "__node", "__id", "__list", "__stays", "__alone")
+    node, key, list_, stays, alone = unused(docs, "__node", "__key", "__list", "__stays", "__alone")
     rows = classes(docs.select("doc_id", "text"))
     first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("m")).select(F.col("label").alias("l"), "m")
     kinds = rows.filter("label is not null").groupBy("label", "doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
     told = kinds.join(first, F.col("label") == F.col("l")).select("doc_id", "node", "n", F.struct("doc_id", "node").eqNullSafe(F.col("m")).alias("stays"))
     touched = cut(told.filter("n > 1 or not stays"), "touched")  # what goes, and rows that are there more than once
     marks = Marks(touched, "doc_id", "node")
-    marked = docs.withColumn("__node", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    met = marks.maybe(F.col("doc_id"), F.col("__node"))
-    known = touched.select(F.col("doc_id").alias("__id"), F.col("node").alias("__list"), F.col("stays").alias("__stays"))
-    both = marked.filter(met).join(known, F.expr("__node = __list and doc_id <=> __id"), "left").filter("coalesce(__stays, true)")
-    alone = F.when(F.col("__stays").isNull(), F.monotonically_increasing_id())  # met by chance: it is no repeated row
-    left = both.withColumn("__alone", alone).dropDuplicates(["__node", "__id", "__alone"])
+    marked = docs.withColumn(node, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    met = marks.maybe(F.col("doc_id"), F.col(node))
+    known = touched.select(F.col("doc_id").alias(key), F.col("node").alias(list_), F.col("stays").alias(stays))
+    both = marked.filter(met).join(known, (F.col(node) == F.col(list_)) & F.col("doc_id").eqNullSafe(F.col(key)), "left").filter(F.coalesce(F.col(stays), F.lit(True)))
+    # met by chance: it is no repeated row
+    left = both.withColumn(alone, F.when(F.col(stays).isNull(), F.monotonically_increasing_id())).dropDuplicates([node, key, alone])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return marked.filter(~met).select(*columns).unionByName(left.select(*columns))

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanmill.llm import queries
@@ -56,6 +57,19 @@ def test_language_stage_without_languages(spark, sf):
     assert sorted(map(tuple, corpus_pipeline.language_id(spark, docs, sf).collect())) == kept
 
 
+def test_stages_keep_columns_of_any_name(spark, sf):
+    names = ["__digest", "__id", "__lang", "__score", "own_digest", "lang_pred", "lang_score", "bad_id", "decoded_text", "key", "__node", "__KEY", "__list", "__gone", "__many", "__row", "__first", "__stays", "__alone"]
+    docs = spark.createDataFrame([(1, "some text of its own", None, 1), (2, "another text, longer than that", "en", 2)], "doc_id long, text string, lang string, n int")
+    docs = docs.withColumns({c: F.lit(c) for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        kept = [c for c in docs.columns if c in out.columns]
+        rows = out.collect()
+        assert kept == docs.columns and len(rows) == 2 and all(r[c] == c for r in rows for c in names), name
+        if name == "language_id":
+            assert {r["doc_id"]: r["lang"] for r in rows} == {1: "en", 2: "en"}
+
+
 def test_decontaminate_judges_rows_not_ids(spark, sf):
     passage = duckdb.sql(f"select text from '{sf}/benchmark.parquet' order by item_id limit 1").fetchall()[0][0]
     clean = [(None, "a clean text without an id"), (None, None), (1, "a clean text of a repeated id"), (2, "another clean text"), (2, "another clean text")]
