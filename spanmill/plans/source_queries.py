@@ -19,11 +19,10 @@ SMALL = 1 << 14
 # ---- corpora ----
 
 _LANG = "CASE key % 5 WHEN 0 THEN 'English' WHEN 1 THEN ' english ' WHEN 2 THEN 'Dutch' WHEN 3 THEN NULL ELSE 'ENGLISH' END"
-_LANG_OF = F.expr(_LANG)
 
 
 def _masks(spark, d):
-    own = corpus_rows(spark, d).withColumn("language", _LANG_OF)
+    own = corpus_rows(spark, d).withColumn("language", F.expr(_LANG))
     item = "transform(masks, m -> struct(m.label as label, 'x' as value, 0L as start, 1L as end))"
     return own.select(F.col("text").alias("source_text"), F.expr(item).alias("privacy_mask"), "original_index", "language", F.lit("unread").alias("target_text"))
 
