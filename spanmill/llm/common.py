@@ -195,14 +195,23 @@ class Marks:
         table = summed(ids, "__id", bits, lambda c: _spots(c.to_numpy(zero_copy_only=False), bits), marks=True)
         self.table = spots.sparkSession.sparkContext.broadcast(table)
 
+    def tester(self) -> Callable[[pa.Array], np.ndarray]:
+        """A function from hashes (xxhash64 of the columns) to whether each may be a spot's."""
+        bits, table = self.bits, self.table
+
+        def test(ids: pa.Array) -> np.ndarray:
+            p = _spots(ids.to_numpy(zero_copy_only=False), bits)
+            return (table.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
+
+        return test
+
     def maybe(self, *by: Column) -> Column:
         """Whether a row may be among the spots. Only a hash of the row goes to the Python worker, not its other columns."""
-        bits, table = self.bits, self.table
+        test = self.tester()
 
         @F.arrow_udf("boolean")
         def met(ids: pa.Array) -> pa.Array:
-            p = _spots(ids.to_numpy(zero_copy_only=False), bits)
-            return pa.array((table.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool))
+            return pa.array(test(ids))
 
         return met(F.xxhash64(*by))
 

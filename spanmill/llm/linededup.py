@@ -418,20 +418,24 @@ def _sides(pairs: DataFrame, few: DataFrame, *columns: str) -> DataFrame:
     """pairs with the columns of few for both lines, those of x as x_*."""
     x = pairs.select(F.col("x_row").alias("row"), F.col("x_line").alias("line"))
     few = few.select("row", "line", *columns)
-    other = Marks(x).picked(few).select(*[F.col(c).alias(f"x_{c}") for c in few.columns])
-    return pairs.join(Marks(pairs.select("row", "line")).picked(few), ["row", "line"]).join(other, ["x_row", "x_line"])
+    # dealt by the keys of the joins, which need no exchange of their own then; and no task needs two Python workers
+    other = Marks(x).picked(few).select(*[F.col(c).alias(f"x_{c}") for c in few.columns]).repartition("x_row", "x_line")
+    mine = Marks(pairs.select("row", "line")).picked(few).repartition("row", "line")
+    return pairs.join(mine, ["row", "line"]).join(other, ["x_row", "x_line"])
 
 
-def with_wide(df: DataFrame) -> DataFrame:
-    """row, line and tokens with n and the wide bitmap w0 to w3."""
+def with_wide(df: DataFrame, marks: Marks) -> DataFrame:
+    """row, line and tokens with n and the wide bitmap w0 to w3, of the lines that marks let through; one Python worker a task does both."""
+    test = marks.tester()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 5000):
                 b = whole.slice(at, 5000)
+                b = b.filter(pa.array(test(b.column(3)))).select(["row", "line", "tokens"])
                 yield pa.RecordBatch.from_arrays([*b.columns, *wide(b.column(2))], names=["row", "line", "tokens", "n", "w0", "w1", "w2", "w3"])
 
-    return df.select("row", "line", "tokens").mapInArrow(run, "row long, line int, tokens binary, n int, w0 long, w1 long, w2 long, w3 long")
+    return df.select("row", "line", "tokens", F.xxhash64("row", "line").alias("id")).mapInArrow(run, "row long, line int, tokens binary, n int, w0 long, w1 long, w2 long, w3 long")
 
 
 def _near(pairs: DataFrame, few: DataFrame) -> DataFrame:
@@ -490,7 +494,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     lists = cut(found(stored, classes), "lists")
     head, live = lists.filter("kind = 0"), lists.filter("kind = 2")
     spots = head.select("row", "line").unionByName(head.select(F.col("x_row").alias("row"), F.col("x_line").alias("line"))).unionByName(live.select("row", "line"))
-    few = cut(with_wide(Marks(spots).picked(stored.filter("not dup").select("row", "line", "tokens"))), "few")
+    few = cut(with_wide(stored.filter("not dup"), Marks(spots)), "few")
     tries = cut(head.select("x_row", "x_line", "row", "line").distinct(), "tries")
     early = cut(_similar(tries, few), "early")
     # the rest against all: pairs whose later line is not settled
