@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from spanmill.operators import rounds, runner
+from spanmill.sources.paths import dealt, stored
 
 LOG = "model string, condition string, work string, n long, errors long, tool_calls long, seconds double, at timestamp"
 MULTI_TURN = ("with_tools", "with_skills")
@@ -78,7 +79,9 @@ class Grid:
 
     def run(self, samples: DataFrame, resume: bool = True, committed: Callable[[str, str], None] | None = None) -> DataFrame:
         """records() after all pending groups are done; resume=False does the whole grid again. committed is told each group."""
-        spark, work = samples.sparkSession, self.work(samples)
+        spark = samples.sparkSession
+        samples = stored(dealt(samples), "samples")  # every group reads them, in many tasks
+        work = self.work(samples)
         for cell in self.pending(spark, work, resume).orderBy("place").collect():  # the cells of the grid
             model, condition = cell["model"], cell["condition"]
             out = self._group(samples, model, condition).withColumn("work", F.lit(cell["work"]))

@@ -13,14 +13,15 @@ import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmill.functions import text
 from spanmill.operators import conversation as C
-from spanmill.operators.runner import Tools, generate
-from spanmill.sources.paths import stored
+from spanmill.operators.runner import PIECE, Tools, generate
+from spanmill.sources.paths import dealt, stored
 
 # What the discovery loop says, and its skill's name and text where there is none.
 SKILL = "pii-detection"
@@ -114,25 +115,29 @@ def _start(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"__first": F.coalesce("prompt", F.lit("")), **{f"__{k}": v for k, v in zero.items()}})
 
 
-def _called(rows: DataFrame, run: Callable[[pd.DataFrame], list[tuple]], added: str) -> DataFrame:
+def _called(rows: DataFrame, run: Callable[[dict], tuple], added: str) -> DataFrame:
     """rows with what run gives for each of them (strings named in added) and the seconds of it."""
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], *[f"{c} string" for c in added.split()], "__spent double"])
+    names = added.split()
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.StringType()) for c in names], T.StructField("__spent", T.DoubleType())])
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out, spent = [], []
-            for row in frame.to_dict("records"):
-                began = time.perf_counter()
-                out.append(run(row))
-                spent.append(time.perf_counter() - began)
-            yield frame.assign(**{c: [r[k] for r in out] for k, c in enumerate(added.split())}, __spent=spent)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PIECE):
+                b = whole.slice(at, PIECE)
+                out, spent = [], []
+                for row in b.to_pylist():
+                    began = time.perf_counter()
+                    out.append(run(row))
+                    spent.append(time.perf_counter() - began)
+                new = [pa.array([r[k] for r in out], pa.string()) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new, pa.array(spent, pa.float64())], names=schema.names)
 
-    return rows.mapInPandas(task, schema)
+    return rows.mapInArrow(task, schema)
 
 
 def _rounds(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], limit: int) -> DataFrame:
     """All rows after step has been applied to the open ones until none is left, `limit` times at most."""
-    rows, done = stored(start, "open"), []
+    rows, done = stored(dealt(start), "open"), []
     for number in range(1, limit + 1):
         live = rows.filter("__open")
         if live.limit(1).count() == 0:

@@ -9,12 +9,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmill.functions import spans, text
 from spanmill.operators import corpus, match
+from spanmill.sources.paths import dealt
 
+#: Rows that a worker takes up at a time.
+PIECE = 1000
 SINGLE_TURN = ("zero_shot", "with_docs", "few_shot", "cot")
 
 
@@ -58,28 +63,43 @@ def generate(rows: DataFrame, make: Callable[[str], Callable[[list], list]], bat
     attribute takes_rows gets whole rows (as dictionaries) instead of prompts. Replies that tell their seconds are believed; else
     the time of a batch is shared equally.
     """
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], "raw_response string, error string, elapsed double"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    added = [T.StructField("raw_response", T.StringType()), T.StructField("error", T.StringType()), T.StructField("elapsed", T.DoubleType())]
+    schema = T.StructType([*rows.schema.fields, *added])
+
+    def replies(model: Callable[[list], list], asked: list) -> Iterator[tuple]:
+        for at in range(0, len(asked), batch):
+            some = asked[at : at + batch]
+            began = time.perf_counter()
+            try:
+                got = [(r, "" if r is not None else "no response") for r in model(some)]
+                if len(got) != len(some):
+                    raise ValueError(f"{len(got)} responses to {len(some)} prompts")
+            except Exception:
+                got = [_alone(model, p) for p in some]
+            share = (time.perf_counter() - began) / len(some)
+            for r, e in got:
+                own = getattr(r, "seconds", None)
+                yield r if r is None else str(r), e, float(share if own is None else own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict = {}
-        for frame in frames:
-            for model, part in frame.groupby("model", sort=False):
-                if model not in made:
-                    made.clear()  # one model at a time
-                    made[model] = make(model)
-                for at in range(0, len(part), batch):
-                    some = part.iloc[at : at + batch]
-                    asked = some.to_dict("records") if getattr(made[model], "takes_rows", False) else list(some["prompt"])
-                    began = time.perf_counter()
-                    try:
-                        got = [(r, "" if r is not None else "no response") for r in made[model](asked)]
-                    except Exception:
-                        got = [_alone(made[model], p) for p in asked]
-                    share = (time.perf_counter() - began) / len(some)
-                    spent = [own if (own := getattr(r, "seconds", None)) is not None else share for r, _ in got]
-                    yield some.assign(raw_response=[r if r is None else str(r) for r, _ in got], error=[e for _, e in got], elapsed=spent)
-
-    return rows.mapInPandas(run, schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, PIECE):
+                b = whole.slice(at, PIECE)
+                places: dict = {}
+                for i, m in enumerate(b.column(b.schema.names.index("model")).to_pylist()):
+                    places.setdefault(m, []).append(i)
+                for model, own in places.items():
+                    if model not in made:
+                        made.clear()  # one model at a time
+                        made[model] = make(model)
+                    part = b if len(places) == 1 else b.take(pa.array(own))
+                    asked = part if getattr(made[model], "takes_rows", False) else part.column(part.schema.names.index("prompt"))
+                    told = zip(*replies(made[model], asked.to_pylist()), strict=True)
+                    new = [pa.array(x, t) for x, t in zip(told, (pa.string(), pa.string(), pa.float64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _alone(model: Callable[[list], list], asked) -> tuple:
@@ -164,7 +184,7 @@ class Runner:
 
     def run(self, samples: DataFrame, saved: DataFrame | None = None) -> DataFrame:
         c = self.config
-        out = answered(generate(prompts(samples, c.templates, c.models), self.make, c.batch))
+        out = answered(generate(prompts(dealt(samples), c.templates, c.models), self.make, c.batch))
         scored = match.scored(out, ((c.mode, c.how, "f1+"),))
         return scored if saved is None else corpus.merged(saved, scored)
 

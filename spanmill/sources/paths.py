@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/spanmill-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df in some partitions for each core: rows of a file that one task reads, such as one row group, are costly further on."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """df written to a new shared folder and read back: its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}"

@@ -237,3 +237,30 @@ def test_command_line(spark, tmp_path):
     assert [(r["model"], r["condition"], r["n"]) for r in log] == [("m1", "cot", 3)]
     with pytest.raises(SystemExit):
         runner.main([*args, "--conditions", "none"])
+
+
+def test_a_file_of_one_row_group_is_dealt_out_before_models_are_asked(spark, tmp_path):
+    """One task read it, and gave its model every prompt of a group; whole rows still come to models that take them."""
+    spark.range(64).select("id", F.concat(F.lit("t"), "id").alias("text")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    path = tmp_path / "tasks"
+    path.mkdir()
+
+    def make(model):
+        def answer(prompts):
+            from pyspark import TaskContext
+
+            (path / str(TaskContext.get().partitionId())).touch()
+            return [f'[{{"type": "{p}"}}]' for p in prompts]
+
+        return answer
+
+    own = grid.Grid(runner.Config(["m"], {"zero_shot": "{text}"}), make, str(tmp_path / "grid"))
+    out = own.run(spark.read.parquet(str(tmp_path / "one"))).select("id", "preds").collect()
+    assert sorted((r["id"], r["preds"][0]["type"]) for r in out) == [(i, f"t{i}") for i in range(64)]
+    assert len(list(path.iterdir())) > 1
+
+
+def test_a_model_that_gives_too_few_responses_is_asked_one_by_one(spark):
+    rows = spark.createDataFrame([(i, "m", f"p{i}") for i in range(7)], "id int, model string, prompt string")
+    out = runner.generate(rows, lambda m: lambda prompts: prompts[:1], 3).collect()
+    assert sorted((r["id"], r["raw_response"], r["error"]) for r in out) == [(i, f"p{i}", "") for i in range(7)]
