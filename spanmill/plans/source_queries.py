@@ -13,9 +13,6 @@ from spanmill.plans.run_queries import obedient
 from spanmill.sources import corpora, json_array, loaders, results, run_sink
 from spanmill.sources.paths import shared_dir
 
-#: Bytes of a range in the queries: files of the smallest scale fall into several.
-SMALL = 1 << 14
-
 # ---- corpora ----
 
 _LANG = "CASE key % 5 WHEN 0 THEN 'English' WHEN 1 THEN ' english ' WHEN 2 THEN 'Dutch' WHEN 3 THEN NULL ELSE 'ENGLISH' END"
@@ -60,7 +57,7 @@ def _(spark, d):
     gold = F.transform("gold", lambda s: F.struct(s["type"].alias("type"), s["text"].alias("text"), s["start"].alias("start"), s["stop"].alias("end")))
     own = cards(spark, d).select(F.concat(F.lit("s"), F.col("key")).alias("id"), "text", "source", F.to_json(gold).alias("ground_truth"))
     json_array.write_arrays(own, path)
-    back = results.with_spans(json_array.read_array(spark, path, results.SAMPLES, size=SMALL), "ground_truth")
+    back = results.with_spans(json_array.read_array(spark, path, results.SAMPLES), "ground_truth")
     return back.select("id", "text", F.size("ground_truth").cast("long").alias("n"), F.aggregate("ground_truth", F.lit(0), lambda n, g: n + g["stop"] - g["start"]).cast("long").alias("chars"))
 
 
@@ -242,7 +239,7 @@ def _hydrated(spark, d, n=None):
     bench = spark.read.schema(results.BENCHMARK).parquet(f"{folder}/benchmark")
     places = {s: (layout, f"{folder}/{s}") for s, layout in (("alpha", "masks"), ("beta", "spans"), ("gamma", "entities"))}
     json_array.write_arrays(samples.build(spark, bench, places, n), f"{folder}/samples")
-    return json_array.read_array(spark, f"{folder}/samples", results.SAMPLES, size=SMALL)
+    return json_array.read_array(spark, f"{folder}/samples", results.SAMPLES)
 
 
 _KEPT = f"kept AS (SELECT * FROM corpus WHERE key % 9 <> 0 AND len(types) > 0 AND len(list_filter({STRICT_SQL}, lambda t: t IS NULL)) = 0)"

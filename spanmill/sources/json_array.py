@@ -23,8 +23,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a range.
-RANGE = 16 << 20
+#: Bytes of a range, at most and at least.
+RANGE, LEAST = 16 << 20, 1 << 14
 #: Bytes looked at before a range for backslashes that belong to its first quote, at a time.
 BACK = 1 << 10
 QUOTE, SLASH, OPEN, CLOSE, COMMA = 34, 92, (91, 123), (93, 125), 44
@@ -190,19 +190,28 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([r.path] * len(few)), pa.array([r.earlier + i for i in few], pa.int64()), pa.array([texts[i].decode("utf-8", "replace") for i in few])], names=names)
 
 
+def _tasks(ranges: int, cores: int) -> int:
+    """A task for each range of few, and for some of many small ones: a task costs more than such a range."""
+    return max(1, min(ranges, 8 * cores), ranges // 64)
+
+
 RANGES = "path string, number long, first long, start long, stop long"
 
 
-def elements(spark: SparkSession, path: str | list[str], wrapper: str = "samples", size: int = RANGE) -> DataFrame:
+def elements(spark: SparkSession, path: str | list[str], wrapper: str = "samples", size: int | None = None) -> DataFrame:
     """path, position (from 0, in its file) and element (JSON text) of the arrays in the files at path (a file or a folder).
 
     Files in UTF-8, with or without a byte order mark. An empty array, an empty file and an object without the wrapper's key give no rows.
-    What comes to the driver is a few numbers a range.
+    Ranges are of `size` bytes; without it of RANGE, or of less where that gives no range to some of the cores. What comes to the driver is a few numbers a range.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length")
+    cores = spark.sparkContext.defaultParallelism
+    if size is None:
+        total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+        size = min(RANGE, max(LEAST, total // (4 * cores)))
     ranges = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("number"))
     ranges = ranges.select("path", "number", (F.col("number") * size).alias("start"), F.least((F.col("number") + 1) * size, F.col("length")).alias("stop"))
-    found = ranges.repartition(max(1, ranges.count())).mapInPandas(_scanned, "path string, number long, odd int, out long, inside long").join(ranges, ["path", "number"]).orderBy("path", "number").collect()
+    found = ranges.repartition(_tasks(ranges.count(), cores)).mapInPandas(_scanned, "path string, number long, odd int, out long, inside long").join(ranges, ["path", "number"]).orderBy("path", "number").collect()
     if not found:
         return spark.createDataFrame([], "path string, position long, element string")
     heads, rows, inside, depth = {}, [], False, 0
@@ -214,14 +223,14 @@ def elements(spark: SparkSession, path: str | list[str], wrapper: str = "samples
         depth += r["inside"] if inside else r["out"]
         inside ^= bool(r["odd"])
     known = spark.createDataFrame(rows, RANGES + ", inside boolean, depth long")
-    spread = known.withColumn("first", F.lit(0).cast("long")).repartition(len(rows))
+    spread = known.withColumn("first", F.lit(0).cast("long")).repartition(_tasks(len(rows), cores))
     located = spread.mapInPandas(_located(wrapper), "path string, opens long, base long").orderBy(F.col("opens").desc()).collect()  # one a file
     opens = {r["path"]: (r["opens"], r["base"]) for r in located}
     rows = [(*r, *opens[r[0]]) for r in rows if r[0] in opens]
     if not rows:
         return spark.createDataFrame([], "path string, position long, element string")
     schema = RANGES + ", inside boolean, depth long, opens long, base long"
-    counts = {(r["path"], r["number"]): (r["n"], r["end"]) for r in spark.createDataFrame(rows, schema).repartition(len(rows)).mapInPandas(_counted, "path string, number long, n long, end long").collect()}
+    counts = {(r["path"], r["number"]): (r["n"], r["end"]) for r in spark.createDataFrame(rows, schema).repartition(_tasks(len(rows), cores)).mapInPandas(_counted, "path string, number long, n long, end long").collect()}
     whole: dict[str, int] = {}
     told, over = [], set()
     for r in rows:
@@ -232,10 +241,10 @@ def elements(spark: SparkSession, path: str | list[str], wrapper: str = "samples
         if end >= 0:
             over.add(r[0])
     plan = spark.createDataFrame([(*r, whole[r[0]]) for r in told], schema + ", earlier long, whole long")
-    return plan.repartition(len(told)).mapInArrow(_read, "path string, position long, element string")
+    return plan.repartition(_tasks(len(told), cores)).mapInArrow(_read, "path string, position long, element string")
 
 
-def read_array(spark: SparkSession, path: str | list[str], schema: str, wrapper: str = "samples", size: int = RANGE) -> DataFrame:
+def read_array(spark: SparkSession, path: str | list[str], schema: str, wrapper: str = "samples", size: int | None = None) -> DataFrame:
     """The elements as columns of the schema, with position. Elements that are no objects of that form have nulls."""
     read = elements(spark, path, wrapper, size).select("position", F.from_json("element", schema).alias("e"))
     return read.select("position", "e.*")

@@ -58,3 +58,12 @@ def test_ids_fall_back_to_positions(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(held))
     got = json_array.by_id(json_array.read_array(spark, str(tmp_path / "a.json"), "id string, text string", size=64), "id").collect()
     assert {r["position"]: r["key"] for r in got} == {i: o["id"] or str(i) for i, o in enumerate(held)}
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": str(i)} for i in range(3000)]))
+    got = json_array.elements(spark, str(tmp_path / "a.json"), size=16)  # thousands of ranges
+    assert got.rdd.getNumPartitions() <= 64  # before: one for each range
+    assert [r["position"] for r in got.orderBy("position").collect()] == list(range(3000))
+    whole = json_array.elements(spark, str(tmp_path / "a.json"))
+    assert whole.count() == 3000 and json_array._tasks(1, 8) == 1 and json_array._tasks(100_000, 8) == 1562
