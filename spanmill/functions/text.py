@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Where an answer is looked for, in order.
-ANSWER = [r"```json\s*([\s\S]*?)\s*```", r"```\s*([\s\S]*?)\s*```", r"(\[[\s\S]*?\])"]
+# Where an answer is looked for, in order: marks to its left and right, and whether they belong to it.
+ANSWER = [("```json", "```", False), ("```", "```", False), ("[", "]", True)]
 
 # Bracket calls alone on a line, and anywhere.
 LINE_LIST = r"(?im)^[ \t\r]*\[TOOL_CALL:\s*list_skills\s*\]\.?[ \t\r]*$"
@@ -52,19 +52,32 @@ FOUND = "array<struct<start:int,stop:int,type:string,text:string,risk_level:int,
 
 def json_list(text: Column) -> Column:
     """The JSON array in text as array<variant>; null where it is no JSON array."""
-    value = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
 
 
 def with_type(items: Column) -> Column:
     """Those elements of array<variant> that are objects with the key "type", whatever its value."""
-    return F.filter(items, lambda v: F.coalesce(F.array_contains(F.json_object_keys(F.to_json(v)), "type"), F.lit(False)))
+    return F.filter(items, lambda v: F.coalesce(F.map_contains_key(F.try_variant_get(v, "$", "map<string,variant>"), "type"), F.lit(False)))
 
 
 def answer(response: Column) -> Column:
-    """The valid items of the first pattern that holds a JSON array; an empty array if none does."""
-    tries = [json_list(F.when(response.rlike(p), F.regexp_extract(response, p, 1))) for p in ANSWER]
-    return F.coalesce(*[with_type(t) for t in tries], F.array().cast("array<variant>"))
+    """The valid items of the first place that holds a JSON array; an empty array if none does."""
+    return bound(response, lambda r: F.coalesce(*[with_type(json_list(_between(r, *marks))) for marks in ANSWER], F.array().cast("array<variant>")))
+
+
+def _between(text: Column, left: str, right: str, whole: bool) -> Column:
+    """What is between the first left mark and the next right one, trimmed, or with both marks; null without them.
+
+    Where the first left mark has no right one after it, no later one has: two searches do what a pattern would do step by step.
+    """
+
+    def cut(start: Column) -> Column:
+        stop = F.nullif(F.position(F.lit(right), text, start), F.lit(0))
+        if whole:
+            return F.substring(text, start - len(left), stop - start + len(left) + len(right))
+        return F.btrim(F.substring(text, start, stop - start), F.lit(" \t\n\v\f\r"))
+
+    return bound(F.nullif(F.instr(text, left), F.lit(0)) + len(left), cut)
 
 
 def lenient_list(raw: Column) -> Column:

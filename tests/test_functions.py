@@ -153,3 +153,30 @@ def test_constant_input_has_no_correlation(spark):
 def test_redaction_of_overlaps(spark):
     s = F.from_json(F.lit('[{"type":"A","text":"x","start":0,"stop":4},{"type":"B","text":"x","start":2,"stop":6}]'), SPAN)
     assert one(spark, spans.redact_merged(F.col("t"), s), t="abcdefgh") == "[A]gh"
+
+
+def test_answers_are_cut_as_the_patterns_would(spark):
+    """The first place of each kind, with its white space, as Python's patterns find it; the texts hold marks in many orders."""
+    import itertools
+    import re
+
+    from spanmill.functions import text
+
+    places = [r"```json\s*([\s\S]*?)\s*```", r"```\s*([\s\S]*?)\s*```", r"(\[[\s\S]*?\])"]
+    parts = ["```json", "```", "`", "[", "]", '[{"type": 1}]', " \n\v\t", "x", "é😀"]
+    texts = ["".join(p) for p in itertools.product(parts, repeat=4)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[text._between(F.col("t"), *m).alias(str(i)) for i, m in enumerate(text.ANSWER)])
+    for row in df.collect():
+        for i, p in enumerate(places):
+            m = re.search(p, row["t"], re.ASCII)
+            assert row[str(i)] == (m and m.group(1)), (row["t"], p)
+
+
+def test_json_lists_and_items_with_a_type(spark):
+    from spanmill.functions import text
+
+    values = ["[]", "[1]", "{}", "null", '"[1]"', "3", "", None, "[", '[{"type": null}, {"x": {"type": 1}}, [{"type": 1}], null, "type", {"x": 1, "type": [2]}]']
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", F.size(text.json_list(F.col("v"))).alias("n"), F.to_json(text.with_type(text.json_list(F.col("v")))).alias("w"))
+    got = {r["v"]: (r["n"], r["w"]) for r in df.collect()}
+    assert {v: n for v, (n, _) in got.items() if n is not None and n >= 0} == {"[]": 0, "[1]": 1, values[-1]: 6}
+    assert got[values[-1]][1] == '[{"type":null},{"type":[2],"x":1}]'
