@@ -441,6 +441,19 @@ def test_threshold_uses_both_labels():
     assert (mixed[:100] <= limit).mean() >= 0.98 and (mixed[100:] > limit).mean() >= 0.5
 
 
+def test_quality_limit_counts_every_label(spark):
+    """Labels beyond any number of drawn ones count, and the ranks are those of all rows; before, 20,000 and 4,096 rows told them."""
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), *[((F.col("id") * k) % 97 + 20).alias(s) if s != "n_repeat_words" else F.lit(0).cast("long").alias(s) for k, s in enumerate(quality.STATS, 1)])
+    labels = rows.select("doc_id", F.when(F.col("doc_id") % 50 == 0, 0).otherwise(1).alias("quality"))
+    model = quality.grown(rows)
+    assert [x.tolist() for x in quality.counted(rows, "n_words")] == [list(range(20, 117)), [0, *np.cumsum([60_000 // 97 + (i < 60_000 % 97) for i in range(97)]).tolist()]]
+    scored = quality.anomalies(rows, model)
+    held = scored.join(labels, "doc_id").select("anomaly", "quality").toPandas()
+    assert len(held) == 60_000
+    want = quality.threshold(held["anomaly"].to_numpy(), (held["quality"] == 1).to_numpy(), (held["quality"] == 0).to_numpy())
+    assert quality.calibrated(scored, labels) == want
+
+
 def test_forest_finds_outliers():
     x = np.random.default_rng(0).normal(size=(2000, 3))
     f = quality.Forest(x)
