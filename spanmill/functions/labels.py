@@ -6,10 +6,15 @@ target (written "-") is not the same as absent.
 
 from __future__ import annotations
 
+from functools import cache
+
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN = "UNKNOWN"
+#: Maps over which the names of a table are dealt by their hash.
+SLOTS = 256
 
 # Source label -> canonical label, "-" for none.
 _BASE = """
@@ -253,11 +258,19 @@ def _strict(k: Column) -> Column:
 
 
 def _lookup(table: dict, k: Column, null: str | None, absent: Column) -> Column:
-    """The key's target in a folded array of them: `null` for a null target, absent where there is no key."""
-    at = F.array_position(F.array(*map(F.lit, table)), k)
-    targets = F.array(*[F.lit(t if t is not None else null).cast("string") for t in table.values()])
-    found = F.get(targets, (at - 1).cast("int"))
-    return F.when(at > 0, found if null is not None else F.coalesce(found, absent)).otherwise(absent)
+    """The key's target in a folded table: `null` for a null target, absent where there is no key (or where null is None, no target)."""
+    held = {name: target if target is not None else null for name, target in table.items()}
+    maps = F.expr(_slots(tuple((name, target) for name, target in held.items() if target is not None)))
+    return F.coalesce(F.try_element_at(F.get(maps, F.pmod(F.xxhash64(k), F.lit(SLOTS)).cast("int")), k), absent)
+
+
+@cache
+def _slots(items: tuple) -> str:
+    """SQL of an array of maps with the items dealt by the hash of their names, as xxhash64() computes it: a lookup reads one short map."""
+    lists: list[list[str]] = [[] for _ in range(SLOTS)]
+    for name, target in items:
+        lists[xxhash.xxh64_intdigest(name.encode(), 42) % SLOTS] += ["'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in (name, target)]
+    return "array(" + ", ".join(f"map({', '.join(own)})" if own else "cast(map() as map<string, string>)" for own in lists) + ")"
 
 
 def _lenient(k: Column, table: dict) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions import labels, spans
+from spanmill.functions.text import bound
 
 LEAST_IOU = 0.5
 
@@ -24,8 +25,8 @@ def _test(mode: str, p: Column, g: Column) -> Column:
 
 
 def normalised(items: Column, how: str) -> Column:
-    keyed = F.transform(items, lambda s: F.struct(labels.key(s["type"]).alias("k"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return F.transform(keyed, lambda s: F.struct(labels.by_key(s["k"], how).alias("type"), s["start"].alias("start"), s["stop"].alias("stop")))
+    label = lambda s: bound(labels.key(s["type"]), lambda k: labels.by_key(k, how))
+    return F.transform(items, lambda s: F.struct(label(s).alias("type"), s["start"].alias("start"), s["stop"].alias("stop")))
 
 
 def eligible(preds: Column, gold: Column, mode: str) -> Column:
@@ -42,9 +43,12 @@ def taken(options: Column) -> Column:
 
 def type_matches(preds: Column, gold: Column) -> Column:
     """Greedy matching by label alone has a closed form: the sum of the smaller counts of each label."""
-    types = F.array_distinct(F.transform(gold, lambda g: g["type"]))
-    count = lambda items, t: F.size(F.filter(items, lambda s: s["type"] == t))
-    return F.aggregate(types, F.lit(0), lambda n, t: n + F.least(count(preds, t), count(gold, t)))
+    count = lambda items, t: F.size(F.filter(items, lambda u: u == t))
+
+    def both(held: Column) -> Column:
+        return F.aggregate(F.array_distinct(held["g"]), F.lit(0), lambda n, t: n + F.least(count(held["p"], t), count(held["g"], t)))
+
+    return bound(F.struct(preds["type"].alias("p"), gold["type"].alias("g")), both)
 
 
 def _true_positives(step: DataFrame, mode: str, p: str, g: str, out: str) -> DataFrame:

@@ -180,3 +180,16 @@ def test_json_lists_and_items_with_a_type(spark):
     got = {r["v"]: (r["n"], r["w"]) for r in df.collect()}
     assert {v: n for v, (n, _) in got.items() if n is not None and n >= 0} == {"[]": 0, "[1]": 1, values[-1]: 6}
     assert got[values[-1]][1] == '[{"type":null},{"type":[2],"x":1}]'
+
+
+def test_a_lookup_reads_one_short_map_of_a_table(spark):
+    """Every name of every table, with quotes in names, by a hash that Spark and the driver compute alike; before, all names were read one by one."""
+    from spanmill.functions import labels
+
+    names = sorted({*labels.BEFORE, *labels.aligned(), "", "NO SUCH", "X\\Y"})
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "k string")
+    got = df.select("k", *[labels._lookup(t, F.col("k"), null, F.lit("absent")).alias(c) for c, t, null in (("base", labels.BASE, None), ("full", labels.aligned(), "none"))]).collect()
+    for r in got:
+        assert r["base"] == (labels.BASE.get(r["k"]) or "absent")
+        assert r["full"] == ((labels.aligned()[r["k"]] or "none") if r["k"] in labels.aligned() else "absent")
+    assert max(len(m) for m in labels._slots(tuple((k, v) for k, v in labels.aligned().items() if v)).split("map(")) < 400
