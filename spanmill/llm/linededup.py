@@ -12,10 +12,11 @@ A line is the set of its lower-cased words. A line is removed if an earlier one
    into memory; all but the first are removed.
 3. The prefixes of first lines are dealt by token in packed form. The list of a token that occurs more than HOT times is
    dealt in as many parts. Pairs in a list pass the length, the positional and a filter by counters. Each list gives every
-   line with its head, the earliest line of the list, to verify on their whole sets; and the postings that have any other
-   partner. Within a group of copies the heads settle almost every line without pairing the group's members.
-4. Postings with partners are joined by token, for pairs whose later line no head has settled. What a bitmap of 256 bits
-   does not tell apart is verified.
+   line with its head, the earliest line of the list, and with the earlier line whose counters are nearest, to verify on
+   their whole sets; and the postings that have any other partner than the head. Within a group of copies, exact or near,
+   these two settle almost every line without pairing the group's members.
+4. Postings with partners are joined by token, for pairs whose later line is not settled and that a bitmap of 256 bits,
+   which goes with the postings, does not tell apart. These are verified.
 
 Words are compared by 40 bits of their hash: two different words are taken for one with a chance of 1e-12.
 """
@@ -284,14 +285,21 @@ FITS = (
     f" and {LEAST_NUM + LEAST_DEN} * {_apart_sql('x.bits', 'y.bits')} <= {LEAST_DEN - LEAST_NUM} * (x.n + y.n)"
     f" and (x.n <> y.n or {LEAST_NUM + LEAST_DEN} * (x.n - 1) >= {2 * LEAST_NUM} * x.n)"
 )
+#: The wide bitmaps do not tell x and y apart.
+NEAR = f"{LEAST_NUM + LEAST_DEN} * ({' + '.join(f'bit_count(x.w{i} ^ y.w{i})' for i in range(4))}) <= {LEAST_DEN - LEAST_NUM} * (x.n + y.n)"
 EARLIER = "struct(x.ord, x.row, x.line) < struct(y.ord, y.row, y.line)"
 
 
 def partners(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the postings of whole lists: numbers of heads and lines that pass the filters together, and of postings with a partner
-    other than the head.
+    """compared() without the nearest lines."""
+    return compared(p)[:3]
 
-    All postings of hot lists count as having one, as it may be in another part.
+
+def compared(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the postings of whole lists: numbers of heads and lines that pass the filters together, of postings with a partner
+    other than the head, and of earlier lines and lines that are nearer to them than their head.
+
+    All postings of hot lists count as having a partner, as it may be in another part.
     """
     key = p["token"].astype(U) << U(32) | p["part"].astype(U)
     by = np.lexsort((p["n"], key))
@@ -304,8 +312,12 @@ def partners(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by = met[np.lexsort((p["line"][met], p["row"][met], p["ord"][met], which[met]))]
     head = np.arange(len(p))
     head[met] = np.repeat(by[np.cumsum(sizes) - sizes], sizes)
+    order = np.zeros(len(p), np.int64)
+    order[by] = np.arange(len(by))
     tried = met[head[met] != met]
     tried = tried[_fits(n[tried], i[tried], bits[tried], n[head[tried]], i[head[tried]], bits[head[tried]])]
+    near, far = head.copy(), np.full(len(p), 255)
+    far[tried] = apart(bits[tried], bits[head[tried]])
     live = p["part"] > 0
     left = met[~live[met]]
     # sizes ascend in a list: the last one that fits
@@ -320,12 +332,20 @@ def partners(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         others = (head[j] != j) & (head[j] != k)
         j, k = j[others], k[others]
         good = _fits(n[j], i[j], bits[j], n[k], i[k], bits[k])
-        live[j[good]] = live[k[good]] = True
+        j, k = j[good], k[good]
+        live[j] = live[k] = True
+        swap = order[j] < order[k]
+        early, late = np.where(swap, j, k), np.where(swap, k, j)
+        d = apart(bits[early], bits[late])
+        nearer = np.flatnonzero(d < far[late])
+        nearer = nearer[np.lexsort((-d[nearer], late[nearer]))]  # the last one of each line is the nearest
+        near[late[nearer]], far[late[nearer]] = early[nearer], d[nearer]
         at = end
-    return p, np.column_stack([head[tried], tried]), np.flatnonzero(live)
+    close = np.flatnonzero(near != head)
+    return p, np.column_stack([head[tried], tried]), np.flatnonzero(live), np.column_stack([near[close], close])
 
 
-#: What the lists give: kind 0: pairs of head (x) and line (y); 1: lines that equal an earlier one; 2: postings with another partner.
+#: What the lists give: kind 0: pairs of head or nearest line (x) and line (y); 1: lines that equal an earlier one; 2: postings with another partner.
 FOUND = "kind int, token long, n int, i int, bits long, ord long, row long, line int, x_ord long, x_row long, x_line int"
 
 
@@ -377,7 +397,8 @@ def found(stored: DataFrame, classes) -> DataFrame:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list) -> Iterator[pa.RecordBatch]:
-            p, pairs, live = partners(np.concatenate(held))
+            p, heads, live, nearest = compared(np.concatenate(held))
+            pairs = np.concatenate([heads, nearest])
             for a, x in ((p[pairs[:, 1]], p[pairs[:, 0]]), (p[live], None)):
                 if len(a):
                     cols = [np.full(len(a), 0 if x is not None else 2), a["token"], a["n"], a["i"], a["bits"].view(np.int64), a["ord"], a["row"], a["line"]]
@@ -438,13 +459,6 @@ def with_wide(df: DataFrame, marks: Marks) -> DataFrame:
     return df.select("row", "line", "tokens", F.xxhash64("row", "line").alias("id")).mapInArrow(run, "row long, line int, tokens binary, n int, w0 long, w1 long, w2 long, w3 long")
 
 
-def _near(pairs: DataFrame, few: DataFrame) -> DataFrame:
-    """Those pairs that the wide bitmaps do not tell apart."""
-    differ = " + ".join(f"bit_count(w{i} ^ x_w{i})" for i in range(4))
-    both = _sides(pairs, few, "n", "w0", "w1", "w2", "w3")
-    return both.filter(f"{LEAST_NUM + LEAST_DEN} * ({differ}) <= {LEAST_DEN - LEAST_NUM} * (n + x_n)").select("x_row", "x_line", "row", "line")
-
-
 def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Whether the sets of tokens in two columns are similar enough, row by row."""
 
@@ -498,22 +512,20 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     tries = cut(head.select("x_row", "x_line", "row", "line").distinct(), "tries")
     early = cut(_similar(tries, few), "early")
     # the rest against all: pairs whose later line is not settled
-    settled = Marks(early)
-    maybe = settled.picked(live).join(early.withColumn("m", F.lit(-1)), ["row", "line"], "left")
-    told = settled.picked(live, inside=False).withColumn("m", F.col("n")).unionByName(maybe.withColumn("m", F.coalesce("m", "n")))
-    open_ = cut(told.select("token", "n", "i", "bits", "ord", "row", "line", "m"), "open")
+    bitmaps = few.select("row", "line", "w0", "w1", "w2", "w3")
+    told = live.join(bitmaps, ["row", "line"]).join(early.withColumn("m", F.lit(-1)), ["row", "line"], "left").withColumn("m", F.coalesce("m", "n"))
+    open_ = cut(told.select("token", "n", "i", "bits", "ord", "row", "line", "m", "w0", "w1", "w2", "w3"), "open")
     # m: -1 for settled lines. The condition names both sides, so that both read one exchange
-    met = open_.alias("y").join(open_.alias("x"), F.expr(f"x.token = y.token and y.m + 0 * x.m > 0 and {EARLIER} and {FITS}"))
+    met = open_.alias("y").join(open_.alias("x"), F.expr(f"x.token = y.token and y.m + 0 * x.m > 0 and {EARLIER} and {FITS} and {NEAR}"))
     pairs = cut(met.select(F.col("y.row").alias("row"), F.col("y.line").alias("line"), F.col("x.row").alias("x_row"), F.col("x.line").alias("x_line")).distinct(), "pairs")
-    near = cut(_near(pairs, few), "near")
-    late = cut(_similar(near, few), "late")
+    late = cut(_similar(pairs, few), "late")
     gone = lists.filter("kind = 1").select("row", "line").unionByName(early).unionByName(late)
     every = stored.groupBy("row").agg(F.first("doc").alias("doc"), F.first("node").alias("node"), F.count("line").alias("n_lines"), F.collect_list(F.when(F.col("dup"), F.col("line"))).alias("d"))
     more = gone.groupBy("row").agg(F.collect_list("line").alias("g"))
     none = F.array().cast("array<int>")
     out = cut(every.join(more, "row", "left").select("row", "doc", "node", "n_lines", F.array_sort(F.concat("d", F.coalesce("g", none))).alias("removed")), "removed")
     classes.unpersist()
-    discard(stored, lists, few, tries, early, open_, pairs, near, late)
+    discard(stored, lists, few, tries, early, open_, pairs, late)
     return out
 
 

@@ -210,6 +210,26 @@ def test_line_partners_equal_all_pairs():
     assert set(live.tolist()) == {a for a, b in meet if a not in first and b not in first}
 
 
+def test_line_dedup_does_not_pair_the_members_of_a_group(spark, monkeypatch):
+    rng = random.Random(9)
+    passage, rows = [f"p{i}" for i in range(30)], []
+    for i in range(400):  # a common passage with words of its own: most lines have similar ones, few are similar to the first
+        own = [f"x{rng.randint(0, 60)}" for _ in range(rng.randint(6, 12))]
+        rows.append((i, " ".join([*passage, *own])))
+    made, real = {}, linededup.cut
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "cut", counted)
+    expected = plain_removed(rows)
+    got = {r["doc_id"]: r["removed_lines"] for r in linededup.report(table(spark, rows)).collect()}
+    assert got == {i: ",".join(map(str, expected[i])) for i, _ in rows} and any(got.values()) and not all(got.values())
+    assert made["pairs"] < 2000
+
+
 def test_line_dedup_rebuilds_texts(spark):
     rows = [(1, "a b c d e\n\nsame line here"), (2, "same line here\nother"), (3, "A B c d e x"), (4, None), (5, ""), (6, "q q\nq"), (6, "q q\nq")]
     out = sorted(((r["doc_id"], r["text"]) for r in linededup.dedup(table(spark, rows, extra=True)).collect()), key=repr)
