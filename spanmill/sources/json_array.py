@@ -23,8 +23,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a range, at most and at least.
-RANGE, LEAST = 16 << 20, 1 << 14
+#: Bytes of a range, at most and at least. A task works on one range at a time, in some twenty times its bytes.
+RANGE, LEAST = 2 << 20, 1 << 14
 #: Bytes looked at before a range for backslashes that belong to its first quote, at a time.
 BACK = 1 << 10
 QUOTE, SLASH, OPEN, CLOSE, COMMA = 34, 92, (91, 123), (93, 125), 44
@@ -190,6 +190,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([r.path] * len(few)), pa.array([r.earlier + i for i in few], pa.int64()), pa.array([texts[i].decode("utf-8", "replace") for i in few])], names=names)
 
 
+def _size(total: int, cores: int) -> int:
+    """Bytes of a range of files with this many bytes."""
+    return min(RANGE, max(LEAST, total // (4 * cores)))
+
+
 def _tasks(ranges: int, cores: int) -> int:
     """A task for each range of few, and for some of many small ones: a task costs more than such a range."""
     return max(1, min(ranges, 8 * cores), ranges // 64)
@@ -208,7 +213,7 @@ def elements(spark: SparkSession, path: str | list[str], wrapper: str = "samples
     cores = spark.sparkContext.defaultParallelism
     if size is None:
         total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
-        size = min(RANGE, max(LEAST, total // (4 * cores)))
+        size = _size(total, cores)
     ranges = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("number"))
     ranges = ranges.select("path", "number", (F.col("number") * size).alias("start"), F.least((F.col("number") + 1) * size, F.col("length")).alias("stop"))
     found = ranges.repartition(_tasks(ranges.count(), cores)).mapInPandas(_scanned, "path string, number long, odd int, out long, inside long").join(ranges, ["path", "number"]).orderBy("path", "number").collect()

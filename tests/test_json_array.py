@@ -67,3 +67,19 @@ def test_many_small_ranges_share_tasks(spark, tmp_path):
     assert [r["position"] for r in got.orderBy("position").collect()] == list(range(3000))
     whole = json_array.elements(spark, str(tmp_path / "a.json"))
     assert whole.count() == 3000 and json_array._tasks(1, 8) == 1 and json_array._tasks(100_000, 8) == 1562
+
+
+def test_ranges_of_large_files_stay_small_in_memory(tmp_path):
+    import tracemalloc
+
+    import pandas as pd
+
+    size, path = json_array._size(10**11, 12), str(tmp_path / "a.json")
+    (tmp_path / "a.json").write_text("[" + ", ".join(['{"type": "URL", "start": 1}'] * (size // 27)) + "]")
+    ranges = pd.DataFrame([(path, 0, 0, 0, size, False, 0, 0, 1)], columns=["path", "number", "first", "start", "stop", "inside", "depth", "opens", "base"])
+    tracemalloc.start()
+    for run in (json_array._scanned, json_array._counted):
+        list(run([ranges]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
