@@ -11,10 +11,11 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,15 +136,31 @@ def _called(rows: DataFrame, run: Callable[[dict], tuple], added: str) -> DataFr
     return rows.mapInArrow(task, schema)
 
 
+#: Spark's rows of a batch that goes to a Python worker, and its default.
+BATCH, DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of PIECE rows for what runs meanwhile: conversations are long, and each of a task's workers holds a batch of them."""
+    held = spark.conf.get(BATCH, DEFAULT)
+    spark.conf.set(BATCH, str(PIECE))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, held)
+
+
 def _rounds(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], limit: int) -> DataFrame:
     """All rows after step has been applied to the open ones until none is left, `limit` times at most."""
     rows, done = stored(dealt(start), "open"), []
-    for number in range(1, limit + 1):
-        live = rows.filter("__open")
-        if live.limit(1).count() == 0:
-            break
-        done.append(rows.filter("not __open"))
-        rows = stored(step(live, number), f"round{number}")
+    with _small_batches(start.sparkSession):
+        for number in range(1, limit + 1):
+            live = rows.filter("__open")
+            if live.limit(1).count() == 0:
+                break
+            done.append(rows.filter("not __open"))
+            rows = stored(step(live, number), f"round{number}")
     return reduce(DataFrame.unionByName, [*done, rows])
 
 

@@ -264,3 +264,20 @@ def test_a_model_that_gives_too_few_responses_is_asked_one_by_one(spark):
     rows = spark.createDataFrame([(i, "m", f"p{i}") for i in range(7)], "id int, model string, prompt string")
     out = runner.generate(rows, lambda m: lambda prompts: prompts[:1], 3).collect()
     assert sorted((r["id"], r["raw_response"], r["error"]) for r in out) == [(i, f"p{i}", "") for i in range(7)]
+
+
+def test_rounds_send_small_batches(spark):
+    rows = spark.range(5000).repartition(1).selectExpr("id", "'m' AS model", "concat('p', id) AS prompt", "'t' AS text").coalesce(1)
+    most = spark.sparkContext.accumulator(0)
+
+    def step(live, number):
+        def sizes(batches):
+            for b in batches:
+                most.add(int(b.num_rows > rounds.PIECE))
+                yield b
+
+        return live.coalesce(1).mapInArrow(sizes, live.schema).withColumn("__open", F.lit(False))
+
+    before = spark.conf.get(rounds.BATCH, rounds.DEFAULT)
+    assert rounds._rounds(rounds._start(rows), step, 2).count() == 5000
+    assert most.value == 0 and spark.conf.get(rounds.BATCH, rounds.DEFAULT) == before
