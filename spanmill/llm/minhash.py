@@ -22,7 +22,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.llm.common import TABLES, Marks, cut, discard, summed, trimmed, unused
@@ -36,6 +36,8 @@ NEAREST = 8
 PIVOTS = 2
 #: Words whose hashes a worker keeps; size of the table of shingle counts, as a power of two.
 MAX_WORDS, SKETCH_BITS = 100_000, 20
+#: Longs of the bits by which pairs are told apart before their multisets are compared.
+PARITY = 8
 U = np.uint64
 GAMMA, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -141,18 +143,6 @@ def signed(docs: DataFrame, text: str, others: list[str], k: int) -> DataFrame:
     return rows.mapInArrow(trimmed(run), schema)
 
 
-def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """Those rows of pairs (a, b, la, lb: labels) whose multisets are similar enough; their labels, once each."""
-    both = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [similarity(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "bag_a", "bag_b").mapInArrow(trimmed(run), "a string, b string").distinct()
-
-
 def occurrences(bag: np.ndarray) -> np.ndarray:
     """A sorted multiset as a set: the k-th copy of an item becomes an item of its own."""
     if not len(bag):
@@ -162,6 +152,36 @@ def occurrences(bag: np.ndarray) -> np.ndarray:
     return mix(bag + GAMMA * (np.arange(len(bag)) - np.repeat(starts, np.diff(np.append(starts, len(bag))))).astype(U))
 
 
+def parity(bag: np.ndarray) -> np.ndarray:
+    """PARITY longs: a bit is set where an odd number of the multiset's occurrences fall. Bits that differ between
+    two of these are never more than the occurrences that only one of the multisets has."""
+    places = (occurrences(bag) & U(64 * PARITY - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
+def close(least: float) -> Column:
+    """Whether n_a, bits_a, n_b and bits_b leave it open that two multisets are similar enough; true for all that are."""
+    differ = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(PARITY))
+    return F.expr(f"{differ} <= (n_a + n_b) * {(1 - least) / (1 + least)} + 1e-6")
+
+
+def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """Those rows of pairs (a, b, la, lb: labels) whose multisets are similar enough; their labels, once each.
+
+    Pairs meet the bits of their multisets first; only those that these leave open carry multisets along.
+    """
+    side = lambda x, *more: bags.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "n", "bits", *more)])
+    left = pairs.join(side("a"), "a").join(side("b", "bag"), "b").filter(close(least)).select("a", "la", "lb", "bag_b")
+    both = left.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [similarity(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "bag_a", "bag_b").mapInArrow(trimmed(run), "a string, b string").distinct()
+
+
 def _bag_places(bags: pa.Array) -> np.ndarray:
     parts = [occurrences(np.frombuffer(b.as_buffer(), U)) for b in bags]
     return (np.concatenate(parts) & U((1 << SKETCH_BITS) - 1)).astype(np.int64) if parts else np.zeros(0, np.int64)
@@ -269,10 +289,12 @@ def classes(docs: DataFrame, text: str = "text", others: tuple = ("doc_id",), le
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingles(t, k)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "bag"])
+                own = [np.sort(shingles(t, k)) for t in b.column(1).to_pylist()]
+                columns = [b.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array([parity(x) for x in own], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "bag", "n", "bits"])
 
     texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("node"), F.col(text).alias("t"))
-    bags = cut(texts.filter(few.maybe(F.col("node"))).join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(trimmed(bag), "node string, bag binary"), "bags")
+    bags = cut(texts.filter(few.maybe(F.col("node"))).join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(trimmed(bag), "node string, bag binary, n long, bits array<long>"), "bags")
     for turn in range(PIVOTS):
         pairs = cut(pivot_pairs(member, turn), "pivots")
         member = relabelled(member, cut(verified(pairs, bags, least), "links"))

@@ -566,6 +566,27 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert got == plain_classes(rows)
 
 
+def test_pairs_meet_bits_before_their_multisets(spark):
+    """Bits leave every pair of at least the least similarity, with repeats too; of others few carry multisets along. Before, all pairs did."""
+    rng = np.random.default_rng(8)
+    bags, true = [], {}
+    for i in range(40):
+        base = minhash.mix(rng.integers(0, 1 << 62, 150).astype(np.uint64))
+        base[: 5 * (i % 4)] = base[0]
+        other = base.copy()
+        other[rng.permutation(150)[: 2 * i]] = minhash.mix(rng.integers(0, 1 << 62, 2 * i).astype(np.uint64))
+        a, b = np.sort(base), np.sort(other)
+        true[f"{i}"] = minhash.similarity(a, b)
+        bags += [(f"{i}a", a.tobytes(), len(a), minhash.parity(a).tolist()), (f"{i}b", b.tobytes(), len(b), minhash.parity(b).tolist())]
+    own = spark.createDataFrame(bags, "node string, bag binary, n long, bits array<long>")
+    pairs = spark.createDataFrame([(f"{i}a", f"{i}b", f"{i}", f"{i}") for i in range(40)], "a string, b string, la string, lb string")
+    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    left = {r["la"] for r in pairs.join(side("a"), "a").join(side("b"), "b").filter(minhash.close(0.8)).collect()}
+    similar = {i for i, s in true.items() if s >= 0.8}
+    assert similar <= left and len(similar) > 5 and not left & {i for i, s in true.items() if s < 0.6}
+    assert {r["a"] for r in minhash.verified(pairs, own, 0.8).collect()} == similar
+
+
 def test_one_of_each(spark):
     t = " ".join(f"w{i}" for i in range(200))
     rows = [(3, t), (2, t + " x"), (2, t + " x"), (7, None), (8, ""), (8, ""), (9, "  "), (None, "solo text"), (4, "other words that are here")]
