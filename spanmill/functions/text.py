@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanmill.functions import spans
+
 # Where an answer is looked for, in order: marks to its left and right, and whether they belong to it.
 ANSWER = [("```json", "```", False), ("```", "```", False), ("[", "]", True)]
 
@@ -57,7 +59,13 @@ def json_list(text: Column) -> Column:
 
 def with_type(items: Column) -> Column:
     """Those elements of array<variant> that are objects with the key "type", whatever its value."""
-    return F.filter(items, lambda v: F.coalesce(F.map_contains_key(F.try_variant_get(v, "$", "map<string,variant>"), "type"), F.lit(False)))
+    return F.filter(items, lambda v: F.try_variant_get(v, "$.type", "variant").isNotNull())
+
+
+def read_spans(items: Column) -> Column:
+    """Objects of array<variant> as array<struct<type,text,start,stop>> with lenient offsets, read from the variants without JSON text between."""
+    own = F.transform(items, lambda v: F.try_variant_get(v, "$", "struct<type:string,text:string,start:string,end:string>"))
+    return F.transform(own, lambda s: F.struct(s["type"].alias("type"), s["text"].alias("text"), spans.offset(s["start"]).alias("start"), spans.offset(s["end"]).alias("stop")))
 
 
 def answer(response: Column) -> Column:

@@ -156,9 +156,7 @@ def condition_flags(condition: str) -> dict[str, bool]:
 
 def answered(rows: DataFrame) -> DataFrame:
     """rows with preds read from raw_response."""
-    items = F.from_json(F.to_json(text.answer(F.coalesce("raw_response", F.lit("")))), "array<struct<type:string,text:string,start:string,end:string>>")
-    read = F.transform(items, lambda s: F.struct(s["type"].alias("type"), s["text"].alias("text"), spans.offset(s["start"]).alias("start"), spans.offset(s["end"]).alias("stop")))
-    return rows.withColumn("preds", read)
+    return rows.withColumn("preds", text.read_spans(text.answer(F.coalesce("raw_response", F.lit("")))))
 
 
 @dataclass(frozen=True)

@@ -19,7 +19,6 @@ LOCAL = (
 )
 #: A row of the benchmark's file; the second name of the canonical list is that of published files.
 BENCHMARK_FILE = "id string, sample_id string, source string, original_index long, ground_truth variant, canonical variant, pii_codex_ground_truth variant"
-_SPANS = "array<struct<type:string,text:string,start:string,end:string>>"
 
 
 def as_text(v: Column) -> Column:
@@ -30,9 +29,7 @@ def as_text(v: Column) -> Column:
 def as_spans(json_text: Column) -> Column:
     """The objects of a JSON list as spans; an empty list where it is none."""
     objects = F.filter(text.json_list(json_text), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    items = F.from_json(F.to_json(objects), _SPANS)
-    read = F.transform(items, lambda s: F.struct(s["type"].alias("type"), s["text"].alias("text"), spans.offset(s["start"]).alias("start"), spans.offset(s["end"]).alias("stop")))
-    return F.coalesce(read, F.array().cast(f"array<{spans.SPAN}>"))
+    return F.coalesce(text.read_spans(objects), F.array().cast(f"array<{spans.SPAN}>"))
 
 
 def canonical_types(json_text: Column) -> Column:

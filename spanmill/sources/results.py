@@ -18,7 +18,6 @@ RUN = (
     "sample_id string, source string, model string, condition string, predictions string, ground_truth string, scores string, raw_response string, "
     "error string, tool_executed boolean, skill_viewed boolean, conversation_turns long, elapsed_seconds double"
 )
-_SPANS = "array<struct<type:string,text:string,start:string,end:string>>"
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -28,8 +27,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def with_spans(df: DataFrame, column: str) -> DataFrame:
     """A JSON text column as array<struct<type,text,start,stop>>; items without a type key are dropped."""
-    items = F.from_json(F.to_json(text.with_type(text.json_list(F.col(column)))), _SPANS)
-    read = F.transform(items, lambda s: F.struct(s["type"].alias("type"), s["text"].alias("text"), spans.offset(s["start"]).alias("start"), spans.offset(s["end"]).alias("stop")))
+    read = text.read_spans(text.with_type(text.json_list(F.col(column))))
     return df.withColumn(column, F.coalesce(read, F.array().cast(spans.SPAN.join(("array<", ">")))))
 
 

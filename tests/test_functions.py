@@ -182,6 +182,20 @@ def test_json_lists_and_items_with_a_type(spark):
     assert got[values[-1]][1] == '[{"type":null},{"type":[2],"x":1}]'
 
 
+def test_spans_are_read_without_json_text_between(spark):
+    """Before, items were written as JSON text and parsed again, and a fraction of many digits lost some."""
+    from spanmill.functions import text
+
+    item = '[{"type": %s, "text": "a\\n\\"b\\"", "start": " 7 ", "end": %s, "more": [1]}, {"type": null}, {"type": {"k": [1]}, "start": 1.5}]'
+    values = [item % ('"A"', "9"), item % ("12345678901.123456789", '"x"'), "[]", "{}", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.read_spans(text.with_type(text.json_list(F.col("v")))).alias("s"))
+    got = {r["v"]: r["s"] and [tuple(x) for x in r["s"]] for r in df.collect()}
+    rest = [(None, None, 0, 0), ('{"k":[1]}', None, 0, 0)]
+    assert got == {values[0]: [("A", 'a\n"b"', 7, 9), *rest], values[1]: [("12345678901.123456789", 'a\n"b"', 7, 0), *rest], "[]": [], "{}": None, None: None}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "map<string,variant>" not in plan
+
+
 def test_a_lookup_reads_one_short_map_of_a_table(spark):
     """Every name of every table, with quotes in names, by a hash that Spark and the driver compute alike; before, all names were read one by one."""
     from spanmill.functions import labels
