@@ -91,7 +91,10 @@ class RunSink(DataSource):
 
 
 def write_once(records: DataFrame, path: str, run_id: str, run_type: str = "main", version: str = "v1", overwrite: bool = False) -> None:
-    """records as a run: a second call with the same id changes nothing, unless it overwrites."""
+    """records as a run: a second call with the same id changes nothing, unless it overwrites, and writes nothing either."""
+    fs, base = place(path.rstrip("/"))
+    if not overwrite and fs.get_file_info(f"{base}/runs/{run_id}.json").type != pyarrow.fs.FileType.NotFound:
+        return
     records.sparkSession.dataSource.register(RunSink)
     out = records.write.format("spanmill_run").option("path", path).option("run_id", run_id).option("run_type", run_type).option("prompt_version", version)
     out.mode("overwrite" if overwrite else "append").save()

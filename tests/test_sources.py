@@ -72,6 +72,17 @@ def test_sink_is_all_or_nothing(spark, tmp_path):
         run_sink.write_once(df, path, "a/b")
 
 
+def test_a_run_that_is_there_is_not_computed_again(spark, tmp_path):
+    """Before, its rows were computed and written once more, and then dropped."""
+    path, seen = str(tmp_path / "runs"), spark.sparkContext.accumulator(0)
+    df = spark.range(100).mapInArrow(lambda batches: (seen.add(b.num_rows) or b for b in batches), "id long")
+    for _ in range(2):
+        run_sink.write_once(df, path, "one")
+    assert seen.value == 100 and run_sink.read_runs(spark, path, "id long").count() == 100
+    run_sink.write_once(df, path, "one", overwrite=True)
+    assert seen.value == 200 and run_sink.read_runs(spark, path, "id long").count() == 100
+
+
 def test_configuration_layers(tmp_path):
     low = {"a": 1, "t": {"x": 1, "y": {"z": 2}}, "l": [1, 2]}
     assert config.merged(low, {"t": {"y": {"w": 3}}, "l": [3]}) == {"a": 1, "t": {"x": 1, "y": {"z": 2, "w": 3}}, "l": [3]} and low["l"] == [1, 2]
